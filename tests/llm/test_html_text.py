@@ -12,7 +12,7 @@ def test_article_without_template(spark):
     rows += [(100, "https://lone.example.org/", PAGE % (1, 1, 1, 1)), (101, None, None), (102, "", ""), (103, "x", "plain &amp; text"), (104, "https://a.example.org", "<div>" * 5000 + "deep"), (None, "https://b.example.org", "<p>x<!-- c -->y<p>z")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'k' as host", "1 as text").repartition(3)
     got = {r.page_id: r.text for r in main_texts(df).collect()}
-    assert all(got[i] == f"Head&line {i} {i} One bold word next {i} Two lines <x> a b {i}" for i in range(12))
+    assert all(got[i] == f"Head&line {i} {i} One bold word next {i} Two lines <x> b {i}" for i in range(12))
     assert got[100] == "Head&line 1 1 One bold word next 1 Two lines <x> Follow the site a b 1"
     assert (got[101], got[102], got[103], got[104], got[None]) == ("", "", "plain & text", "deep", "xy z")
     assert all(r.n_chars == len(r.text) for r in main_texts(df).collect())
