@@ -1,17 +1,18 @@
 """Encoders for the public tokenizers that remember the pieces they have met.
 
 Both return, as little-endian unsigned 32-bit bytes, exactly the ids of ``Tokenizer.encode(text,
-add_special_tokens=False)``. They cut a text only where the tokenizer's own pre-tokenisation cuts it whatever
-stands around, so the ids of a piece never depend on its neighbours; most pieces are common words, which a
-memo answers. A Python worker keeps its memo from task to task.
+add_special_tokens=False)``. Texts of Latin-1 characters are cut by the tokenizer's own pre-tokenisation rule,
+written out for that alphabet, and pieces go straight to the library's model. Other texts are cut at blanks
+where that rule cuts whatever stands around, and pieces go through the whole library. Most pieces are common
+words, which a memo answers; a Python worker keeps its memo from task to task.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces a memo holds before it starts afresh, about 200 bytes each.
@@ -19,33 +20,65 @@ MEMO_PIECES = 700_000
 #: A blank between two visible ASCII or Latin letters, digits or marks starts a piece of its own.
 _BLANK = re.compile(r"(?<=[!-~¡-ÿĀ-ɏ])(?= [!-~¡-ÿĀ-ɏ])")
 _SPACES = re.compile(r"[ \t-\r]+")
-_MEMOS: dict[str, _Memo] = {}
+# the characters of Latin-1 by class: letters, digits, white space
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+_WORD_PIECES = re.compile(f"{_ENDINGS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+_BYTE_PIECES = re.compile(f"{_ENDINGS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The rule by which byte-level vocabularies write a byte as a letter: visible ones as they are."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 class _Memo(dict):
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    """piece -> ids; ``whole``: pieces may hold several pre-tokens and characters of any kind."""
+
+    def __init__(self, tokenizer: Tokenizer, whole: bool):
+        self.tokenizer, self.model, self.whole = tokenizer, tokenizer.model, whole
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO_PIECES:
             self.clear()
-        ids = self[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+        if self.whole:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        else:
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]
+        found = self[piece] = array("I", ids).tobytes()
+        return found
 
 
-def _encoder(path: str, cut: Callable[[str], list[str]]) -> Callable[[str], bytes]:
+_MEMOS: dict[str, tuple[_Memo, _Memo]] = {}
+
+
+def _encoder(path: str, latin: Callable[[str], list[str]], other: Callable[[str], list[str]]) -> Callable[[str], bytes]:
     if path not in _MEMOS:
-        _MEMOS[path] = _Memo(path)
-    get = _MEMOS[path].__getitem__
-    return lambda text: b"".join(map(get, cut(text)))
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        _MEMOS[path] = _Memo(tokenizer, False), _Memo(tokenizer, True)
+    piece, whole = (memo.__getitem__ for memo in _MEMOS[path])
+
+    def run(text: str) -> bytes:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return b"".join(map(whole, other(text)))
+        return b"".join(map(piece, latin(text)))
+
+    return run
 
 
 def word_encoder(path: str) -> Callable[[str], bytes]:
-    """For vocabularies whose pre-tokenisation drops white space: pieces are what stands between ASCII blanks."""
-    return _encoder(path, _SPACES.split)
+    """For lower-case vocabularies of words whose pre-tokenisation drops white space."""
+    return _encoder(path, lambda text: _WORD_PIECES.findall(text.lower()), lambda text: [w for w in _SPACES.split(text) if w])
 
 
 def byte_encoder(path: str) -> Callable[[str], bytes]:
     """For byte-level vocabularies where a word takes the blank before it along."""
-    return _encoder(path, _BLANK.split)
+    return _encoder(path, _BYTE_PIECES.findall, _BLANK.split)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -17,7 +18,9 @@ def test_encoders_agree_with_the_library(name, encoder):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
     encode = encoder(path)
-    for s in [*ODD, " ".join(ODD), "\n".join(ODD)]:
+    latin = "".join(map(chr, range(256)))
+    more = ["".join(random.Random(k).choices(latin + " '.  \n" * 20 + "sdtremvlabcXYZ019" * 6, k=300)) for k in range(60)]
+    for s in [latin, *more, *ODD, " ".join(ODD), "\n".join(ODD)]:
         assert np.frombuffer(encode(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, repr(s)
 
 
