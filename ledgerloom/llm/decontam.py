@@ -31,6 +31,8 @@ UNITS = frozenset(
 _EDGES = re.compile(r"^[^\w%°$€£-]+|[^\w%°]+$")
 _NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*(?:st|nd|rd|th)?")
 _NUMBER_UNIT = re.compile(r"([-+$€£]?\d[\d.,]*)([a-z%°/]+)")
+#: Units that stand alone; single letters and "in" are mostly other words.
+_BARE_UNITS = frozenset(u for u in UNITS if len(u) > 1 and u != "in") | {"%", "°"}
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
 
 
@@ -44,7 +46,7 @@ def canonical(word: str) -> tuple[int, str, str]:
         return NUMBER, "<number>", low
     if (m := _NUMBER_UNIT.fullmatch(low)) and m[2] in UNITS:
         return NUMBER, "<number+unit>", low
-    if low in UNITS:
+    if low in _BARE_UNITS:
         return UNIT, "<unit>", low
     if bare[0].isupper() and bare[1:].islower():
         return NAME, "<name>", low

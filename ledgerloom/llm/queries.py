@@ -8,10 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontam, embed, html_text, jaccard, packing, substring, token_files, toxicity
+from ledgerloom.llm import decontam, embed, html_text, jaccard, license_scan, packing, pii, substring, token_files, toxicity
 from ledgerloom.llm._common import scratch, table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.scan(docs, license_scan.train(spark, docs))
+    sure = F.filter("licences", lambda x: x["confirmed"])
+    families = F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"])))
+    return found.select("doc_id", F.array_join(families, ",").alias("families"), F.size(sure).alias("n_confirmed"), F.size("licences").alias("n_candidates"), F.coalesce(F.array_max(F.transform(sure, lambda x: F.round(x["p"], 6))), F.lit(0.0)).alias("best_p"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(spark))
+    count = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *count, F.sha2(pii.render(F.col("base")), 256).alias("base_sha256"), pii.render(F.col("spans")).alias("spans"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +64,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op3_ngram_jaccard, op4_substring_dedup, op7_embedding_dedup, op8_toxicity, op9_packing, op6_html_text, op10_token_files)
+    f.__name__: f for f in (op1_license_scan, op5_pii, op2_decontaminate, op3_ngram_jaccard, op4_substring_dedup, op7_embedding_dedup, op8_toxicity, op9_packing, op6_html_text, op10_token_files)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -17,9 +17,9 @@ from ledgerloom.llm._common import MEMO_WORDS
 #: Labelled documents the model is fitted on, at most, half of either label.
 SAMPLE = 8_000
 #: Features kept: those that stand in most documents of one label beyond their share.
-FEATURES = 30_000
+FEATURES = 4_000
 LEAST_DOCS = 3
-ROUNDS, RATE, DECAY = 150, 0.15, 2e-4
+ROUNDS, RATE, DECAY = 300, 0.15, 2e-3
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
 
