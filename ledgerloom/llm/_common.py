@@ -9,6 +9,8 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,6 +106,18 @@ def _odd(seed: int, n: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts hold about ``size`` bytes (a longer text stands alone), so that
+    arrays over all words of a batch stay small."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < len(batch):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection that spreads every input bit over the word."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

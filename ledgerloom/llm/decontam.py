@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import MEMO_WORDS, window_hashes, window_starts
+from ledgerloom.llm._common import MEMO_WORDS, slices, window_hashes, window_starts
 
 #: Template tokens of a window; shorter items are one window, down to LEAST tokens.
 WINDOW, LEAST = 8, 4
@@ -164,7 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             known = np.zeros(1 << 22, bool)  # most windows are told apart by 22 bits
             known[keys & ((1 << 22) - 1)] = True
             rows = local[["item_id", "n", "ipos", "size", "islots"]]
-            for batch in batches:
+            for batch in slices(batches, 1):
                 ids = batch.column(0).to_numpy()
                 for (owner, pos, h, slots), size in zip(_windows(batch.column(1).to_pylist(), memo, sizes), sizes):
                     maybe = np.flatnonzero(known[h & ((1 << 22) - 1)])
@@ -185,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             memo = _Canon()
-            for batch in batches:
+            for batch in slices(batches, 1):
                 ids = batch.column(0).to_numpy()
                 for (owner, pos, h, slots), size in zip(_windows(batch.column(1).to_pylist(), memo, sizes), sizes):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(pos), pa.array(np.full(len(h), size)), pa.array(h), pa.array([s.tobytes() for s in slots], pa.binary())], ["doc_id", "pos", "size", "h", "slots"])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._blocks import bucket_blocks, pair_mask, settle, stars
-from ledgerloom.llm._common import WordCodes, map_groups, mix, saved, window_hashes, window_starts, word_codes
+from ledgerloom.llm._common import WordCodes, map_groups, mix, saved, slices, window_hashes, window_starts, word_codes
 
 WORDS, THRESHOLD = 5, 0.8
 #: Tries, levels of a trie, the level where the search begins and the shortest prefix it may come to.
@@ -68,7 +68,7 @@ def _digest(words: list[bytes]) -> bytes:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = WordCodes()
-    for batch in batches:
+    for batch in slices(batches, 1):
         texts = batch.column(1).to_pylist()
         codes, starts = word_codes(texts, memo)
         full = np.flatnonzero(np.diff(starts) > 0)

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import WordCodes, saved, window_hashes, window_starts, word_codes
+from ledgerloom.llm._common import WordCodes, saved, slices, window_hashes, window_starts, word_codes
 
 #: Words of a window that counts as a repeat, and of an anchor. Every window holds a whole anchor block if
 #: WINDOW >= 2 * BLOCK - 1.
@@ -112,7 +112,7 @@ def removed_words(docs: DataFrame) -> DataFrame:
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordCodes()
-        for batch in batches:
+        for batch in slices(batches, 1):
             batch = batch.filter(batch.column(0).is_valid())
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             codes, starts = word_codes(texts, memo)
