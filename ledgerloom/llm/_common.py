@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Entries a per-task memo of words may hold before it starts afresh.
 MEMO_WORDS = 400_000
-MASK = (1 << 64) - 1
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,15 @@ def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")  # once the table is there, the shuffle files behind it can go
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_TIDY)
+        else:
+            spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
