@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import WordCodes, saved, slices, window_hashes, window_starts, word_codes
+from ledgerloom.llm._common import WordCodes, mix, saved, slices, window_hashes, window_starts, word_codes
 
 #: Words of a window that counts as a repeat, and of an anchor. Every window holds a whole anchor block if
 #: WINDOW >= 2 * BLOCK - 1.
@@ -85,12 +85,29 @@ def _meet(packets: DataFrame, parts: int, width: int, block: int, keyed: bool) -
                 hit |= indexed & (doc < np.maximum.reduceat(doc, first)[run_of])
             key, pos = key[hit], pos[hit]
             order = np.lexsort((pos, key))
+            rows = [(*row[:4], b"") for row in _packets(key[order], pos[order], mix(key[order].view(np.uint64)), parts, 0)]
+            if rows:
+                yield _packet_batch(rows)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_part: dict[int, list] = {}
+        for batch in batches:
+            for part, *packet in zip(*(c.to_pylist() for c in batch.columns)):
+                by_part.setdefault(part, []).append(packet)
+        for part in list(by_part):
+            packets = by_part.pop(part)
+            key = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(n, "<i4")) for d, n, *_ in packets])
+            pos = np.concatenate([_unplanes(p, 4) for *_, p, _ in packets]).astype("<i4")
+            order = np.lexsort((pos, key))
             key, pos = key[order], pos[order]
-            if len(key):
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array([x.astype("<i4").tobytes() for x in np.split(pos, first[1:])], pa.binary())], ["doc", "pos"])
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            raw = memoryview(pos.tobytes())
+            ends = np.r_[first[1:], len(key)]
+            for a in range(0, len(first), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(key[first[a : a + 5000]]), pa.array([bytes(raw[4 * x : 4 * y]) for x, y in zip(first[a : a + 5000].tolist(), ends[a : a + 5000].tolist())], pa.binary())], ["doc", "pos"])
 
-    return packets.repartition(parts, "part").mapInArrow(run, "doc long, pos binary")
+    # hits travel in packets as well, so a document costs one row, not one for each partition its windows met in
+    return packets.repartition(parts, "part").mapInArrow(run, _PACKET).repartition(parts, "part").mapInArrow(gather, "doc long, pos binary")
 
 
 def removed_words(docs: DataFrame) -> DataFrame:
@@ -122,7 +139,7 @@ def removed_words(docs: DataFrame) -> DataFrame:
             at, owner = at[fit], owner[fit]
             yield _packet_batch(list(_packets(ids[owner], at - starts[owner], window_hashes(codes, BLOCK)[at], parts, ANCHOR_BYTES)))
 
-    hits = _meet(docs.mapInArrow(anchors, _PACKET), parts, ANCHOR_BYTES, BLOCK, False).groupBy("doc").agg(F.collect_list("pos").alias("hits"))
+    hits = _meet(docs.mapInArrow(anchors, _PACKET), parts, ANCHOR_BYTES, BLOCK, False).withColumnRenamed("pos", "hits")
 
     def pack_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
@@ -143,7 +160,7 @@ def removed_words(docs: DataFrame) -> DataFrame:
                     codes, _ = word_codes([t], memo)
                     marks = np.zeros(len(words) + 1, np.int32)
                     # a window of 13 that holds the anchor at p starts at p - 6 .. p
-                    at = np.frombuffer(b"".join(pos), "<i4")
+                    at = np.frombuffer(pos, "<i4")
                     np.add.at(marks, np.minimum(np.maximum(at - (WINDOW - BLOCK), 0), len(words)), 1)
                     np.add.at(marks, np.minimum(at + 1, len(words)), -1)
                     at = np.flatnonzero(np.cumsum(marks[: max(0, len(words) - WINDOW + 1)]) > 0)
@@ -167,7 +184,7 @@ def removed_words(docs: DataFrame) -> DataFrame:
                 out.append((p, np.stack([np.array(keys, "<i8")[d], np.array(ids, "<i8")[d]], 1).tobytes(), *packet))
             yield _packet_batch(out)
 
-    gone = _meet(open_rows.select("key", "doc_id", "at", "hash").mapInArrow(windows, _PACKET), parts, WINDOW_BYTES, 1, True).groupBy("doc").agg(F.collect_list("pos").alias("gone"))
+    gone = _meet(open_rows.select("key", "doc_id", "at", "hash").mapInArrow(windows, _PACKET), parts, WINDOW_BYTES, 1, True).withColumnRenamed("pos", "gone")
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opener = zstandard.ZstdDecompressor()
@@ -177,7 +194,7 @@ def removed_words(docs: DataFrame) -> DataFrame:
                 words = opener.decompress(packed).split()
                 cover = np.zeros(len(words) + 1, np.int32)
                 if gone is not None:
-                    at = np.frombuffer(b"".join(gone), "<i4")
+                    at = np.frombuffer(gone, "<i4")
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + WINDOW, -1)
                 stay = np.cumsum(cover[:-1]) == 0
