@@ -17,6 +17,7 @@ from ledgerloom.llm._common import MEMO_WORDS
 #: Labelled documents the model is fitted on, at most, half of either label.
 SAMPLE = 8_000
 #: Features kept: those that stand in most documents of one label beyond their share.
+BITS = 24
 FEATURES = 4_000
 LEAST_DOCS = 3
 ROUNDS, RATE, DECAY = 300, 0.15, 2e-3
@@ -27,7 +28,7 @@ _WORD = re.compile(r"\w+")
 def features(word: str) -> list[int]:
     """Hashes of a lower-case word and of its beginnings; a beginning covers forms never seen."""
     low = word.lower()
-    return [int.from_bytes(blake2b(f"{len(p)}{p}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for p in dict.fromkeys((low + "$", low[:4], low[:5], low[:6]))]
+    return [int.from_bytes(blake2b(f"{len(p)}{p}".encode("utf-8", "replace"), digest_size=4).digest(), "little") & ((1 << BITS) - 1) for p in dict.fromkeys((low + "$", low[:4], low[:5], low[:6]))]
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -50,29 +51,37 @@ class _Weights(dict):
 def fit(texts: list[str], labels: np.ndarray, prior: float) -> tuple[dict[int, float], float]:
     """Weights and bias from document labels alone; ``prior``: share of toxic documents to allow for."""
     memo: dict[str, list[int]] = {}
-    docs: list[list[set[int]]] = []
-    for t in texts:
-        docs.append([{f for w in set(_WORD.findall(t, a, b)) for f in (memo.get(w) or memo.setdefault(w, features(w)))} for a, b in sentences(t)])
-    pos, neg = {}, {}
-    for d, y in zip(docs, labels):
-        count = pos if y else neg
-        for f in set().union(*d) if d else ():
-            count[f] = count.get(f, 0) + 1
+    sents: list[np.ndarray] = []  # features of each sentence
+    doc_of: list[int] = []
+    counts = np.zeros((2, 1 << BITS), np.uint16)
+    for d, (t, y) in enumerate(zip(texts, labels)):
+        own = []
+        for a, b in sentences(t):
+            found: set[int] = set()
+            for w in set(_WORD.findall(t, a, b)):
+                if w not in memo:
+                    if len(memo) >= MEMO_WORDS // 5:
+                        memo.clear()
+                    memo[w] = features(w)
+                found.update(memo[w])
+            own.append(np.fromiter(found, np.int32, len(found)))
+        sents += own
+        doc_of += [d] * len(own)
+        if own:
+            counts[int(y), np.unique(np.concatenate(own))] += 1
     n_pos, n_neg = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    ids = np.array(sorted(f for f in pos.keys() | neg.keys() if pos.get(f, 0) + neg.get(f, 0) >= LEAST_DOCS), np.int64)
-    p = np.array([pos.get(f, 0) for f in ids.tolist()]) / n_pos
-    q = np.array([neg.get(f, 0) for f in ids.tolist()]) / n_neg
-    gain = np.abs(p - q) / np.sqrt(p + q + 1e-9) if len(ids) else p
+    ids = np.flatnonzero(counts.sum(0, dtype=np.int32) >= LEAST_DOCS)
+    p, q = counts[1, ids] / n_pos, counts[0, ids] / n_neg
+    gain = np.abs(p - q) / np.sqrt(p + q + 1e-9)
     ids = np.sort(ids[np.argsort(-gain, kind="stable")[:FEATURES]])
-    col = {f: k for k, f in enumerate(ids.tolist())}
-    row_of, col_of, doc_of = [], [], []
-    for d, sents in enumerate(docs):
-        for s in sents:
-            hits = [col[f] for f in s if f in col]
-            row_of += [len(doc_of)] * len(hits)
-            col_of += hits
-            doc_of.append(d)
-    rows, cols, owner = np.array(row_of, np.int64), np.array(col_of, np.int64), np.array(doc_of, np.int64)
+    col = np.full(1 << BITS, -1, np.int32)
+    col[ids] = np.arange(len(ids))
+    del counts, memo
+    hits = [c[c >= 0] for c in (col[s] for s in sents)]
+    rows = np.repeat(np.arange(len(sents)), [len(h) for h in hits])
+    cols = np.concatenate(hits).astype(np.int64) if hits else np.empty(0, np.int64)
+    owner = np.array(doc_of, np.int64)
+    del hits, sents, col
     w, b = np.zeros(len(ids)), -4.0
     m, v = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
     y = labels[owner].astype(bool)
