@@ -76,7 +76,8 @@ def _meet(packets: DataFrame, parts: int, width: int, block: int, keyed: bool) -
             h = np.concatenate([_unplanes(x, width) for *_, x in packets])
             del packets
             order = np.argsort(h)
-            h, key, doc, pos = h[order], key[order], doc[order], pos[order]
+            h, key, pos = h[order], key[order], pos[order]
+            doc = doc[order] if keyed else key
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             run_of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
             indexed = pos % block == 0
@@ -124,7 +125,7 @@ def removed_words(docs: DataFrame) -> DataFrame:
     other. An empty table gives no rows; further columns are ignored.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a part is held in arrays
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,10 +151,9 @@ def removed_words(docs: DataFrame) -> DataFrame:
         memo, opener = WordCodes(), zstandard.ZstdDecompressor()
         key = TaskContext.get().partitionId() << 36
         for batch in batches:
-            ids, packed, hit = (c.to_pylist() for c in batch.columns)
-            texts = [opener.decompress(p) for p in packed]
             rows = []
-            for doc, p, t, pos in zip(ids, packed, texts, hit):
+            for doc, p, pos in zip(*(c.to_pylist() for c in batch.columns)):
+                t = opener.decompress(p)
                 words = t.split()
                 key += 1
                 if pos:
@@ -188,7 +188,7 @@ def removed_words(docs: DataFrame) -> DataFrame:
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opener = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (b.iloc[a : a + 500] for b in batches for a in range(0, len(b), 500)):
             out = []
             for doc, packed, gone in zip(batch["doc_id"], batch["packed"], batch["gone"]):
                 words = opener.decompress(packed).split()
