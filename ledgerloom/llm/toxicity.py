@@ -89,7 +89,7 @@ def fit(texts: list[str], labels: np.ndarray, prior: float) -> tuple[dict[int, f
     for step in range(1, ROUNDS + 1):
         z = b + np.bincount(rows, w[cols], len(owner))
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean = np.exp(np.bincount(owner, np.log1p(-np.minimum(s, 1 - 1e-12)), len(docs)))[owner]
+        clean = np.exp(np.bincount(owner, np.log1p(-np.minimum(s, 1 - 1e-12)), len(texts)))[owner]
         g = weight * np.where(y, -s * clean / np.maximum(1 - clean, 1e-9), s)
         grad = np.r_[np.bincount(cols, g[rows], len(ids)) + DECAY * w / max(1, len(ids)) ** 0.5, g.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
