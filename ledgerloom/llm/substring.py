@@ -61,6 +61,8 @@ def _meet(packets: DataFrame, parts: int, width: int, block: int, keyed: bool) -
     ``keyed``: docs holds pairs (row key, doc_id) and results carry the row key.
     """
 
+    few = max(1, parts // 4)  # hits are far fewer than windows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, list] = {}
         for batch in batches:
@@ -86,7 +88,7 @@ def _meet(packets: DataFrame, parts: int, width: int, block: int, keyed: bool) -
                 hit |= indexed & (doc < np.maximum.reduceat(doc, first)[run_of])
             key, pos = key[hit], pos[hit]
             order = np.lexsort((pos, key))
-            rows = [(*row[:4], b"") for row in _packets(key[order], pos[order], mix(key[order].view(np.uint64)), parts, 0)]
+            rows = [(*row[:4], b"") for row in _packets(key[order], pos[order], mix(key[order].view(np.uint64)), few, 0)]
             if rows:
                 yield _packet_batch(rows)
 
@@ -108,7 +110,7 @@ def _meet(packets: DataFrame, parts: int, width: int, block: int, keyed: bool) -
                 yield pa.RecordBatch.from_arrays([pa.array(key[first[a : a + 5000]]), pa.array([bytes(raw[4 * x : 4 * y]) for x, y in zip(first[a : a + 5000].tolist(), ends[a : a + 5000].tolist())], pa.binary())], ["doc", "pos"])
 
     # hits travel in packets as well, so a document costs one row, not one for each partition its windows met in
-    return packets.repartition(parts, "part").mapInArrow(run, _PACKET).repartition(parts, "part").mapInArrow(gather, "doc long, pos binary")
+    return packets.repartition(parts, "part").mapInArrow(run, _PACKET).repartition(few, "part").mapInArrow(gather, "doc long, pos binary")
 
 
 def removed_words(docs: DataFrame) -> DataFrame:
