@@ -106,6 +106,8 @@ def _index(items: pd.DataFrame) -> pd.DataFrame:
 _INDEX = "h long, item_id long, n long, ipos long, size long, islots binary"
 _MATCH = "doc_id long, item_id long, n long, pos long, ipos long, size long, slots binary, islots binary"
 
+_MATCH_ARROW = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.binary()) for c in _MATCH.split(", ")])
+
 
 def _judge(matches: list) -> tuple[float, int, int]:
     """Coverage, windows and exchanged slots of the matches of one document and item.
@@ -177,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     found.insert(0, "doc_id", ids[owner[at]])
                     found.insert(3, "pos", pos[at])
                     found.insert(6, "slots", [s.tobytes() for s in slots[at]])
-                    yield pa.RecordBatch.from_pandas(found[[c.split()[0] for c in _MATCH.split(", ")]], preserve_index=False)
+                    yield pa.RecordBatch.from_pandas(found, schema=_MATCH_ARROW, preserve_index=False)
 
         matches = docs.mapInArrow(look, _MATCH)
     else:

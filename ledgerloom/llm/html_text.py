@@ -173,7 +173,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
                 root = _parse(html)
                 _hashes(root, of)
                 found.append(list(set(of.values())))
-            yield pa.RecordBatch.from_arrays([pa.array([_host(u) for u in batch.column(0).to_pylist()]), pa.array(found, pa.list_(pa.int64()))], ["host", "trees"])
+            yield pa.RecordBatch.from_arrays([pa.array([_host(u) for u in batch.column(0).to_pylist()], pa.string()), pa.array(found, pa.list_(pa.int64()))], ["host", "trees"])
 
     seen = pages.select("url", "html").mapInArrow(subtrees, "host string, trees array<long>")
     pages_of = seen.groupBy("host").agg(F.count("*").alias("pages"))

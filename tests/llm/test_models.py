@@ -41,6 +41,10 @@ def test_reparameterised_questions(spark):
     got = decontam.contaminated(df, items)
     assert [(r.doc_id, r.item_id, r.coverage) for r in got.collect()] == want
     assert got.first().changed >= 3
+    clean = spark.createDataFrame([(i, "nothing of the kind here at all") for i in range(50)] + docs[:1], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminated(clean, items).collect()] == [(1, 1)]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     old, decontam.BROADCAST_WINDOWS = decontam.BROADCAST_WINDOWS, 0
     try:
         assert [(r.doc_id, r.item_id, r.coverage) for r in decontam.contaminated(df, items).collect()] == want
