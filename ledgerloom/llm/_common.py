@@ -16,10 +16,18 @@ from pyspark.sql import functions as F
 
 #: Entries a per-task memo of words may hold before it starts afresh.
 MEMO_WORDS = 250_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Hand fewer rows at a time to Python: texts are long, and a batch is held several times over."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +46,7 @@ def scratch(spark: SparkSession) -> str:
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, lost executors cost nothing."""
     spark = df.sparkSession
+    short_batches(spark)
     path = scratch(spark)
     before = spark.conf.get(_TIDY, None)
     spark.conf.set(_TIDY, "true")  # once the table is there, the shuffle files behind it can go
