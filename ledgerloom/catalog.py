@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import numbers, text
-from ledgerloom.operators import ordered, quality, reconcile
+from ledgerloom.functions import money_words, numbers, text
+from ledgerloom.operators import boxes, documents, nested, ordered, quality, reconcile, segments
 from ledgerloom.sources.tables import table
 from ledgerloom.streaming import jobs
 
@@ -368,3 +368,103 @@ def token_hit_match(spark, root):
     return table(spark, root, "documents").select("doc_id", F.explode(F.filter(tokens, lambda t: F.lower("text").contains(t))).alias("hit"))
 
 
+
+
+def _lines(spark, root):
+    """Line items as recognised lines of pages, placed by their keys."""
+    x, y = (c("l_linenumber") * 40).cast("int"), (c("l_partkey") % 5 * 20).cast("int")
+    words = F.array_join(F.transform(F.sequence(lit(1), (c("l_suppkey") % 6 + 1).cast("int")), lambda i: F.concat(lit("w"), i.cast("string"))), " ")
+    rows = table(spark, root, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    return rows.select(c("l_orderkey").alias("page_id"), c("l_linenumber").cast("int").alias("item_id"), x.alias("x1"), y.alias("y1"), (x + 60 + (c("l_suppkey") % 50).cast("int")).alias("x2"), (y + 18).alias("y2"), words.alias("text"))
+
+
+def _regions(spark, root):
+    """Four overlapping columns on each page."""
+    pages = table(spark, root, "lineitem").select(c("l_orderkey").alias("page_id")).distinct().withColumn("region_id", F.explode(F.sequence(lit(0), lit(3))))
+    return pages.select("page_id", "region_id", (c("region_id") * 70).alias("rx1"), (c("region_id") * 10).alias("ry1"), (c("region_id") * 70 + 90).alias("rx2"), (c("region_id") * 10 + 60).alias("ry2"))
+
+
+_LINES = """g AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
+ lines AS (SELECT l_orderkey AS page_id, CAST(l_linenumber AS INT) AS item_id, CAST(l_linenumber * 40 AS INT) AS x1, CAST(p % 5 * 20 AS INT) AS y1, CAST(l_linenumber * 40 + 60 + s % 50 AS INT) AS x2, CAST(p % 5 * 20 + 18 AS INT) AS y2, list_transform(range(1, s % 6 + 2), lambda i: 'w' || i) AS words FROM g)"""
+_REGIONS = """regions AS (SELECT page_id, CAST(r AS INT) AS region_id, r * 70 AS rx1, r * 10 AS ry1, r * 70 + 90 AS rx2, r * 10 + 60 AS ry2 FROM (SELECT DISTINCT l_orderkey AS page_id FROM lineitem), range(4) t(r)),
+ hits AS (SELECT l.*, r.* EXCLUDE (page_id) FROM lines l JOIN regions r ON l.page_id = r.page_id AND x1 < rx2 AND x2 > rx1 AND y1 < ry2 AND y2 > ry1)"""
+
+
+@query(f"""WITH {_LINES}, {_REGIONS}, t AS (SELECT *, CAST(round_even((least(x2, rx2) - greatest(x1, rx1)) / greatest(1, x2 - x1) * len(words), 0) AS INT) AS take FROM hits),
+ u AS (SELECT *, coalesce(sum(take) OVER (PARTITION BY page_id, item_id ORDER BY rx1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, lead(1) OVER (PARTITION BY page_id, item_id ORDER BY rx1) IS NULL AS ends FROM t),
+ v AS (SELECT page_id, item_id, region_id, array_to_string(list_slice(words, CAST(used + 1 AS INT), CASE WHEN ends THEN len(words) ELSE CAST(used + take AS INT) END), ' ') AS part FROM u) SELECT * FROM v WHERE part <> ''""")
+def line_region_split(spark, root):
+    return boxes.split_over_regions(_lines(spark, root), _regions(spark, root))
+
+
+@query(f"""WITH {_LINES}, {_REGIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY page_id, item_id ORDER BY CAST((x1 + x2) / 2 >= rx1 AND (x1 + x2) / 2 < rx2 AND (y1 + y2) / 2 >= ry1 AND (y1 + y2) / 2 < ry2 AS INT) DESC,
+ least(y2, ry2) - greatest(y1, ry1) DESC, abs((y1 + y2) / 2 - (ry1 + ry2) / 2), least(x2, rx2) - greatest(x1, rx1) DESC, region_id) AS n FROM hits) SELECT page_id, item_id, region_id FROM o WHERE n = 1""")
+def line_owner(spark, root):
+    return boxes.best_region(_lines(spark, root), _regions(spark, root))
+
+
+@query(f"WITH {_LINES}, {_REGIONS}, x AS (SELECT page_id, region_id, string_agg(array_to_string(words, ' '), ' ' ORDER BY y1, x1, item_id) AS t FROM hits GROUP BY 1, 2) SELECT r.page_id, r.region_id, coalesce(t, '') AS text FROM regions r LEFT JOIN x USING (page_id, region_id)")
+def box_text(spark, root):
+    return boxes.region_text(_lines(spark, root), _regions(spark, root))
+
+
+@query(f"""WITH {_LINES}, n AS (SELECT a.page_id, a.item_id, b.item_id AS right_id, row_number() OVER (PARTITION BY a.page_id, a.item_id ORDER BY b.x1 - a.x2, abs(a.y1 - b.y1), b.item_id) AS k FROM lines a JOIN lines b ON a.page_id = b.page_id AND a.item_id <> b.item_id
+ AND b.x1 - a.x2 BETWEEN 0 AND 120 AND least(a.y2, b.y2) - greatest(a.y1, b.y1) >= 0.35 * 18) SELECT page_id, item_id, right_id FROM n WHERE k = 1""")
+def right_neighbour(spark, root):
+    return boxes.right_neighbours(_lines(spark, root), 120)
+
+
+@query(f"WITH {_LINES}, r AS (SELECT page_id, round_even(y1 / 12, 0) AS b, count(*) AS n FROM lines GROUP BY 1, 2) SELECT page_id, count(*) AS rows_n, max(n) AS cols_n, sum(n) AS cells FROM r GROUP BY 1")
+def layout_stats(spark, root):
+    return boxes.layout_stats(_lines(spark, root))
+
+
+@query()
+def row_banding(spark, root):
+    cell = F.struct("x1", "y1", "x2", "y2", "text")
+    pages = _lines(spark, root).groupBy("page_id").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return pages.select("page_id", boxes.row_texts(boxes.bands(c("cells"), 10, False)).alias("lines"))
+
+
+@query("SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS whole, round(o_totalprice, 2) AS amount FROM orders")
+def money_words_round_trip(spark, root):
+    orders = table(spark, root, "orders")
+    spelt = money_words.money_in_words(F.round("o_totalprice", 2))
+    whole = money_words.words_to_whole(money_words.whole_in_words(F.floor("o_totalprice")))
+    return orders.select("o_orderkey", whole.alias("whole"), money_words.words_to_money(spelt).alias("amount"))
+
+
+@query("SELECT n_nationkey, 'Всего ' || n_name AS name FROM nation")
+def encoding_repair(spark, root):
+    broken = lit("Всего ".encode().decode("cp1251"))
+    return table(spark, root, "nation").select("n_nationkey", text.repair_encoding(F.concat(broken, "n_name")).alias("name"))
+
+
+@query(f"SELECT {_LINE}, l_quantity AS quantity, l_extendedprice AS cost, CAST(round(l_tax * 100, 0) AS INT) || '%' AS vat_rate FROM lineitem")
+def waybill_item_rows(spark, root):
+    cells = F.array(F.concat(lit("part "), c("l_partkey").cast("string")), lit("шт."), F.translate(c("l_quantity").cast("decimal(18,2)").cast("string"), ".", ","), lit("1"), F.format_string("%.2f", "l_extendedprice"), F.concat(F.round(c("l_tax") * 100).cast("int").cast("string"), lit(" %")), lit("1"), lit("1,00"), lit(""))
+    rows = table(spark, root, "lineitem").select(F.struct(*LINE).alias("document_id"), lit(1).alias("page_no"), lit(1).alias("row_no"), cells.alias("cells"))
+    return documents.waybill_items(rows).select("document_id.*", c("quantity").cast("double").alias("quantity"), "cost", "vat_rate")
+
+
+@query("SELECT DISTINCT l_orderkey AS document_id, CAST(l_partkey AS VARCHAR) AS sku, l_quantity AS quantity, l_extendedprice AS cost FROM lineitem")
+def distinct_page_items(spark, root):
+    items = table(spark, root, "lineitem").select(c("l_orderkey").alias("document_id"), c("l_linenumber").alias("page_no"), c("l_suppkey").alias("row_no"), c("l_partkey").cast("string").alias("sku"), c("l_quantity").alias("quantity"), c("l_extendedprice").alias("cost"))
+    return documents.distinct_items(items).select("document_id", "sku", "quantity", "cost")
+
+
+@query("SELECT user_id, event_type, count(*) AS fields, count(*) FILTER (WHERE json_extract(props, '$.k') IS NULL) AS nulls FROM events GROUP BY 1, 2")
+def nested_field_counts(spark, root):
+    events = table(spark, root, "events").select("event_id", "user_id", "event_type", "props")
+    found = nested.flatten(events, "event_id", "props").withColumn("state", text.field_state(c("value"), "проверить поле"))
+    states = nested.document_counters(found, "event_id", "state").select("event_id", "nulls")
+    return events.join(states, "event_id", "left").groupBy("user_id", "event_type").agg(F.count("*").alias("fields"), F.count_if(F.coalesce("nulls", lit(1)) > 0).alias("nulls"))
+
+
+@query()
+def segmentation_full(spark, root):
+    turns = table(spark, root, "conversations")
+    title, kind = c("role") == "user", F.element_at(F.array(*map(lit, segments.TYPES)), (F.length("text") % 4 + 1).cast("int"))
+    pages = turns.select(c("conv_id").cast("string").alias("source_id"), c("turn").cast("int").alias("page_no"), F.concat_ws("__p", "conv_id", "turn").alias("page_id"), (F.length("text") < 10).alias("blank"), title.alias("has_title"), (F.length("text") % 3 == 0).alias("has_footer"), lit(False).alias("continuation_like"), F.when(title, "first_candidate").alias("role_hint"), kind.alias("page_doc_type"), lit(None).cast("string").alias("hard_type"), F.create_map(kind, lit(1)).alias("scores"))
+    found = segments.with_roles(segments.segments(pages))
+    return found.join(segments.segment_types(found, pages).select("source_id", "segment_no", "doc_type"), ["source_id", "segment_no"])

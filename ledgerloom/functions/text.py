@@ -58,3 +58,89 @@ def field_state(value: Column, marker: str) -> Column:
     """null, review, invalid, empty or ok, in this order."""
     v = F.trim(F.lower(value))
     return F.when(value.isNull(), "null").when(v == marker, "review").when(v.isin("nan", "none", "null"), "invalid").when(v == "", "empty").otherwise("ok")
+
+
+#: Characters that stand for single bytes above 127 in Windows-1251, and the Latin-1 characters of those bytes.
+_BYTES = [(bytes([b]).decode("cp1251"), chr(b)) for b in range(128, 256) if b != 0x98]
+_CP1251, _LATIN1 = "".join(a for a, _ in _BYTES), "".join(b for _, b in _BYTES)
+# fixed values: what UTF-8 read as a one-byte code looks like
+BROKEN = ("Р", "С", "вЂ", "в„", "Ð", "Ñ")
+
+
+def _damage(text: Column) -> Column:
+    """How broken a text looks: replacement characters count five, marks of wrong decoding one."""
+    times = lambda m: (F.length(text) - F.length(F.replace(text, F.lit(m), F.lit("")))) / len(m)
+    return sum((times(m) for m in BROKEN), 5 * times("�"))
+
+
+def _reread(text: Column) -> Column:
+    """The text as UTF-8 if its Windows-1251 bytes are that, else null."""
+    fits = text.rlike("^[\\x00-\\x7f" + "".join(f"\\u{ord(ch):04x}" for ch in _CP1251) + "]*$")
+    raw = F.encode(F.translate(F.when(fits, text), _CP1251, _LATIN1), "ISO-8859-1")
+    return F.try_validate_utf8(raw.cast("string"))
+
+
+def repair_encoding(text: Column) -> Column:
+    """Undo up to two wrong decodings of UTF-8 as Windows-1251; the least broken reading wins, the earlier at ties."""
+    once = _reread(text)
+    tries = F.array(*(F.struct(_damage(v).alias("damage"), F.lit(k).alias("k"), v.alias("v")) for k, v in enumerate((text, once, _reread(once)))))
+    return F.array_min(F.filter(tries, lambda t: t.v.isNotNull())).v
+
+
+def trim_edge_noise(text: Column) -> Column:
+    """Drop words without a letter or digit from both ends."""
+    words = F.split(F.coalesce(clean_inline(text), F.lit("")), " ")
+    solid = F.transform(words, lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    first, last = F.array_position(solid, True), F.array_position(F.reverse(solid), True)
+    n = F.greatest(F.lit(0), F.size(words) - first.cast("int") - last.cast("int") + 2)
+    return F.when(first > 0, F.array_join(F.slice(words, F.greatest(first.cast("int"), F.lit(1)), n), " "))
+
+
+def clean_or_review(text: Column, doubtful: Column, marker: str) -> Column:
+    """Clean text; the marker where it is doubtful (or already the marker); null where it is blank."""
+    clean = clean_inline(text)
+    return F.when(clean.isNull(), F.lit(None).cast("string")).when((clean == marker) | F.coalesce(doubtful, F.lit(False)), marker).otherwise(clean)
+
+
+def _found(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+def account_number(text: Column) -> Column:
+    """The first account of the form BY, two digits, 24 letters or digits, blanks inside allowed."""
+    return _found(F.regexp_replace(latin_lookalikes(text), r"\s+", ""), "(BY[0-9]{2}[A-Z0-9]{24})")
+
+
+def bank_codes(text: Column) -> Column:
+    """All distinct bank codes (four letters, BY, two and perhaps three more signs), in order."""
+    return F.array_distinct(F.regexp_extract_all(latin_lookalikes(text), F.lit(r"\b([A-Z]{4}BY[A-Z0-9]{2}(?:[A-Z0-9]{3})?)\b"), F.lit(1)))
+
+
+def tax_ids(text: Column) -> Column:
+    """All distinct numbers of exactly nine digits, in order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?<![0-9])([0-9]{9})(?![0-9])"), F.lit(1)))
+
+
+def between(text: Column, start: str, stops: list[str]) -> Column:
+    """Clean text after the first match of ``start`` up to the nearest of ``stops``, or the end."""
+    after = F.regexp_extract(text, f"(?isuU){start}(.*)$", 1)
+    return clean_inline(_found(after, f"(?isuU)^(.*?)(?:{'|'.join([*stops, '$'])})"))
+
+
+def page_stem(page_id: Column) -> Column:
+    return F.regexp_replace(page_id, r"__p\d+$", "")
+
+
+def page_number(page_id: Column) -> Column:
+    return _found(page_id, r"__p(\d+)$").cast("int")
+
+
+def split_cells(line: Column) -> Column:
+    """Cells of a line that are parted by bars."""
+    return F.split(F.trim(line), r"\s*\|\s*")
+
+
+def size_text(n: Column) -> Column:
+    """Bytes for people: B, KB, MB or GB with one decimal."""
+    shown = lambda div, unit: F.format_string(f"%.1f {unit}", n / F.lit(float(div)))
+    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, shown(1024, "KB")).when(n < 1024**3, shown(1024**2, "MB")).otherwise(shown(1024**3, "GB"))
