@@ -414,7 +414,7 @@ def right_neighbour(spark, root):
     return boxes.right_neighbours(_lines(spark, root), 120)
 
 
-@query(f"WITH {_LINES}, r AS (SELECT page_id, round_even(y1 / 12, 0) AS b, count(*) AS n FROM lines GROUP BY 1, 2) SELECT page_id, count(*) AS rows_n, max(n) AS cols_n, sum(n) AS cells FROM r GROUP BY 1")
+@query(f"WITH {_LINES}, r AS (SELECT page_id, round_even(y1 / 12, 0) AS b, count(*) AS n FROM lines GROUP BY 1, 2) SELECT page_id, count(*) AS rows_n, max(n) AS cols_n, CAST(sum(n) AS BIGINT) AS cells FROM r GROUP BY 1")
 def layout_stats(spark, root):
     return boxes.layout_stats(_lines(spark, root))
 

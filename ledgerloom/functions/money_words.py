@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ SCALES = {1000: ("тысяча", "тысячи", "тысяч"), 1_000_000: ("м
 ZERO = "ноль"
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _pick(words: list[str], k: Column) -> Column:
     """The k-th word, null for 0."""
     return F.try_element_at(F.array(*map(F.lit, words)), F.nullif(k.cast("int"), F.lit(0)))
@@ -34,24 +41,25 @@ def _below_1000(n: Column, feminine: bool = False) -> Column:
 
 def whole_in_words(n: Column) -> Column:
     """A whole number from 0 to 10**12 - 1 in words; null beyond."""
-    n = n.cast("long")
-    parts = []
-    for scale in sorted(SCALES, reverse=True):
-        k = F.floor(n / scale) % 1000
-        parts.append(F.when(k > 0, F.concat_ws(" ", _below_1000(k, scale == 1000), _plural(k, SCALES[scale]))))
-    rest = n % 1000
-    words = F.concat_ws(" ", *parts, F.when(rest > 0, _below_1000(rest)))
-    return F.when(n == 0, ZERO).when(n.between(1, 10**12 - 1), words)
+
+    def spelt(n: Column) -> Column:
+        parts = [_let(F.floor(n / scale) % 1000, lambda k, scale=scale: F.when(k > 0, F.concat_ws(" ", _below_1000(k, scale == 1000), _plural(k, SCALES[scale])))) for scale in sorted(SCALES, reverse=True)]
+        rest = _let(n % 1000, lambda k: F.when(k > 0, _below_1000(k)))
+        return F.when(n == 0, ZERO).when(n.between(1, 10**12 - 1), F.concat_ws(" ", *parts, rest))
+
+    return _let(n.cast("long"), spelt)
 
 
 def money_in_words(amount: Column) -> Column:
     """'Сто двадцать руб. 05 коп'; null for null, negative and huge amounts."""
-    whole = F.floor(amount)
-    cents = F.bround((amount - whole) * 100)
-    whole, cents = F.when(cents == 100, whole + 1).otherwise(whole), F.when(cents == 100, 0).otherwise(cents)
-    words = whole_in_words(whole)
-    text = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1000), F.lit(" руб. "), F.lpad(cents.cast("int").cast("string"), 2, "0"), F.lit(" коп"))
-    return F.when(amount >= 0, text)
+
+    def written(cents: Column) -> Column:
+        capital = _let(whole_in_words(F.floor(cents / 100)), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000)))
+        return F.concat(capital, F.lit(" руб. "), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit(" коп"))
+
+    # the whole part goes its own way, so that large amounts keep their cents as they are
+    cents = _let(F.floor(amount), lambda whole: whole * 100 + F.bround((amount - whole) * 100).cast("long"))
+    return F.when((amount >= 0) & (amount < 10**12), _let(cents, written))
 
 
 def _values() -> dict[str, int]:
@@ -76,15 +84,18 @@ def words_to_whole(text: Column) -> Column:
         total = F.when(scale, s["total"] + F.greatest(s["group"], F.lit(1).cast("long")) * v).otherwise(s["total"])
         return F.struct(total.alias("total"), F.when(scale, F.lit(0).cast("long")).otherwise(s["group"] + v).alias("group"))
 
-    return F.when(F.size(values) > 0, F.aggregate(values, start, add, lambda s: s["total"] + s["group"]))
+    return _let(values, lambda found: F.when(F.size(found) > 0, F.aggregate(found, start, add, lambda s: s["total"] + s["group"])))
 
 
 def words_to_money(text: Column) -> Column:
     """The amount that a text spells: words up to the roubles, figures before 'коп'; null without number words."""
-    low = F.translate(F.lower(text), "ё", "е")
-    before = F.regexp_extract(low, r"^(.*?)\s+(?:белорусских\s+)?руб", 1)
-    cents = F.coalesce(F.nullif(F.regexp_extract(low, r"([0-9]{1,2})\s*коп", 1), F.lit("")).cast("int"), F.lit(0))
-    return F.round(words_to_whole(F.when(before != "", before).otherwise(low)) + cents / 100, 2)
+
+    def read(low: Column) -> Column:
+        words = _let(F.regexp_extract(low, r"^(.*?)\s+(?:белорусских\s+)?руб", 1), lambda before: F.when(before != "", before).otherwise(low))
+        cents = F.coalesce(F.nullif(F.regexp_extract(low, r"([0-9]{1,2})\s*коп", 1), F.lit("")).cast("int"), F.lit(0))
+        return F.round(words_to_whole(words) + cents / 100, 2)
+
+    return _let(F.translate(F.lower(text), "ё", "е"), read)
 
 
 def needs_rebuild(text: Column, amount: Column) -> Column:
