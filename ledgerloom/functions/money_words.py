@@ -42,8 +42,11 @@ def _below_1000(n: Column, feminine: bool = False) -> Column:
 def whole_in_words(n: Column) -> Column:
     """A whole number from 0 to 10**12 - 1 in words; null beyond."""
 
+    def group(n: Column, scale: int) -> Column:
+        return _let(F.floor(n / scale) % 1000, lambda k: F.when(k > 0, F.concat_ws(" ", _below_1000(k, scale == 1000), _plural(k, SCALES[scale]))))
+
     def spelt(n: Column) -> Column:
-        parts = [_let(F.floor(n / scale) % 1000, lambda k, scale=scale: F.when(k > 0, F.concat_ws(" ", _below_1000(k, scale == 1000), _plural(k, SCALES[scale])))) for scale in sorted(SCALES, reverse=True)]
+        parts = [group(n, scale) for scale in sorted(SCALES, reverse=True)]
         rest = _let(n % 1000, lambda k: F.when(k > 0, _below_1000(k)))
         return F.when(n == 0, ZERO).when(n.between(1, 10**12 - 1), F.concat_ws(" ", *parts, rest))
 
