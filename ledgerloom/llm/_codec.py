@@ -1,13 +1,15 @@
 """A context-mixing range coder for token ids, run over many blocks side by side.
 
 Every block starts from a fresh model and a fresh coder, so blocks can be read alone; they are stepped through
-together, one id of each at a time, so that numpy does the work. The chance that the next id is the one the
-last two ids (order 2) or the last id (order 1) led to before is a logistic mix of two adaptive estimates with
-learned weights; ids that neither foresees are coded byte by byte by adaptive frequencies (order 0).
-All arithmetic is in integers, so any machine decodes what another one wrote.
+together, one id of each at a time, so that numpy does the work, and every step does the same few operations for
+all blocks. The chance that the next id is the one that the last two ids (order 2), or else the last id (order 1),
+led to before is a logistic mix of what both orders' records say, with learned weights; other ids are coded byte by
+byte by the frequencies of the block so far (order 0), renewed ever more seldom. All arithmetic is in integers (one
+quotient is taken in doubles, where it is exact), so any machine decodes what another one wrote.
 
 A frame: magic, version, bytes of an id, number of blocks; then for each block its ids, bytes and the CRC-32 of
-its ids (little-endian unsigned 32-bit); then the blocks' bytes one after another.
+its ids (little-endian unsigned 32-bit); the CRC-32 of all that; then the blocks' bytes one after another. The last of several blocks is
+filled up with zeros, which the reader drops.
 """
 
 from __future__ import annotations
@@ -18,183 +20,198 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-MAGIC, VERSION = b"LLTI", 1
-_SLOTS1, _SLOTS2 = 1 << 11, 1 << 12
-_REFRESH, _GAIN = 32, 24
+MAGIC, VERSION = b"LLTI", 2
+_SLOT_BITS = 11
 _STRETCH = np.round(np.log(np.arange(1, 4096) / (4096 - np.arange(1, 4096))) * 256).astype(np.int64)
 _STRETCH = np.r_[_STRETCH[0], _STRETCH]
 _SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 32, 4064).astype(np.int64)
-_FULL, _TOP, _BOTTOM = 0xFFFFFFFF, 1 << 24, 1 << 16
+_FLAG_BITS, _BYTE_BITS = 12, 11
+_LOW32, _LEAST, _WHOLE = 0xFFFFFFFF, 1 << 32, 1 << 48
+#: What a record's trust becomes when it was right.
+_RIGHT = np.array([1, 2, 3, 3])
 
 
 class _Coder:
-    """Carry-less range coder, one state a lane; ``data`` holds the bytes of all lanes when it decodes."""
-
-    def __init__(self, lanes: int, size: int, data: np.ndarray | None = None):
-        self.low, self.range, self.at = np.zeros(lanes, np.int64), np.full(lanes, _FULL, np.int64), np.zeros(lanes, np.int64)
-        self.decodes = data is not None
-        self.bytes = data if self.decodes else np.zeros((lanes, size), np.uint8)
-        self.flat, self.width = self.bytes.reshape(-1), self.bytes.shape[1]
-        if self.decodes:
-            self.code = np.zeros(lanes, np.int64)
-            for _ in range(4):
-                self.code = self.code << 8 | self.flat[np.arange(lanes) * self.width + self.at]
+    """Range coder with 16-bit words, one state a lane. The range is at least 2**32 before a step and loses at most
+    12 bits in it, so a step moves one word at most; carries stay in the words until ``finish`` hands them on.
+    """
+
+    def __init__(self, lanes: int, size: int, words: np.ndarray | None = None):
+        self.decodes = words is not None
+        self.words = words if self.decodes else np.zeros((lanes, size), np.uint32)
+        self.flat = self.words.reshape(-1)
+        self.first = np.arange(lanes) * self.words.shape[1]
+        self.at = self.first.copy()
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _WHOLE)
+        if self.decodes:  # here ``low`` is the distance from the low end to the code
+            for _ in range(3):
+                self.low = self.low << 16 | self.flat[self.at]
                 self.at += 1
 
-    def value(self, lanes: np.ndarray, total: np.ndarray) -> np.ndarray:
-        r = self.range[lanes] // total
-        return np.minimum(((self.code[lanes] - self.low[lanes]) & _FULL) // r, total - 1)
-
-    def step(self, lanes: np.ndarray, start: np.ndarray, freq: np.ndarray, total: np.ndarray | int) -> None:
-        r = self.range[lanes] // total
-        low, rng = (self.low[lanes] + r * start) & _FULL, r * freq
-        open_ = np.arange(len(lanes))
-        while True:
-            lo, rg = low[open_], rng[open_]
-            same = (lo ^ (lo + rg)) < _TOP
-            small = ~same & (rg < _BOTTOM)
-            go = same | small
-            if not go.any():
-                break
-            open_, lo, rg, small = open_[go], lo[go], rg[go], small[go]
-            rg = np.where(small, -lo & (_BOTTOM - 1), rg)
-            which = lanes[open_]
-            place = which * self.width + self.at[which]
-            if self.decodes:
-                self.code[which] = (self.code[which] << 8 & _FULL) | self.flat[place]
-            else:
-                self.flat[place] = lo >> 24
-            self.at[which] += 1
-            low[open_], rng[open_] = lo << 8 & _FULL, rg << 8 & _FULL
-        self.low[lanes], self.range[lanes] = low, rng
-
-    def finish(self) -> None:
-        lanes = np.arange(len(self.low))
-        for _ in range(4):
-            self.flat[lanes * self.width + self.at] = self.low >> 24
-            self.low = self.low << 8 & _FULL
+    def value(self, bits: int) -> np.ndarray:
+        return np.minimum((self.low / (self.range >> bits)).astype(np.int64), (1 << bits) - 1)
+
+    def step(self, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
+        r = self.range >> bits
+        rng = r * freq
+        need = rng < _LEAST
+        shift = need * np.int64(16)
+        r *= start
+        if self.decodes:
+            self.low -= r
+            self.low <<= shift
+            self.low += self.flat.take(self.at, mode="clip") * need
+        else:
+            self.low += r
+            self.flat[self.at] = self.low >> 32
+            self.low &= np.where(need, _LOW32, -1)
+            self.low <<= shift
+        rng <<= shift
+        self.range = rng
+        self.at += need
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all lanes as 16-bit numbers, and how many are in use."""
+        for _ in range(3):
+            self.flat[self.at] = self.low >> 32
+            self.low = (self.low & _LOW32) << 16
             self.at += 1
+        used = self.at - self.first
+        words = self.words[:, : used.max(initial=0)]
+        words[np.arange(words.shape[1]) >= used[:, None]] = 0
+        while (carry := words >> 16).any():
+            words &= 0xFFFF
+            words[:, :-1] += carry[:, 1:]
+        return words.astype("<u2"), used
 
 
 class _Flag:
-    """Whether a prediction holds: a mix of estimates by confidence and by what happened lately."""
+    """Whether the guess holds: a mix of the records of order 2 and order 1, each with what happened lately."""
 
     def __init__(self, lanes: int):
-        self.by_trust, self.by_past = np.full(lanes * 8, 2048, np.int64), np.full(lanes * 16, 2048, np.int64)
+        self.lanes = np.arange(lanes) * 64
+        self.by2, self.by1 = np.full(lanes * 64, 1024, np.int64), np.full(lanes * 64, 1024, np.int64)
         self.past = np.zeros(lanes, np.int64)
-        self.w1, self.w2 = np.full(lanes, 40000, np.int64), np.full(lanes, 25000, np.int64)
-
-    def code(self, coder: _Coder, lanes: np.ndarray, trust: np.ndarray, hit: np.ndarray | None) -> np.ndarray:
-        a, b = lanes * 8 + trust, lanes * 16 + self.past[lanes]
-        pa, pb = self.by_trust[a], self.by_past[b]
-        sa, sb = _STRETCH[pa], _STRETCH[pb]
-        w1, w2 = self.w1[lanes], self.w2[lanes]
-        p = _SQUASH[np.clip((w1 * sa + w2 * sb) >> 16, -2048, 2047) + 2048]
+        self.w2, self.w1 = np.full(lanes, 36000, np.int64), np.full(lanes, 28000, np.int64)
+
+    def code(self, coder: _Coder, trust2: np.ndarray, trust1: np.ndarray, agree: np.ndarray, hit: np.ndarray | None) -> np.ndarray:
+        base = self.lanes + self.past + agree * np.int64(32)
+        a, b = base + trust2 * 8, base + trust1 * 8
+        p2, p1 = self.by2.take(a), self.by1.take(b)
+        s2, s1 = _STRETCH.take(p2), _STRETCH.take(p1)
+        p = _SQUASH.take(((self.w2 * s2 + self.w1 * s1) >> 16) + 2048, mode="clip")
         if hit is None:
-            hit = coder.value(lanes, np.int64(4096)) < p
-        coder.step(lanes, np.where(hit, 0, p), np.where(hit, p, 4096 - p), 4096)
+            hit = coder.value(_FLAG_BITS) < p
+        coder.step(np.where(hit, 0, p), np.where(hit, p, 4096 - p), _FLAG_BITS)
         err = np.where(hit, 4095, 0) - p
-        self.w1[lanes], self.w2[lanes] = w1 + (sa * err >> 10), w2 + (sb * err >> 10)
+        self.w2 += s2 * err >> 10
+        self.w1 += s1 * err >> 10
         goal = np.where(hit, 4064, 32)
-        self.by_trust[a], self.by_past[b] = pa + (goal - pa >> 4), pb + (goal - pb >> 4)
-        self.past[lanes] = (self.past[lanes] << 1 | hit) & 15
+        self.by2[a] = p2 + (goal - p2 >> 4)
+        self.by1[b] = p1 + (goal - p1 >> 4)
+        self.past = (self.past << 1 | hit) & 7
         return hit
 
 
 class _Memory:
-    """The id that followed a context last, and how often in a row it did."""
+    """The id that followed a context last, and how often in a row it did (its trust), as id * 4 + trust."""
 
-    def __init__(self, lanes: int, slots: int):
-        self.slots, self.next, self.trust = slots, np.zeros(lanes * slots, np.uint32), np.zeros(lanes * slots, np.uint8)
+    def __init__(self, lanes: int, width: int):
+        self.first = np.arange(lanes) << _SLOT_BITS
+        self.records = np.zeros(lanes << _SLOT_BITS, np.uint32 if width < 4 else np.int64)
 
-    def look(self, lanes: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = lanes * self.slots + ((context * 0x9E3779B1 & _FULL) >> 12) % self.slots
-        return at, self.next[at].astype(np.int64), self.trust[at].astype(np.int64)
+    def look(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = self.first + ((context * 0x9E3779B1 & _LOW32) >> 32 - _SLOT_BITS)
+        record = self.records.take(at).astype(np.int64)
+        return at, record >> 2, record & 3
 
     def learn(self, at: np.ndarray, guess: np.ndarray, trust: np.ndarray, ids: np.ndarray) -> None:
-        self.trust[at] = np.where((guess == ids) & (trust > 0), np.minimum(trust + 1, 3), 1)
-        self.next[at] = ids
+        self.records[at] = (ids << 2) + np.where(guess == ids, _RIGHT.take(trust), 1)
 
 
 class _Bytes:
-    """Adaptive frequencies of one byte of an id; the table of sums is renewed every few ids."""
-
-    def __init__(self, lanes: int):
-        self.counts, self.sums = np.ones((lanes, 256), np.int64), np.zeros((lanes, 257), np.int64)
-        self.refresh()
-
-    def refresh(self) -> None:
-        full = self.counts.sum(1) > 1 << 15  # totals stay far below the coder's least range
-        self.counts[full] = self.counts[full] + 1 >> 1
-        np.cumsum(self.counts, axis=1, out=self.sums[:, 1:])
+    """Frequencies of one byte of the ids so far, and while decoding the byte of every number below their sum."""
+
+    def __init__(self, lanes: int, shift: int, decodes: bool):
+        self.shift, self.decodes = shift, decodes
+        self.first, self.slots = np.arange(lanes) << 8, np.arange(lanes) << _BYTE_BITS
+        self.counts = np.zeros(lanes << 8, np.int32)
+        self._fill(np.broadcast_to(np.arange(1, 257, dtype=np.int32) * 7, (lanes, 256)))
+
+    def renew(self, ids: np.ndarray, seen: int) -> None:
+        """Count ``ids`` (lanes x steps) too; each lane has ``seen`` ids now."""
+        self.counts += np.bincount(((ids >> self.shift & 255) + self.first[:, None]).reshape(-1), minlength=len(self.counts)).astype(np.int32)
+        self._fill(np.cumsum(self.counts.reshape(-1, 256), axis=1, dtype=np.int32) * 1792 // np.int32(seen))
+
+    def _fill(self, sums: np.ndarray) -> None:
+        ends = sums + np.arange(1, 257, dtype=np.int32)  # each byte keeps a share of 1, so all sum up to 2048
+        freq = np.diff(ends, axis=1, prepend=np.int32(0))
+        self.table = ((ends - freq) << 12 | freq).reshape(-1)
+        if self.decodes:
+            symbols = np.broadcast_to(np.arange(256, dtype=np.uint8), freq.shape)
+            self.symbols = np.repeat(symbols.reshape(-1), freq.reshape(-1))
 
-    def code(self, coder: _Coder, lanes: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-        sums, base = self.sums.reshape(-1), lanes * 257
-        total = sums[base + 256]
+    def code(self, coder: _Coder, hit: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
+        """Code a byte in each lane but those that hit, where nothing changes."""
         if symbol is None:
-            v = coder.value(lanes, total)
-            symbol = np.zeros(len(lanes), np.int64)
-            for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-                symbol += bit * (sums[base + symbol + bit] <= v)
-        start = sums[base + symbol]
-        coder.step(lanes, start, sums[base + symbol + 1] - start, total)
-        self.counts.reshape(-1)[lanes * 256 + symbol] += _GAIN
+            symbol = self.symbols.take(self.slots + coder.value(_BYTE_BITS)).astype(np.int64)
+        entry = self.table.take(self.first + symbol).astype(np.int64)
+        entry[hit] = 1 << _BYTE_BITS
+        coder.step(entry >> 12, entry & 4095, _BYTE_BITS)
         return symbol
 
 
-def _run(coder: _Coder, sizes: np.ndarray, width: int, ids: np.ndarray | None) -> np.ndarray:
-    """Step through all blocks (longest first); without ``ids`` decode them."""
-    lanes = len(sizes)
-    out = np.zeros((lanes, int(sizes[0]) if lanes else 0), np.int64) if ids is None else ids
-    memory1, memory2, flag1, flag2 = _Memory(lanes, _SLOTS1), _Memory(lanes, _SLOTS2), _Flag(lanes), _Flag(lanes)
-    byte = [_Bytes(lanes) for _ in range(width)]
+def _run(coder: _Coder, width: int, ids: np.ndarray) -> None:
+    """Step through all blocks, the columns of ``ids``; while decoding, fill it in."""
+    steps, lanes = ids.shape
+    memory1, memory2, flag = _Memory(lanes, width), _Memory(lanes, width), _Flag(lanes)
+    parts = [_Bytes(lanes, 8 * k, coder.decodes) for k in reversed(range(width))]
     last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    for t in range(out.shape[1]):
-        n = int(np.searchsorted(-sizes, -t, "left"))
-        all_ = np.arange(n)
-        real = None if ids is None else out[:n, t]
-        at1, guess1, trust1 = memory1.look(all_, last[:n])
-        at2, guess2, trust2 = memory2.look(all_, last[:n] * 65599 + before[:n])
-        got = np.zeros(n, np.int64) if real is None else real
-        todo = np.ones(n, bool)
-        agree = (guess1 == guess2) & (trust1 > 0)
-        for flag, guess, trust, asked in ((flag2, guess2, trust2 + 4 * agree, trust2 > 0), (flag1, guess1, trust1, (trust1 > 0) & ~(agree & (trust2 > 0)))):
-            ask = np.flatnonzero(asked & todo)
-            if len(ask):
-                hit = flag.code(coder, ask, trust[ask], None if real is None else real[ask] == guess[ask])
-                hits = ask[hit]
-                got[hits] = guess[hits]
-                todo[hits] = False
-        ask = np.flatnonzero(todo)
-        if len(ask):
-            value = np.zeros(len(ask), np.int64)
-            for k in reversed(range(width)):
-                value |= byte[k].code(coder, ask, None if real is None else real[ask] >> 8 * k & 255) << 8 * k
-            got[ask] = value
+    renewed, due = 0, 16
+    for t in range(steps):
+        at1, guess1, trust1 = memory1.look(last)
+        at2, guess2, trust2 = memory2.look(last * 65599 + before)
+        guess = np.where(trust2 > 0, guess2, guess1)
+        got = None if coder.decodes else ids[t].astype(np.int64)
+        hit = flag.code(coder, trust2, trust1, guess1 == guess2, None if got is None else got == guess)
+        if not hit.all():
+            if got is None:
+                got = np.zeros(lanes, np.int64)
+                for part in parts:
+                    got |= part.code(coder, hit, None) << part.shift
+                got = np.where(hit, guess, got)
+            else:
+                for part in parts:
+                    part.code(coder, hit, got >> part.shift & 255)
+        elif got is None:
+            got = guess
         memory1.learn(at1, guess1, trust1, got)
         memory2.learn(at2, guess2, trust2, got)
-        before[:n], last[:n] = last[:n], got
-        out[:n, t] = got
-        if t % _REFRESH == _REFRESH - 1:
-            for b in byte:
-                b.refresh()
-    return out
+        before, last = last, got
+        if coder.decodes:
+            ids[t] = got
+        if t + 1 == due and due < steps:
+            for part in parts:
+                part.renew(ids[renewed:due].T, due)
+            renewed, due = due, due + max(16, due // 2)
 
 
 def encode_frame(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A frame of all ids (unsigned 32-bit), cut into blocks of ``block``."""
     ids = np.ascontiguousarray(ids, "<u4")
     width = max(1, (int(ids.max()).bit_length() + 7) // 8) if len(ids) else 1
-    sizes = np.array([min(block, len(ids) - a) for a in range(0, len(ids), block)], np.int64)
-    grid = np.zeros((len(sizes), block if len(sizes) > 1 else len(ids)), np.int64)
+    count, steps = -(-len(ids) // block), min(block, len(ids))
+    grid = np.zeros((count, steps), np.uint32)
     grid.reshape(-1)[: len(ids)] = ids
-    coder = _Coder(len(sizes), (2 * width + 2) * grid.shape[1] + 64)
-    _run(coder, sizes, width, grid)
-    coder.finish()
-    head = [struct.pack("<4sBBI", MAGIC, VERSION, width, len(sizes))]
-    for k, n in enumerate(sizes.tolist()):
-        head.append(struct.pack("<III", n, int(coder.at[k]), zlib.crc32(ids[k * block : k * block + n].tobytes())))
-    return b"".join(head + [coder.bytes[k, : coder.at[k]].tobytes() for k in range(len(sizes))])
+    coder = _Coder(count, (8 + 12 * width) * steps // 16 + 8)
+    _run(coder, width, np.ascontiguousarray(grid.T))
+    words, used = coder.finish()
+    head = [struct.pack("<4sBBI", MAGIC, VERSION, width, count)]
+    for k in range(count):
+        own = ids[k * block : (k + 1) * block]
+        head.append(struct.pack("<III", len(own), 2 * int(used[k]), zlib.crc32(own.tobytes())))
+    head.append(struct.pack("<I", zlib.crc32(b"".join(head))))
+    return b"".join(head + [words[k, : used[k]].tobytes() for k in range(count)])
 
 
 def decode_frame(frame: bytes) -> np.ndarray:
@@ -202,21 +219,22 @@ def decode_frame(frame: bytes) -> np.ndarray:
     magic, version, width, count = struct.unpack_from("<4sBBI", frame)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a frame of token ids")
-    head = [struct.unpack_from("<III", frame, 10 + 12 * k) for k in range(count)]
-    if len(frame) != 10 + 12 * count + sum(h[1] for h in head):
+    at = 14 + 12 * count
+    if len(frame) < at or zlib.crc32(frame[: at - 4]) != struct.unpack_from("<I", frame, at - 4)[0]:
+        raise ValueError("the head of a frame of token ids is damaged")
+    head = np.frombuffer(frame, "<u4", 3 * count, 10).reshape(-1, 3).astype(np.int64)
+    sizes, lengths = head[:, 0], head[:, 1]
+    if len(frame) != at + lengths.sum():
         raise ValueError("a frame of token ids is cut short")
-    sizes = np.array([h[0] for h in head], np.int64)
-    data = np.zeros((count, max((h[1] for h in head), default=0) + 8), np.uint8)
-    at = 10 + 12 * count
-    for k, (_, size, _) in enumerate(head):
-        data[k, :size] = np.frombuffer(frame, np.uint8, size, at)
+    words = np.zeros((count, int(lengths.max(initial=0)) // 2 + 4), np.uint16)
+    for k, size in enumerate(lengths.tolist()):
+        words[k, : size // 2] = np.frombuffer(frame, "<u2", size // 2, at)
         at += size
-    try:
-        grid = _run(_Coder(count, 0, data), sizes, width, None).astype("<u4")
-    except IndexError as e:
-        raise ValueError("a block of token ids is damaged") from e
+    grid = np.zeros((int(sizes.max(initial=0)), count), np.uint32)
+    _run(_Coder(count, 0, words), width, grid)
+    grid = np.ascontiguousarray(grid.T).astype("<u4", copy=False)
     out = [grid[k, :n] for k, n in enumerate(sizes.tolist())]
-    for ids, (_, _, crc) in zip(out, head):
+    for ids, crc in zip(out, head[:, 2].tolist()):
         if zlib.crc32(ids.tobytes()) != crc:
             raise ValueError("a block of token ids is damaged")
     return np.concatenate(out) if out else np.empty(0, "<u4")
