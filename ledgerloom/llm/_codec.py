@@ -26,63 +26,64 @@ _STRETCH = np.round(np.log(np.arange(1, 4096) / (4096 - np.arange(1, 4096))) * 2
 _STRETCH = np.r_[_STRETCH[0], _STRETCH]
 _SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 32, 4064).astype(np.int64)
 _FLAG_BITS, _BYTE_BITS = 12, 11
-_LOW32, _LEAST, _WHOLE = 0xFFFFFFFF, 1 << 32, 1 << 48
+_LOW32, _ALL = 0xFFFFFFFF, (1 << 62) - 1
+_WORD, _LEAST_BITS = 24, 24
+_LEAST, _WHOLE = 1 << _LEAST_BITS, 1 << _LEAST_BITS + _WORD
 #: What a record's trust becomes when it was right.
 _RIGHT = np.array([1, 2, 3, 3])
 
 
 class _Coder:
-    """Range coder with 16-bit words, one state a lane. The range is at least 2**32 before a step and loses at most
-    12 bits in it, so a step moves one word at most; carries stay in the words until ``finish`` hands them on.
+    """Range coder with 24-bit words, one state a lane. The range is at least 2**24 before a step and loses at most
+    22 bits in it, so a step moves one word at most; carries stay above the words until ``finish`` hands them on.
     """
 
     def __init__(self, lanes: int, size: int, words: np.ndarray | None = None):
         self.decodes = words is not None
-        self.words = words if self.decodes else np.zeros((lanes, size), np.uint32)
-        self.flat = self.words.reshape(-1)
-        self.first = np.arange(lanes) * self.words.shape[1]
-        self.at = self.first.copy()
+        self.words = words if self.decodes else np.zeros((size, lanes), np.uint32)
+        self.flat, self.lanes = self.words.reshape(-1), lanes
+        self.at = np.arange(lanes)
         self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _WHOLE)
         if self.decodes:  # here ``low`` is the distance from the low end to the code
-            for _ in range(3):
-                self.low = self.low << 16 | self.flat[self.at]
-                self.at += 1
+            for _ in range(2):
+                self.low = self.low << _WORD | self.flat[self.at]
+                self.at += lanes
 
     def value(self, bits: int) -> np.ndarray:
-        return np.minimum((self.low / (self.range >> bits)).astype(np.int64), (1 << bits) - 1)
+        return (self.low / (self.range >> bits)).astype(np.int64) & (1 << bits) - 1  # the mask is for damaged words
 
     def step(self, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
         r = self.range >> bits
-        rng = r * freq
-        need = rng < _LEAST
-        shift = need * np.int64(16)
+        self.range = r * freq
         r *= start
+        need = (self.range < _LEAST).astype(np.int64)
+        shift = need * _WORD
         if self.decodes:
             self.low -= r
             self.low <<= shift
             self.low += self.flat.take(self.at, mode="clip") * need
         else:
             self.low += r
-            self.flat[self.at] = self.low >> 32
-            self.low &= np.where(need, _LOW32, -1)
+            self.flat[self.at] = self.low >> _LEAST_BITS
+            self.low &= need * (_LEAST - 1 - _ALL) + _ALL
             self.low <<= shift
-        rng <<= shift
-        self.range = rng
+        self.range <<= shift
+        need *= self.lanes
         self.at += need
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
-        """The words of all lanes as 16-bit numbers, and how many are in use."""
-        for _ in range(3):
-            self.flat[self.at] = self.low >> 32
-            self.low = (self.low & _LOW32) << 16
-            self.at += 1
-        used = self.at - self.first
-        words = self.words[:, : used.max(initial=0)]
-        words[np.arange(words.shape[1]) >= used[:, None]] = 0
-        while (carry := words >> 16).any():
-            words &= 0xFFFF
-            words[:, :-1] += carry[:, 1:]
-        return words.astype("<u2"), used
+        """The words of all lanes, a lane a row, and how many are in use."""
+        for _ in range(2):
+            self.flat[self.at] = self.low >> _LEAST_BITS
+            self.low = (self.low & _LEAST - 1) << _WORD
+            self.at += self.lanes
+        used = self.at // max(self.lanes, 1)
+        words = self.words[: used.max(initial=0)]
+        words[np.arange(len(words))[:, None] >= used] = 0
+        while (carry := words >> _WORD).any():
+            words &= (1 << _WORD) - 1
+            words[:-1] += carry[1:]
+        return np.ascontiguousarray(words.T), used
 
 
 class _Flag:
@@ -151,21 +152,49 @@ class _Bytes:
             symbols = np.broadcast_to(np.arange(256, dtype=np.uint8), freq.shape)
             self.symbols = np.repeat(symbols.reshape(-1), freq.reshape(-1))
 
-    def code(self, coder: _Coder, hit: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-        """Code a byte in each lane but those that hit, where nothing changes."""
-        if symbol is None:
-            symbol = self.symbols.take(self.slots + coder.value(_BYTE_BITS)).astype(np.int64)
+    def at(self, value: np.ndarray) -> np.ndarray:
+        return self.symbols.take(self.slots + value).astype(np.int64)
+
+    def share(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         entry = self.table.take(self.first + symbol).astype(np.int64)
-        entry[hit] = 1 << _BYTE_BITS
-        coder.step(entry >> 12, entry & 4095, _BYTE_BITS)
-        return symbol
+        return entry >> 12, entry & 4095
+
+
+class _Pair:
+    """Two bytes of an id in one step: the share of the lower one is cut from that of the upper one."""
+
+    def __init__(self, lanes: int, shift: int, decodes: bool):
+        self.shift = shift
+        self.parts = _Bytes(lanes, shift + 8, decodes), _Bytes(lanes, shift, decodes)
+
+    def code(self, coder: _Coder, hit: np.ndarray, pair: np.ndarray | None) -> np.ndarray:
+        """Code a pair in each lane but those that hit, where nothing changes."""
+        upper, lower = self.parts
+        if pair is None:
+            value = coder.value(2 * _BYTE_BITS)
+            high = upper.at(value >> _BYTE_BITS)
+            start, freq = upper.share(high)
+            start <<= _BYTE_BITS
+            low = lower.at(((value - start) / freq).astype(np.int64))
+            pair = high << 8 | low
+        else:
+            low = pair & 255
+            start, freq = upper.share(pair >> 8)
+            start <<= _BYTE_BITS
+        more, part = lower.share(low)
+        start += freq * more
+        freq *= part
+        start[hit] = 0
+        freq[hit] = 1 << 2 * _BYTE_BITS
+        coder.step(start, freq, 2 * _BYTE_BITS)
+        return pair
 
 
 def _run(coder: _Coder, width: int, ids: np.ndarray) -> None:
     """Step through all blocks, the columns of ``ids``; while decoding, fill it in."""
     steps, lanes = ids.shape
     memory1, memory2, flag = _Memory(lanes, width), _Memory(lanes, width), _Flag(lanes)
-    parts = [_Bytes(lanes, 8 * k, coder.decodes) for k in reversed(range(width))]
+    pairs = [_Pair(lanes, 8 * k, coder.decodes) for k in range(0, width, 2)]
     last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     renewed, due = 0, 16
     for t in range(steps):
@@ -177,12 +206,12 @@ def _run(coder: _Coder, width: int, ids: np.ndarray) -> None:
         if not hit.all():
             if got is None:
                 got = np.zeros(lanes, np.int64)
-                for part in parts:
-                    got |= part.code(coder, hit, None) << part.shift
+                for pair in pairs:
+                    got |= pair.code(coder, hit, None) << pair.shift
                 got = np.where(hit, guess, got)
             else:
-                for part in parts:
-                    part.code(coder, hit, got >> part.shift & 255)
+                for pair in pairs:
+                    pair.code(coder, hit, got >> pair.shift & 65535)
         elif got is None:
             got = guess
         memory1.learn(at1, guess1, trust1, got)
@@ -191,7 +220,7 @@ def _run(coder: _Coder, width: int, ids: np.ndarray) -> None:
         if coder.decodes:
             ids[t] = got
         if t + 1 == due and due < steps:
-            for part in parts:
+            for part in (part for pair in pairs for part in pair.parts):
                 part.renew(ids[renewed:due].T, due)
             renewed, due = due, due + max(16, due // 2)
 
@@ -199,19 +228,20 @@ def _run(coder: _Coder, width: int, ids: np.ndarray) -> None:
 def encode_frame(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A frame of all ids (unsigned 32-bit), cut into blocks of ``block``."""
     ids = np.ascontiguousarray(ids, "<u4")
-    width = max(1, (int(ids.max()).bit_length() + 7) // 8) if len(ids) else 1
+    width = 4 if len(ids) and ids.max() >> 16 else 2
     count, steps = -(-len(ids) // block), min(block, len(ids))
     grid = np.zeros((count, steps), np.uint32)
     grid.reshape(-1)[: len(ids)] = ids
-    coder = _Coder(count, (8 + 12 * width) * steps // 16 + 8)
+    coder = _Coder(count, (8 + 12 * width) * steps // _WORD + 8)
     _run(coder, width, np.ascontiguousarray(grid.T))
     words, used = coder.finish()
     head = [struct.pack("<4sBBI", MAGIC, VERSION, width, count)]
     for k in range(count):
         own = ids[k * block : (k + 1) * block]
-        head.append(struct.pack("<III", len(own), 2 * int(used[k]), zlib.crc32(own.tobytes())))
+        head.append(struct.pack("<III", len(own), 3 * int(used[k]), zlib.crc32(own.tobytes())))
     head.append(struct.pack("<I", zlib.crc32(b"".join(head))))
-    return b"".join(head + [words[k, : used[k]].tobytes() for k in range(count)])
+    packed = words.astype("<u4", copy=False).view(np.uint8).reshape(*words.shape, 4)[:, :, :3]
+    return b"".join(head + [packed[k, : used[k]].tobytes() for k in range(count)])
 
 
 def decode_frame(frame: bytes) -> np.ndarray:
@@ -226,10 +256,11 @@ def decode_frame(frame: bytes) -> np.ndarray:
     sizes, lengths = head[:, 0], head[:, 1]
     if len(frame) != at + lengths.sum():
         raise ValueError("a frame of token ids is cut short")
-    words = np.zeros((count, int(lengths.max(initial=0)) // 2 + 4), np.uint16)
+    packed = np.zeros((count, int(lengths.max(initial=0)) // 3 + 2, 4), np.uint8)
     for k, size in enumerate(lengths.tolist()):
-        words[k, : size // 2] = np.frombuffer(frame, "<u2", size // 2, at)
+        packed[k, : size // 3, :3] = np.frombuffer(frame, np.uint8, size, at).reshape(-1, 3)
         at += size
+    words = np.ascontiguousarray(packed.view("<u4")[:, :, 0].T).astype(np.uint32, copy=False)
     grid = np.zeros((int(sizes.max(initial=0)), count), np.uint32)
     _run(_Coder(count, 0, words), width, grid)
     grid = np.ascontiguousarray(grid.T).astype("<u4", copy=False)
