@@ -49,7 +49,8 @@ class _Memo(dict):
         if self.whole:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
         else:
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]
+            plain = piece.isascii() and piece.isprintable()  # then only the blank is written otherwise
+            ids = [t.id for t in self.model.tokenize(piece.replace(" ", _LETTERS[32]) if plain else piece.encode().decode("latin-1").translate(_LETTERS))]
         found = self[piece] = array("I", ids).tobytes()
         return found
 
