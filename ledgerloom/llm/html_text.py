@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A subtree is part of the site's template if it recurs on so many pages of a host and on this share of them.
+from ledgerloom.llm._common import saved
+
+#: A subtree is part of the site's template if it recurs in so many different articles of a host and in this share of them,
 LEAST_PAGES, LEAST_SHARE = 5, 0.5
+#: or, whatever the share, in so many different articles and with so many words (a table cell recurs by chance).
+MANY_PAGES, LEAST_WORDS = 20, 5
 
 # fixed values: element names of the HTML standard
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -100,8 +105,11 @@ def _parse(html: str | None) -> _Node:
     return tree.root
 
 
-def _hashes(node: _Node, out: dict[int, int]) -> int:
-    """Hash of a subtree from its element, words and children; ``out``: id of each block node -> hash."""
+def _hashes(node: _Node, out: dict[int, int]) -> dict[int, int]:
+    """Hashes of all subtrees from their elements, words and children; ``out``: id of each block node -> hash.
+
+    The lowest bit of a block's hash tells whether it holds LEAST_WORDS words.
+    """
     # children before parents, without recursion: pages may nest very deeply
     order, todo = [], [node]
     while todo:
@@ -109,21 +117,29 @@ def _hashes(node: _Node, out: dict[int, int]) -> int:
         order.append(x)
         todo += [p for p in x.parts if isinstance(p, _Node) and not p.dropped]
     of: dict[int, int] = {}
+    words: dict[int, int] = {}
     for x in reversed(order):
-        body = [x.tag]
+        body, n = [x.tag], 0
         for p in x.parts:
             if isinstance(p, str):
-                body += p.split()
+                found = p.split()
+                body += found
+                n += len(found)
             elif p is not None and not p.dropped:
                 body.append(f"<{of[id(p)]}>")
-        of[id(x)] = int.from_bytes(blake2b(" ".join(body).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+                n += words[id(p)]
+        of[id(x)] = int.from_bytes(blake2b(" ".join(body).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) & -2 | (n >= LEAST_WORDS)
+        words[id(x)] = n
         if len(body) > 1 and x.tag not in _INLINE and x.tag not in ("#", "html", "body") and not x.main:
             out[id(x)] = of[id(x)]
-    return of[id(node)]
+    return of
 
 
-def _text(root: _Node, gone: set[int], of: dict[int, int]) -> str:
-    """Text of the main elements (of the whole page where there are none) without the subtrees in ``gone``."""
+def _article(root: _Node) -> tuple[int, str, list[int], list[int], list[int], list[int]]:
+    """The main elements (the whole page where there are none): hash of what they hold, their text, the hashes
+    of their blocks with where each starts and ends in the text, and the hashes of blocks elsewhere."""
+    blocks: dict[int, int] = {}
+    of = _hashes(root, blocks)
     mains, todo = [], [root]
     while todo:
         x = todo.pop()
@@ -131,18 +147,37 @@ def _text(root: _Node, gone: set[int], of: dict[int, int]) -> str:
             mains.append(x)
         else:
             todo += [p for p in reversed(x.parts) if isinstance(p, _Node)]
+    mains = mains or [root]
     out: list[str] = []
-    stack: list = list(reversed(mains or [root]))
+    trees, starts, ends, at = [], [], [], 0
+    stack: list = list(reversed(mains))
     while stack:
         x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif x is None:
-            out.append(" ")
-        elif not x.dropped and of.get(id(x)) not in gone:
+        if isinstance(x, int):
+            ends[x] = at
+        elif x is None or isinstance(x, str):
+            out.append(x or " ")
+            at += len(out[-1])
+        elif not x.dropped:
             edge = [] if x.tag in _INLINE else [" "]
+            if id(x) in blocks:
+                stack.append(len(trees))
+                trees.append(blocks.pop(id(x)))
+                starts.append(at)
+                ends.append(at)
             stack += [*edge, *reversed(x.parts), *edge]
-    return " ".join("".join(out).split())
+    content = blake2b(",".join(str(of.get(id(x), 0)) for x in mains).encode(), digest_size=8).digest()
+    return int.from_bytes(content, "little", signed=True), "".join(out), trees, starts, ends, list(set(blocks.values()))
+
+
+def _without(raw: str, blocks: Iterable[tuple[int, int, int]], gone: set[int]) -> str:
+    """The text without the blocks (hash, start, end; outer before inner) in ``gone``."""
+    out, at = [], 0
+    for tree, start, end in blocks:
+        if tree in gone and start >= at:
+            out.append(raw[at:start])
+            at = end
+    return " ".join("".join([*out, raw[at:]]).split())
 
 
 def _host(url: str | None) -> str:
@@ -150,47 +185,53 @@ def _host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("article", pa.int64()), ("raw", pa.string()), ("trees", _LONGS), ("starts", _INTS), ("ends", _INTS), ("others", _LONGS)])
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """For every row (page_id, url, html): page_id, url, text, n_chars.
 
     Every block element that isn't navigation, header, footer, sidebar, form, script, advert, notice or comment
-    by its name, role or class is hashed with all it holds; hashes are counted per host, once a page, and
-    subtrees on at least 5 and half of a host's pages go. At most twice as many hashes as a page has blocks can
-    recur like that, which bounds what a host hands to its pages. What is left in the article (in the body
-    where a page has none) is the text.
+    by its name, role or class is hashed with all it holds; hashes are counted per host, once for each different
+    article (body where a page has none), so copies of an article count once. Subtrees in at least 5 and half
+    of a host's articles go, and those of 5 words or more in at least 20 of them. What is left in the article
+    (in the body where a page has none) is the text.
 
     Null, empty or textless html gives an empty text; pages without a url share the empty host; a null page_id
-    stays null; repeated rows count as pages of their own; an empty table gives no rows; further columns are
-    ignored. Nothing is cut short, and pages may nest deeply.
+    stays null; repeated rows get their text each; an empty table gives no rows; further columns are ignored.
+    Nothing is cut short, and pages may nest deeply. Articles that differ in anything count as different.
     """
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
 
-    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(zip(*(_article(_parse(html)) for html in batch.column(2).to_pylist()))) or [()] * 6
+            hosts = [_host(u) for u in batch.column(1).to_pylist()]
+            columns = [pa.array(x, t) for x, t in zip([hosts, *found], _PARSED.types[2:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], _PARSED.names)
+
+    parsed = saved(pages.mapInArrow(parse, "page_id long, url string, host string, article long, raw string, trees array<long>, starts array<int>, ends array<int>, others array<long>"))
+    articles = parsed.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("articles"))
+    seen = parsed.select("host", "article", F.explode(F.array_distinct(F.concat("trees", "others"))).alias("tree"))
+    counts = seen.groupBy("host", "tree").agg(F.count_distinct("article").alias("n")).filter(f"n >= {LEAST_PAGES}")
+    gone = counts.join(articles, "host").filter(f"n >= {LEAST_SHARE} * articles or n >= {MANY_PAGES} and tree & 1 = 1").select("host", "tree")
+    # all pages of an article hold the same blocks, so what goes is handed out by article: never more than a page has
+    held = parsed.select("host", "article", F.explode(F.array_distinct("trees")).alias("tree"))
+    gone = held.join(saved(gone), ["host", "tree"]).groupBy("host", "article").agg(F.collect_set("tree").alias("gone"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            found = []
-            for html in batch.column(1).to_pylist():
-                of: dict[int, int] = {}
-                root = _parse(html)
-                _hashes(root, of)
-                found.append(list(set(of.values())))
-            yield pa.RecordBatch.from_arrays([pa.array([_host(u) for u in batch.column(0).to_pylist()], pa.string()), pa.array(found, pa.list_(pa.int64()))], ["host", "trees"])
-
-    seen = pages.select("url", "html").mapInArrow(subtrees, "host string, trees array<long>")
-    pages_of = seen.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = seen.select("host", F.explode("trees").alias("tree")).groupBy("host", "tree").count().filter(f"count >= {LEAST_PAGES}")
-    gone = counts.join(pages_of, "host").filter(F.col("count") >= LEAST_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("tree").alias("gone"))
+            packed = pa.array([press.compress(raw.encode()) for raw in batch.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], packed, *batch.columns[5:]], [*_PARSED.names[:4], "packed", *_PARSED.names[5:8]])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for html, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                of: dict[int, int] = {}
-                root = _parse(html)
-                if gone:
-                    _hashes(root, of)
-                texts.append(_text(root, set(gone or ()), of))
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 7)))
+            texts = [_without(zstandard.decompress(packed).decode(), zip(trees, starts, ends), set(gone or ())) for packed, trees, starts, ends, gone in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    host = F.lower(F.regexp_extract("url", r"^(?i:(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*))", 1))
-    joined = pages.withColumn("host", F.coalesce(host, F.lit(""))).join(gone, "host", "left")
-    return joined.select("page_id", "url", "html", "gone").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    packed = parsed.drop("others").mapInArrow(pack, "page_id long, url string, host string, article long, packed binary, trees array<long>, starts array<int>, ends array<int>")
+    joined = packed.join(gone, ["host", "article"], "left")
+    return joined.select("page_id", "url", "packed", "trees", "starts", "ends", "gone").mapInArrow(extract, "page_id long, url string, text string, n_chars long")

@@ -17,3 +17,21 @@ def test_article_without_template(spark):
     assert (got[101], got[102], got[103], got[104], got[None]) == ("", "", "plain & text", "deep", "xy z")
     assert all(r.n_chars == len(r.text) for r in main_texts(df).collect())
     assert main_texts(df.limit(0)).count() == 0
+
+
+def test_copies_of_an_article_are_not_its_template(spark):
+    page = "<body><article><h1>Title %s</h1><p>All of the news %s</p><ul><li>point %s</li></ul><div>Follow this site for more</div></article></body>"
+    rows = [(i, f"https://h.example.org/?v={i}", page % (("x",) * 3)) for i in range(20)]
+    rows += [(20 + i, f"https://h.example.org/{i}", page % ((i,) * 3)) for i in range(6)]
+    rows += [(100 + i, None, page % (("y",) * 3)) for i in range(8)]
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == "Title x All of the news x point x" for i in range(20))
+    assert all(got[20 + i] == f"Title {i} All of the news {i} point {i}" for i in range(6))
+    assert all(got[100 + i] == "Title y All of the news y point y Follow this site for more" for i in range(8))
+
+
+def test_template_of_one_section_of_a_large_host(spark):
+    section = "<div>You are reading the sports pages</div><table><tr><td>1</td></tr></table>"
+    rows = [(i, f"https://h.example.org/{i}", f"<article><p>story {i}</p>{section if i < 30 else ''}</article>") for i in range(200)]
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == (f"story {i} 1" if i < 30 else f"story {i}") for i in range(200))
