@@ -12,9 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import MEMO_WORDS, slices, window_hashes, window_starts
+from ledgerloom.llm._common import MEMO_WORDS, _odd, mix, slices, window_hashes, window_starts
 
-#: Template tokens of a window; shorter items are one window, down to LEAST tokens.
+#: Template tokens of a window; shorter items are one window. Windows of fewer than LEAST tokens, and those with more
+#: slots than words, are compared word by word.
 WINDOW, LEAST = 8, 4
 #: Share of an item's tokens that consistent windows must cover.
 COVERAGE = 0.6
@@ -58,36 +59,60 @@ def _code(text: str) -> int:
 
 
 class _Canon(dict):
-    """bytes of a word -> (template code, slot code or 0)."""
+    """bytes of a word -> (template code, slot code or 0); (0, its own code) if it is nothing but marks."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) >= MEMO_WORDS:
             self.clear()
         kind, token, value = canonical(word.decode("utf-8", "replace"))
-        self[word] = found = (_code(token) if token else 0, _code(f"{kind} {value}") if kind else 0)
+        self[word] = found = (_code(token) if token else 0, _code(f"{kind} {value}") if kind else 0 if token else _code(f"marks {word.decode('utf-8', 'replace')}"))
         return found
 
 
-def _tokens(texts: list[bytes | None], memo: _Canon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template codes and slot codes of all texts, and where each text starts."""
-    parts = []
+def _tokens(texts: list[bytes | None], memo: _Canon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template codes and slot codes of all texts, where each text starts, and codes of the lone marks before each token."""
+    parts, marks, at = [], {}, 0
     for t in texts:
         pairs = np.array([memo[w] for w in t.split()] if t else [], np.int64).reshape(-1, 2)
-        parts.append(pairs[pairs[:, 0] != 0])
+        full = pairs[:, 0] != 0
+        if not full.all():
+            lone = np.flatnonzero(~full)
+            for k, code in zip((lone - np.arange(len(lone)) + at).tolist(), pairs[lone, 1].tolist()):
+                marks[k] = (marks.get(k, 0) * 31 + code) & 0xFFFFFFFFFFFFFFFF
+            pairs = pairs[full]
+        parts.append(pairs)
+        at += len(pairs)
     starts = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64)
     both = np.concatenate(parts) if parts else np.empty((0, 2), np.int64)
-    return both[:, 0].copy().view(np.uint64), both[:, 1], starts
+    glue = np.zeros(at + 1, np.uint64)
+    glue[np.fromiter(marks, np.int64, len(marks))] = np.fromiter(marks.values(), np.uint64, len(marks))
+    return both[:, 0].copy().view(np.uint64), both[:, 1], starts, glue
+
+
+def _literal(size: int, n_slots: np.ndarray | int) -> np.ndarray | bool:
+    """Whether windows are too short, or have too many slots, to be told by their template."""
+    return (size < LEAST) | (2 * n_slots > size)
 
 
 def _windows(texts: list[bytes | None], memo: _Canon, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each size: owner text, position, hash and slots (a row each) of the windows with words enough."""
-    codes, slots, starts = _tokens(texts, memo)
+    """For each size: owner text, position, hash and slots (a row each) of the windows.
+
+    The hash is of the template, or of words, slot values and the lone marks between them where that says too little.
+    """
+    codes, slots, starts, glue = _tokens(texts, memo)
     filled = np.r_[0, np.cumsum(slots != 0)]
     for size in sizes:
         at, owner = window_starts(starts, size)
-        words = size - (filled[at + size] - filled[at])
-        at, owner = at[2 * words >= size], owner[2 * words >= size]
-        yield owner, at - starts[owner], window_hashes(codes, size)[at].view(np.int64), np.lib.stride_tricks.sliding_window_view(slots, size)[at] if len(at) else np.empty((0, size), np.int64)
+        h = window_hashes(codes, size)[at]
+        exact = np.flatnonzero(_literal(size, filled[at + size] - filled[at]))
+        found = np.zeros(len(exact), np.uint64)
+        for j, (m, g) in enumerate(zip(_odd(2000 + size, size), _odd(3000 + size, size))):
+            k = at[exact] + j
+            found += np.where(slots[k] != 0, slots[k].view(np.uint64), codes[k]) * m
+            if j:
+                found += glue[k] * g
+        h[exact] = mix(found)
+        yield owner, at - starts[owner], h.view(np.int64), np.lib.stride_tricks.sliding_window_view(slots, size)[at] if len(at) else np.empty((0, size), np.int64)
 
 
 def _index(items: pd.DataFrame) -> pd.DataFrame:
@@ -96,7 +121,7 @@ def _index(items: pd.DataFrame) -> pd.DataFrame:
     texts = [None if t is None else bytes(t) for t in items["text"]]
     n = np.diff(_tokens(texts, memo)[2])
     out = []
-    for size in range(LEAST, WINDOW + 1):
+    for size in range(1, WINDOW + 1):
         own = np.flatnonzero(n >= WINDOW) if size == WINDOW else np.flatnonzero(n == size)
         for owner, pos, h, slots in _windows([texts[i] for i in own], memo, (size,)):
             out.append(pd.DataFrame({"h": h, "item_id": items["item_id"].to_numpy()[own[owner]], "n": n[own[owner]], "ipos": pos, "size": size, "islots": [s.tobytes() for s in slots]}))
@@ -113,14 +138,22 @@ def _judge(matches: list) -> tuple[float, int, int]:
     """Coverage, windows and exchanged slots of the matches of one document and item.
 
     Windows on one diagonal belong to one passage: there every slot value of the item must stand for one value
-    of the document, and the other way round; a diagonal that breaks this is no copy of the question.
+    of the document, and the other way round; a diagonal that breaks this is no copy of the question. Windows
+    compared word by word are copies as they are.
     """
     passages: dict[int, list] = {}
     for m in {(m["pos"], m["ipos"], m["size"], bytes(m["slots"]), bytes(m["islots"])) for m in matches}:
         passages.setdefault(m[0] - m[1], []).append(m)
     covered: set[int] = set()
     windows, changed = 0, set()
-    for passage in passages.values():
+    for whole in passages.values():
+        passage = []
+        for m in whole:
+            if _literal(m[2], np.count_nonzero(np.frombuffer(m[4], np.int64))):
+                windows += 1
+                covered.update(range(m[1], m[1] + m[2]))
+            else:
+                passage.append(m)
         forth: dict[int, int] = {}
         back: dict[int, int] = {}
         for *_, slots, islots in passage:
@@ -142,10 +175,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents (doc_id, text) that hold an item (item_id, text): doc_id, item_id, coverage, windows, changed.
 
     Words become template tokens: numbers, capitalised words (names) and units turn into typed placeholders,
-    other words lose case and marks at their edges. Windows of 8 tokens, at least half of them words, are
-    joined by hash; slot values must map one to one along a passage; a document counts if its consistent windows
-    cover 60 % of the item. ``changed`` counts slot values that were exchanged. Items of 4 to 7 tokens are one
-    window; shorter items, and items that are mostly slots, can't be told and are ignored.
+    other words lose case and marks at their edges. Windows of 8 tokens are joined by hash; slot values must map
+    one to one along a passage; a document counts if its consistent windows cover 60 % of the item. ``changed``
+    counts slot values that were exchanged. Items of fewer than 8 tokens are one window. Windows with more slots
+    than words, or of fewer than 4 tokens, must agree in every word and value (case and marks at the edges of words
+    aside): verbatim copies are found whatever the item, so an item of one word is found wherever the word stands,
+    but exchanged values only where words outweigh slots. An item without any word or number is left out.
 
     Null texts match nothing; null ids of documents or items are left out; repeated rows change nothing; empty
     tables give no rows; further columns are ignored.
@@ -183,7 +218,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         matches = docs.mapInArrow(look, _MATCH)
     else:
-        sizes = tuple(range(LEAST, WINDOW + 1))
+        sizes = tuple(sorted(r["size"] for r in index.select(F.col("size").cast("int")).distinct().collect()))
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             memo = _Canon()

@@ -53,6 +53,21 @@ def test_reparameterised_questions(spark):
     assert decontam.contaminated(df.limit(0), items).count() == decontam.contaminated(df, items.limit(0)).count() == 0
 
 
+def test_verbatim_copies_of_short_and_slot_heavy_items(spark):
+    texts = ["Convert 5 km to miles.", "Who wrote Pride and Prejudice?", "Simplify 3 + 4 * 2", "Sort Oslo Rome Paris Bern Wien Prag Riga Kyiv Bonn Genf by the size of each one", "Define entropy", "two plus two"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(i, f"some words ({x}) - and more of them") for i, x in enumerate(texts)]
+    rows += [(10, "Convert 7 km to miles."), (11, "Simplify 3 - 4 * 2 now"), (12, "Who wrote Emma and Prejudice?"), (13, "define the entropy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    old = decontam.BROADCAST_WINDOWS
+    try:
+        for decontam.BROADCAST_WINDOWS in (old, 0):
+            got = sorted((r.doc_id, r.item_id, r.coverage, r.changed) for r in decontam.contaminated(docs, items).collect())
+            assert got == [(i, i, 1.0, 0) for i in range(len(texts))]
+    finally:
+        decontam.BROADCAST_WINDOWS = old
+
+
 def test_benchmark_passages_in_documents(spark):
     docs = {r.doc_id: " ".join(r.text.split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = {r.item_id: " ".join(r.text.split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
