@@ -65,3 +65,16 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id, r.class_id, r.n_links, r.group_id, r.kept) for r in similar_documents(df).collect()), key=str)
     assert got == [(2, 2, 1, 2, True), (2, 2, 1, 2, True), (3, 3, 0, 3, True), (None, None, 0, None, True)]
     assert similar_documents(df.limit(0)).count() == 0
+
+
+def test_links_at_the_threshold(spark):
+    # of 81 shingles 9 are exchanged: similarity 72 / 90
+    rng = random.Random(5)
+    rows = []
+    for d in range(1500):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(85)]
+        v = list(w)
+        v[40:45] = [f"x{rng.randrange(10**6)}" for _ in range(5)]
+        rows += [(2 * d, " ".join(w)), (2 * d + 1, " ".join(v))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert similar_documents(df).filter("n_links = 1").count() >= 0.978 * len(rows)
