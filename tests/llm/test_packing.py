@@ -9,14 +9,13 @@ from tokenizers import Tokenizer
 from ledgerloom.llm._tokens import byte_encoder, word_encoder
 from ledgerloom.llm.packing import pack
 
-ODD = ["", " ", "a\n\n b", "x  y", "é́ a", " ́x", "don't 's 'S it 's", "a b c", "\x1c a \x85 b", "tab\tx y\n", "A<|endoftext|> b", "日本 語 x", "­ ­", "a ͅ", "İ I ẞ", "x ¡y ª º", "a ǅ b", "Σ Σ ΑΣ Β", "a" * 3000, "12 3.4 '5"]
+ODD = ["", " ", "a\n\n b", "x  y", "é́ a", " ́x", "don't 's 'S it 's", "a b c", "\x1c a \x85 b", "tab\tx y\n", "A<|endoftext|> b", "<|startoftext|><|endoftext|>", "x <|ENDOFTEXT|> <|", "<|endoftext|", "é <|endoftext|>日", "日本 語 x", "­ ­", "a ͅ", "İ I ẞ", "x ¡y ª º", "a ǅ b", "Σ Σ ΑΣ Β", "a" * 3000, "12 3.4 '5"]
 
 
 @pytest.mark.parametrize("name,encoder", [("word_bpe_49k.json", word_encoder), ("byte_bpe_50k.json", byte_encoder)])
 def test_encoders_agree_with_the_library(name, encoder):
     path = public_tokenizers.path(name)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     encode = encoder(path)
     latin = "".join(map(chr, range(256)))
     more = ["".join(random.Random(k).choices(latin + " '.  \n" * 20 + "sdtremvlabcXYZ019" * 6, k=300)) for k in range(60)]
