@@ -1,41 +1,48 @@
 """A context-mixing range coder for token ids, run over many blocks side by side.
 
 Every block starts from a fresh model and a fresh coder, so blocks can be read alone; they are stepped through
-together, one id of each at a time, so that numpy does the work, and every step does the same few operations for
-all blocks. The chance that the next id is the one that the last two ids (order 2), or else the last id (order 1),
-led to before is a logistic mix of what both orders' records say, with learned weights; other ids are coded byte by
-byte by the frequencies of the block so far (order 0), renewed ever more seldom. All arithmetic is in integers (one
-quotient is taken in doubles, where it is exact), so any machine decodes what another one wrote.
-
-A frame: magic, version, bytes of an id, number of blocks; then for each block its ids, bytes and the CRC-32 of
-its ids (little-endian unsigned 32-bit); the CRC-32 of all that; then the blocks' bytes one after another. The last of several blocks is
-filled up with zeros, which the reader drops.
+together, one id of each at a time, so that numpy does the work. Three orders predict the next id:
+
+* order 2: the id that followed the last two ids before, with a trust (how often in a row it did);
+* order 1: the id that followed the last id before, with its trust;
+* order 0: every id of the block so far, as often as it came; an id never met is written out.
+
+Their predictions are mixed: each order has a share of the number line, set by how often it was right before in
+the same state (both trusts, and whether orders 2 and 1 agree), and each id has the share of the orders that
+predict it (orders that agree lie side by side and count together). Shares and order 0's frequencies are learned
+from the block so far, ever more seldom. All arithmetic is in integers (quotients of small numbers are taken in
+doubles, where they are exact), so any machine decodes what another one wrote.
+
+A frame: magic, version, bytes of an id, number of blocks; then for each block its ids, words and the CRC-32 of
+its ids (little-endian unsigned 32-bit); the CRC-32 of all that; then the words of all blocks one after another,
+30 bits each. The last of several blocks is filled up with zeros, which the reader drops.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from itertools import pairwise
 
 import numpy as np
 
 BLOCK = 2048
-MAGIC, VERSION = b"LLTI", 2
-_SLOT_BITS = 11
-_STRETCH = np.round(np.log(np.arange(1, 4096) / (4096 - np.arange(1, 4096))) * 256).astype(np.int64)
-_STRETCH = np.r_[_STRETCH[0], _STRETCH]
-_SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 32, 4064).astype(np.int64)
-_FLAG_BITS, _BYTE_BITS = 12, 11
-_LOW32, _ALL = 0xFFFFFFFF, (1 << 62) - 1
-_WORD, _LEAST_BITS = 24, 24
+MAGIC, VERSION = b"LLTI", 3
+_WORD, _LEAST_BITS = 30, 30
 _LEAST, _WHOLE = 1 << _LEAST_BITS, 1 << _LEAST_BITS + _WORD
-#: What a record's trust becomes when it was right.
-_RIGHT = np.array([1, 2, 3, 3])
+#: The number line is cut into 2**_UNITS units, and each of them so finely that an id of 16 bits fits into one.
+_UNITS, _FINE = 10, 16
+_LINE = _UNITS + _FINE
+_SLOT_BITS, _CHECK_BITS = 11, 14
+_CHECK = (1 << _CHECK_BITS) - 1
+_ORDER2, _ORDER1, _ORDER0, _NEW = range(4)
+#: Units that orders 0 and new ids, and an order with a prediction, have at least.
+_FLOOR = 4
 
 
 class _Coder:
-    """Range coder with 24-bit words, one state a lane. The range is at least 2**24 before a step and loses at most
-    22 bits in it, so a step moves one word at most; carries stay above the words until ``finish`` hands them on.
+    """Range coder with 30-bit words, one state a lane. The range is at least 2**30 before a step and at least
+    2**6 after it, so a step moves one word at most; carries stay above the words until ``finish`` hands them on.
     """
 
     def __init__(self, lanes: int, size: int, words: np.ndarray | None = None):
@@ -50,11 +57,11 @@ class _Coder:
                 self.at += lanes
 
     def value(self, bits: int) -> np.ndarray:
-        return (self.low / (self.range >> bits)).astype(np.int64) & (1 << bits) - 1  # the mask is for damaged words
+        return np.minimum(self.low // (self.range >> bits), (1 << bits) - 1)  # the bound is for damaged words
 
-    def step(self, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
+    def step(self, start: np.ndarray, size: np.ndarray, bits: int) -> None:
         r = self.range >> bits
-        self.range = r * freq
+        self.range = r * size
         r *= start
         need = (self.range < _LEAST).astype(np.int64)
         shift = need * _WORD
@@ -65,7 +72,7 @@ class _Coder:
         else:
             self.low += r
             self.flat[self.at] = self.low >> _LEAST_BITS
-            self.low &= need * (_LEAST - 1 - _ALL) + _ALL
+            self.low &= (need << _LEAST_BITS) - need | need - 1
             self.low <<= shift
         self.range <<= shift
         need *= self.lanes
@@ -86,162 +93,205 @@ class _Coder:
         return np.ascontiguousarray(words.T), used
 
 
-class _Flag:
-    """Whether the guess holds: a mix of the records of order 2 and order 1, each with what happened lately."""
-
-    def __init__(self, lanes: int):
-        self.lanes = np.arange(lanes) * 64
-        self.by2, self.by1 = np.full(lanes * 64, 1024, np.int64), np.full(lanes * 64, 1024, np.int64)
-        self.past = np.zeros(lanes, np.int64)
-        self.w2, self.w1 = np.full(lanes, 36000, np.int64), np.full(lanes, 28000, np.int64)
-
-    def code(self, coder: _Coder, trust2: np.ndarray, trust1: np.ndarray, agree: np.ndarray, hit: np.ndarray | None) -> np.ndarray:
-        base = self.lanes + self.past + agree * np.int64(32)
-        a, b = base + trust2 * 8, base + trust1 * 8
-        p2, p1 = self.by2.take(a), self.by1.take(b)
-        s2, s1 = _STRETCH.take(p2), _STRETCH.take(p1)
-        p = _SQUASH.take(((self.w2 * s2 + self.w1 * s1) >> 16) + 2048, mode="clip")
-        if hit is None:
-            hit = coder.value(_FLAG_BITS) < p
-        coder.step(np.where(hit, 0, p), np.where(hit, p, 4096 - p), _FLAG_BITS)
-        err = np.where(hit, 4095, 0) - p
-        self.w2 += s2 * err >> 10
-        self.w1 += s1 * err >> 10
-        goal = np.where(hit, 4064, 32)
-        self.by2[a] = p2 + (goal - p2 >> 4)
-        self.by1[b] = p1 + (goal - p1 >> 4)
-        self.past = (self.past << 1 | hit) & 7
-        return hit
-
-
 class _Memory:
-    """The id that followed a context last, and how often in a row it did (its trust), as id * 4 + trust."""
+    """For orders 1 and 2 (two rows): the id that followed a context last and its trust, as id, check bits of
+    the context and trust in one number. The check bits tell contexts apart that share a slot."""
 
     def __init__(self, lanes: int, width: int):
-        self.first = np.arange(lanes) << _SLOT_BITS
-        self.records = np.zeros(lanes << _SLOT_BITS, np.uint32 if width < 4 else np.int64)
+        self.first = np.arange(2 * lanes).reshape(2, lanes) << _SLOT_BITS
+        self.records = np.zeros(2 * lanes << _SLOT_BITS, np.uint32 if width < 4 else np.uint64)
+        self.kind = self.records.dtype.type
 
-    def look(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = self.first + ((context * 0x9E3779B1 & _LOW32) >> 32 - _SLOT_BITS)
-        record = self.records.take(at).astype(np.int64)
-        return at, record >> 2, record & 3
+    def look(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids predicted for both contexts (uint32), and how far to trust them (0: not at all)."""
+        mixed = context * np.uint32(0x9E3779B1)
+        self.at = self.first + (mixed >> np.uint32(32 - _SLOT_BITS))
+        self.check = (mixed & np.uint32(_CHECK)).astype(self.kind, copy=False)
+        record = self.records.take(self.at)
+        trust = (record & self.kind(3)) * ((record >> self.kind(2) & self.kind(_CHECK)) == self.check)
+        return (record >> self.kind(_CHECK_BITS + 2)).astype(np.uint32, copy=False), trust.astype(np.int32, copy=False)
 
-    def learn(self, at: np.ndarray, guess: np.ndarray, trust: np.ndarray, ids: np.ndarray) -> None:
-        self.records[at] = (ids << 2) + np.where(guess == ids, _RIGHT.take(trust), 1)
+    def learn(self, right: np.ndarray, trust: np.ndarray, ids: np.ndarray) -> None:
+        """``right``: whether each prediction came true."""
+        trust = np.minimum(trust * right + np.int32(1), np.int32(3))
+        self.records[self.at] = (ids.astype(self.kind, copy=False) << self.kind(_CHECK_BITS) | self.check) << self.kind(2) | trust.astype(self.kind)
 
 
-class _Bytes:
-    """Frequencies of one byte of the ids so far, and while decoding the byte of every number below their sum."""
+class _Shares:
+    """Where the shares of order 1, order 0 and new ids begin for every state, learned from what came true."""
 
-    def __init__(self, lanes: int, shift: int, decodes: bool):
-        self.shift, self.decodes = shift, decodes
-        self.first, self.slots = np.arange(lanes) << 8, np.arange(lanes) << _BYTE_BITS
-        self.counts = np.zeros(lanes << 8, np.int32)
-        self._fill(np.broadcast_to(np.arange(1, 257, dtype=np.int32) * 7, (lanes, 256)))
-
-    def renew(self, ids: np.ndarray, seen: int) -> None:
-        """Count ``ids`` (lanes x steps) too; each lane has ``seen`` ids now."""
-        self.counts += np.bincount(((ids >> self.shift & 255) + self.first[:, None]).reshape(-1), minlength=len(self.counts)).astype(np.int32)
-        self._fill(np.cumsum(self.counts.reshape(-1, 256), axis=1, dtype=np.int32) * 1792 // np.int32(seen))
-
-    def _fill(self, sums: np.ndarray) -> None:
-        ends = sums + np.arange(1, 257, dtype=np.int32)  # each byte keeps a share of 1, so all sum up to 2048
-        freq = np.diff(ends, axis=1, prepend=np.int32(0))
-        self.table = ((ends - freq) << 12 | freq).reshape(-1)
-        if self.decodes:
-            symbols = np.broadcast_to(np.arange(256, dtype=np.uint8), freq.shape)
-            self.symbols = np.repeat(symbols.reshape(-1), freq.reshape(-1))
-
-    def at(self, value: np.ndarray) -> np.ndarray:
-        return self.symbols.take(self.slots + value).astype(np.int64)
-
-    def share(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        entry = self.table.take(self.first + symbol).astype(np.int64)
-        return entry >> 12, entry & 4095
-
-
-class _Pair:
-    """Two bytes of an id in one step: the share of the lower one is cut from that of the upper one."""
-
-    def __init__(self, lanes: int, shift: int, decodes: bool):
-        self.shift = shift
-        self.parts = _Bytes(lanes, shift + 8, decodes), _Bytes(lanes, shift, decodes)
-
-    def code(self, coder: _Coder, hit: np.ndarray, pair: np.ndarray | None) -> np.ndarray:
-        """Code a pair in each lane but those that hit, where nothing changes."""
-        upper, lower = self.parts
-        if pair is None:
-            value = coder.value(2 * _BYTE_BITS)
-            high = upper.at(value >> _BYTE_BITS)
-            start, freq = upper.share(high)
-            start <<= _BYTE_BITS
-            low = lower.at(((value - start) / freq).astype(np.int64))
-            pair = high << 8 | low
-        else:
-            low = pair & 255
-            start, freq = upper.share(pair >> 8)
-            start <<= _BYTE_BITS
-        more, part = lower.share(low)
-        start += freq * more
-        freq *= part
-        start[hit] = 0
-        freq[hit] = 1 << 2 * _BYTE_BITS
-        coder.step(start, freq, 2 * _BYTE_BITS)
-        return pair
+    def __init__(self, lanes: int):
+        self.lanes = lanes
+        state = np.arange(32)
+        trust2, trust1, agree = state >> 3, state >> 1 & 3, state & 1
+        self.has2, self.has1 = trust2 > 0, (trust1 > 0) & ~((agree == 1) & (trust2 > 0))
+        prior = np.stack([self.has2 * (1 + 2 * trust2), self.has1 * (1 + trust1), np.full(32, 4), np.full(32, 4)], 1)
+        self.counts = np.broadcast_to(prior.astype(np.int32), (lanes, 32, 4)).copy()
+        self._fill()
+
+    def learn(self, states: np.ndarray, came: np.ndarray) -> None:
+        """Steps x lanes each."""
+        at = (np.arange(0, self.lanes * 128, 128, dtype=np.int32) + (states.astype(np.int32) << 2 | came)).reshape(-1)
+        self.counts += 2 * np.bincount(at, minlength=128 * self.lanes).reshape(self.counts.shape).astype(np.int32)
+        self._fill()
+
+    def _fill(self) -> None:
+        floor = _FLOOR * np.stack([self.has2, self.has1, np.ones(32, bool), np.ones(32, bool)], 1).astype(np.int32)
+        free = (1 << _UNITS) - floor.sum(1, dtype=np.int32)
+        sums = np.cumsum(self.counts, axis=2, dtype=np.int32)
+        ends = sums[:, :, :3] * free[:, None] // sums[:, :, 3:] + np.cumsum(floor, axis=1, dtype=np.int32)[:, :3]
+        self.table = (ends[:, :, 0] | ends[:, :, 1] << _UNITS | ends[:, :, 2] << 2 * _UNITS).reshape(-1)
+
+
+def _renewals(steps: int) -> list[int]:
+    """After how many ids the model is learned anew: ever more seldom."""
+    out, due = [0], 16
+    while due < steps:
+        out.append(due)
+        due += max(16, due // 2)
+    return [*out, steps]
+
+
+def _runs(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of a sorted matrix, where the runs of equal values start and how long they are, in one sequence."""
+    new = np.ones(value.shape, bool)
+    np.not_equal(value[:, 1:], value[:, :-1], out=new[:, 1:])
+    at = np.flatnonzero(new)
+    return at, np.diff(at, append=value.size)
+
+
+class _Past:
+    """Order 0: the ids of a block so far in ascending order; an id's share is the stretch it fills."""
+
+    def __init__(self, ids: np.ndarray):
+        """For decoding: every place of the stretches tells the id (``ids``: lanes x those past), their first place
+        and their number."""
+        lanes, self.n = ids.shape
+        value = np.sort(ids, axis=1)
+        at, length = _runs(value)
+        packed = value.reshape(-1)[at].astype(np.int64) << 32 | (at % self.n) << 16 | length
+        self.table, self.base = np.repeat(packed, length), np.arange(lanes) * self.n
+
+    @staticmethod
+    def ahead(ids: np.ndarray, known: int) -> np.ndarray:
+        """For encoding: first place << 16 | number, of each id (steps x lanes) after the first ``known`` ones; 0 if new."""
+        lanes, n = ids.shape
+        kind = np.uint32 if ids.max(initial=0) < 65536 else np.uint64
+        packed = ids.astype(kind)
+        packed <<= kind(16)
+        packed |= np.arange(n, dtype=kind)
+        packed.sort(axis=1)
+        place = packed & kind(0xFFFF)
+        at, length = _runs(packed >> kind(16))
+        before = np.zeros(place.size + 1, np.int32)
+        np.cumsum(place.reshape(-1) < known, dtype=np.int32, out=before[1:])
+        first = before[at]
+        count = before[at + length] - first  # the past comes first in a run
+        first %= np.int32(max(known, 1))
+        found = np.where(count > 0, first << 16 | count, np.int32(0))
+        spot = place.astype(np.int64)
+        spot += np.arange(0, lanes * n, n)[:, None]
+        out = np.empty((lanes, n), np.int32)
+        out.reshape(-1)[spot.reshape(-1)] = np.repeat(found, length)
+        return np.ascontiguousarray(out[:, known:].T)
 
 
 def _run(coder: _Coder, width: int, ids: np.ndarray) -> None:
-    """Step through all blocks, the columns of ``ids``; while decoding, fill it in."""
-    steps, lanes = ids.shape
-    memory1, memory2, flag = _Memory(lanes, width), _Memory(lanes, width), _Flag(lanes)
-    pairs = [_Pair(lanes, 8 * k, coder.decodes) for k in range(0, width, 2)]
-    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    renewed, due = 0, 16
-    for t in range(steps):
-        at1, guess1, trust1 = memory1.look(last)
-        at2, guess2, trust2 = memory2.look(last * 65599 + before)
-        guess = np.where(trust2 > 0, guess2, guess1)
-        got = None if coder.decodes else ids[t].astype(np.int64)
-        hit = flag.code(coder, trust2, trust1, guess1 == guess2, None if got is None else got == guess)
-        if not hit.all():
-            if got is None:
-                got = np.zeros(lanes, np.int64)
-                for pair in pairs:
-                    got |= pair.code(coder, hit, None) << pair.shift
-                got = np.where(hit, guess, got)
+    """Step through all blocks, the rows of ``ids`` (lanes x steps); while decoding, fill it in."""
+    lanes, steps = ids.shape
+    if not ids.size:
+        return
+    memory, shares, decodes = _Memory(lanes, width), _Shares(lanes), coder.decodes
+    own = np.arange(lanes) * 32
+    context = np.zeros((2, lanes), np.uint32)
+    states, came = np.zeros((steps, lanes), np.uint8), np.zeros((steps, lanes), np.uint8)
+    one, part, whole, learned = np.int32(1), np.int32((1 << _UNITS) - 1), np.int32(1 << _UNITS), 0
+    for a, b in pairwise(_renewals(steps)):
+        if a:
+            shares.learn(states[learned:a], came[learned:a])
+            learned = a
+        if decodes:
+            rows = np.zeros((b - a, lanes), np.uint32)
+            past = _Past(ids[:, :a]) if a else None
+        else:
+            rows, ahead = np.ascontiguousarray(ids[:, a:b].T), _Past.ahead(ids[:, :b], a)
+        for t in range(b - a):
+            guess, trust = memory.look(context)
+            state = trust[1] << 3 | trust[0] << 1 | (guess[0] == guess[1])
+            table = shares.table.take(own + state)
+            end2, end1, end0 = table & part, table >> _UNITS & part, table >> 2 * _UNITS
+            each = (end0 - end1 << _FINE) // np.int32(max(a, 1))  # of the line, for each id of the past
+            if decodes:
+                value = coder.value(_LINE).astype(np.int32)
+                unit = value >> _FINE
+                hit2, hit, new = unit < end2, unit < end1, unit >= end0
+            else:
+                x = rows[t]
+                entry = ahead[t]
+                right = guess == x
+                known = right & (trust > 0)
+                hit2, hit, new = known[1], known[0] | known[1], entry == 0
+            # the stretch of the line: a new id has its part of each of its units, order 0 so many parts of its share,
+            # and orders 2 and 1 have whole units
+            begin, share = np.where(new, end0, end1) << _FINE, np.where(new, whole - end0, each)
+            if decodes:
+                spot = ((value - begin) / share).astype(np.int64)
+                if a:
+                    entry = past.table.take(past.base + np.clip(spot, 0, a - 1))
+                    first, count, seen = (entry >> 16 & 65535).astype(np.int32), (entry & 65535).astype(np.int32), (entry >> 32).astype(np.uint32)
+                    x = np.where(new, spot.astype(np.uint32), seen)
+                else:
+                    first = count = one
+                    x = spot.astype(np.uint32)
+                x = np.where(hit, np.where(hit2, guess[1], guess[0]), x)
+                right = guess == x
+                place = np.where(new, spot.astype(np.int32), first)
             else:
-                for pair in pairs:
-                    pair.code(coder, hit, got >> pair.shift & 65535)
-        elif got is None:
-            got = guess
-        memory1.learn(at1, guess1, trust1, got)
-        memory2.learn(at2, guess2, trust2, got)
-        before, last = last, got
-        if coder.decodes:
-            ids[t] = got
-        if t + 1 == due and due < steps:
-            for part in (part for pair in pairs for part in pair.parts):
-                part.renew(ids[renewed:due].T, due)
-            renewed, due = due, due + max(16, due // 2)
+                count = entry & 65535
+                place = np.where(new, (x & np.uint32(65535)).astype(np.int32), entry >> 16)
+            begin += place * share
+            share *= np.where(new, one, count)
+            begin = np.where(hit, np.where(hit2, 0, end2 << _FINE), begin)
+            share = np.where(hit, np.where(hit2, end2, end1 - end2) << _FINE, share)
+            coder.step(begin, share, _LINE)
+            if width == 4:  # the upper half of a new id
+                new &= ~hit
+                if decodes:
+                    high = np.where(new, coder.value(16), 0)
+                    x = np.where(new, x | high.astype(np.uint32) << np.uint32(16), x)
+                    right = guess == x
+                else:
+                    high = np.where(new, x >> np.uint32(16), 0)
+                coder.step(high.astype(np.int64), np.where(new, 1, 1 << 16), 16)
+            memory.learn(right, trust, x)
+            context[1] = context[0] * np.uint32(65599) + x
+            context[0] = x
+            states[a + t] = state
+            came[a + t] = np.where(hit, np.where(hit2, _ORDER2, _ORDER1), np.where(new, _NEW, _ORDER0))
+            if decodes:
+                rows[t] = x
+        if decodes:
+            ids[:, a:b] = rows.T
 
 
 def encode_frame(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A frame of all ids (unsigned 32-bit), cut into blocks of ``block``."""
+    """A frame of all ids (unsigned 32-bit), cut into blocks of ``block`` (at most 32,768)."""
     ids = np.ascontiguousarray(ids, "<u4")
     width = 4 if len(ids) and ids.max() >> 16 else 2
     count, steps = -(-len(ids) // block), min(block, len(ids))
     grid = np.zeros((count, steps), np.uint32)
     grid.reshape(-1)[: len(ids)] = ids
-    coder = _Coder(count, (8 + 12 * width) * steps // _WORD + 8)
-    _run(coder, width, np.ascontiguousarray(grid.T))
+    coder = _Coder(count, (_LINE + 3 + 20 * (width // 4)) * steps // _WORD + 8)
+    _run(coder, width, grid)
     words, used = coder.finish()
     head = [struct.pack("<4sBBI", MAGIC, VERSION, width, count)]
     for k in range(count):
         own = ids[k * block : (k + 1) * block]
-        head.append(struct.pack("<III", len(own), 3 * int(used[k]), zlib.crc32(own.tobytes())))
+        head.append(struct.pack("<III", len(own), int(used[k]), zlib.crc32(own.tobytes())))
     head.append(struct.pack("<I", zlib.crc32(b"".join(head))))
-    packed = words.astype("<u4", copy=False).view(np.uint8).reshape(*words.shape, 4)[:, :, :3]
-    return b"".join(head + [packed[k, : used[k]].tobytes() for k in range(count)])
+    all_words = words[np.arange(words.shape[1]) < used[:, None]] if count else np.empty(0, np.uint32)
+    bits = np.unpackbits(all_words.astype(">u4").view(np.uint8)).reshape(-1, 32)[:, 32 - _WORD :]
+    return b"".join([*head, np.packbits(bits).tobytes()])
 
 
 def decode_frame(frame: bytes) -> np.ndarray:
@@ -253,17 +303,19 @@ def decode_frame(frame: bytes) -> np.ndarray:
     if len(frame) < at or zlib.crc32(frame[: at - 4]) != struct.unpack_from("<I", frame, at - 4)[0]:
         raise ValueError("the head of a frame of token ids is damaged")
     head = np.frombuffer(frame, "<u4", 3 * count, 10).reshape(-1, 3).astype(np.int64)
-    sizes, lengths = head[:, 0], head[:, 1]
-    if len(frame) != at + lengths.sum():
+    sizes, used = head[:, 0], head[:, 1]
+    total = int(used.sum())
+    if len(frame) != at + -(-total * _WORD // 8):
         raise ValueError("a frame of token ids is cut short")
-    packed = np.zeros((count, int(lengths.max(initial=0)) // 3 + 2, 4), np.uint8)
-    for k, size in enumerate(lengths.tolist()):
-        packed[k, : size // 3, :3] = np.frombuffer(frame, np.uint8, size, at).reshape(-1, 3)
-        at += size
-    words = np.ascontiguousarray(packed.view("<u4")[:, :, 0].T).astype(np.uint32, copy=False)
-    grid = np.zeros((int(sizes.max(initial=0)), count), np.uint32)
-    _run(_Coder(count, 0, words), width, grid)
-    grid = np.ascontiguousarray(grid.T).astype("<u4", copy=False)
+    bits = np.unpackbits(np.frombuffer(frame, np.uint8, offset=at), count=total * _WORD).reshape(-1, _WORD)
+    padded = np.zeros((total, 32), np.uint8)
+    padded[:, 32 - _WORD :] = bits
+    words = np.zeros((count, int(used.max(initial=0)) + 2), np.uint32)
+    words[np.arange(words.shape[1]) < used[:, None]] = np.packbits(padded).view(">u4")
+    del bits, padded
+    grid = np.zeros((count, int(sizes.max(initial=0))), np.uint32)
+    _run(_Coder(count, 0, np.ascontiguousarray(words.T)), width, grid)
+    grid = grid.astype("<u4", copy=False)
     out = [grid[k, :n] for k, n in enumerate(sizes.tolist())]
     for ids, crc in zip(out, head[:, 2].tolist()):
         if zlib.crc32(ids.tobytes()) != crc:
