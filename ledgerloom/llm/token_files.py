@@ -15,8 +15,8 @@ from ledgerloom.llm._codec import decode_frame, encode_frame
 from ledgerloom.llm._tokens import byte_encoder
 
 END_ID = 2
-#: Ids of a frame: whole documents until it is full. A frame holds some four thousand blocks.
-FRAME = 8_000_000
+#: Ids of a frame: whole documents until it is full. A frame holds some two thousand blocks.
+FRAME = 4_000_000
 _FILE = "chunk int, first long, doc_ids binary, known binary, lengths binary, frame binary"
 
 
