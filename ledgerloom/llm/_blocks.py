@@ -10,21 +10,29 @@ from ledgerloom.llm._common import components, saved
 
 #: Members of a bucket that meet in one call at most: two blocks.
 BLOCK = 128
+#: Weight (n-grams, or numbers) of a block at most, but for a single member that weighs more.
+BLOCK_WEIGHT = 2_000_000
 
 
-def bucket_blocks(keys: DataFrame, block: int = BLOCK) -> DataFrame:
-    """From (id long, tree int, key): rows (grp, id, tree, own, other).
+def bucket_blocks(keys: DataFrame, block: int = BLOCK, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """From (id long, tree int, key, probe int, weight long): rows (grp, id, tree, probe, own, other), and the buckets taken.
 
     All rows of one ``grp`` meet in one call: two blocks of a bucket, or one block with itself (own = other).
-    Buckets of one member vanish; of buckets with the same members the one of the lowest tree stays. A large
-    bucket is cut into blocks, so that no call ever holds more than two blocks, however many members it has.
+    Buckets of one member vanish; of buckets with the same members the one of the lowest tree (in it, the one with
+    the fewest probing members) stays, and none if ``before`` holds the bucket taken for these members earlier. A
+    large bucket is cut into blocks of some ``block`` members, or fewer where they weigh more than BLOCK_WEIGHT, so
+    that no call ever holds more than two blocks, however many members it has.
     """
-    rows = keys.select("id", "tree", F.xxhash64("tree", "key").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("tree").alias("t")).filter("n > 1")
-    full = full.groupBy("n", "who").agg(F.min(F.struct("t", "bucket")).alias("b")).select(F.col("b.bucket").alias("bucket"), F.ceil(F.col("n") / block).alias("blocks"))
-    rows = rows.join(full, "bucket").withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), "blocks"))
+    rows = keys.select("id", "tree", "probe", "weight", F.xxhash64("tree", "key").alias("bucket"))
+    full = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("tree").alias("t"), F.sum("probe").alias("probes"), F.sum("weight").alias("weight")).filter("n > 1")
+    full = full.groupBy("n", "who").agg(F.min(F.struct("t", "probes", "bucket", "weight")).alias("b"))
+    if before is not None:
+        full = full.join(before, ["n", "who"], "left_anti")
+    taken = saved(full.select("n", "who", F.col("b.bucket").alias("bucket"), F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("b.weight") / BLOCK_WEIGHT)).alias("blocks")))
+    rows = rows.drop("weight").join(taken.select("bucket", "blocks"), "bucket").withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "id", "tree", F.col("own").cast("int"), F.col("other").cast("int"))
+    calls = rows.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "id", "tree", "probe", F.col("own").cast("int"), F.col("other").cast("int"))
+    return calls, taken.select("n", "who")
 
 
 def pair_mask(own: np.ndarray, other: np.ndarray) -> np.ndarray:

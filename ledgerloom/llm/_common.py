@@ -32,11 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name under the shared checkpoint folder of the session."""
+    """A new folder name under the shared checkpoint folder of the session (a local one only for a local master)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext.getCheckpointDir()
         if not found:
+            if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
             found = spark.sparkContext.getCheckpointDir()
         base = found
@@ -162,8 +164,9 @@ def window_starts(starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a long, b long): one row (id, root) for each id in an edge, root its smallest.
 
-    Alternates large-star and small-star steps. Minima are combined before they are shuffled, the joins may be
-    split by Spark where a node has very many edges, and every step is written to the shared folder.
+    Alternates large-star and small-star steps. Minima are combined before they are shuffled and written to the
+    shared folder, so that joins with them have a shuffle of their own on either side and Spark can split the edges
+    of a node that has very many. Every step is written to the shared folder.
     """
     now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
@@ -173,9 +176,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(now)
     while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")))
+        large = saved(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         now = saved(small.select("e.u", "e.v").filter("u <> v").distinct())
         after = mark(now)

@@ -17,11 +17,17 @@ from ledgerloom.llm._common import map_groups, saved
 THRESHOLD = 0.95
 #: Vectors the rotations are learned from, at most; every vector is indexed.
 SAMPLE = 20_000
-#: Chance that a pair right at the threshold shares a table entry.
-TARGET = 0.99
+#: Chance that a pair right at the threshold meets in a table, and that its codes differ in no more than ``radius`` bits.
+TARGET, WITHIN = 0.99, 0.9995
 ROUNDS = 30
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the largest component is taken out first, so that squares neither vanish nor overflow."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def learn_rotations(x: np.ndarray, count: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """``count`` rotations (d x d) whose signs lose little of ``x``, and medians that balance every bit."""
     d = x.shape[1]
@@ -38,68 +44,122 @@ def learn_rotations(x: np.ndarray, count: int, rounds: int = ROUNDS) -> tuple[np
     return np.concatenate(turns, axis=1), np.concatenate(medians)
 
 
+def _chance(bits: int, flips: float, most: int) -> float:
+    """The chance that at most ``most`` of so many bits differ."""
+    return sum(math.comb(bits, k) * flips**k * (1 - flips) ** (bits - k) for k in range(most + 1))
+
+
 def plan_tables(n: int, d: int, threshold: float = THRESHOLD, target: float = TARGET) -> tuple[int, int]:
-    """Bits of a table's entry, and tables: entries grow with log2 n, so that unrelated vectors seldom meet."""
-    width = min(d, 62, max(8, math.ceil(math.log2(max(2, n))) + 4))
-    same = (1 - math.acos(threshold) / math.pi) ** width
-    return width, math.ceil(math.log(1 - target) / math.log(1 - same))
+    """Bits of a stretch of a code, and stretches (tables): stretches grow with log2 n, so that unrelated vectors seldom meet.
+
+    Two vectors meet in a table if their stretches differ in one bit at most, and half of those that differ in two.
+    """
+    width = min(d, 62, max(8, math.ceil(math.log2(max(2, n))) + 1))
+    flips = math.acos(threshold) / math.pi
+    meet = (_chance(width, flips, 1) + _chance(width, flips, 2)) / 2
+    return width, max(1, math.ceil(math.log(1 - target) / math.log(1 - min(meet, 1 - 1e-9))))
+
+
+def radius(bits: int, threshold: float = THRESHOLD) -> int:
+    """Codes of ``bits`` bits that differ in more are not compared further."""
+    flips = math.acos(threshold) / math.pi
+    return next(r for r in range(bits + 1) if _chance(bits, flips, r) >= WITHIN or r == bits)
+
+
+def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which stretches of a pair meet: equal, one bit apart, or each with one bit that the other lacks."""
+    x = a ^ b
+    n = np.bitwise_count(x)
+    return (n <= 1) | (n == 2) & (np.bitwise_count(x & a) == 1)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """For every row (vec_id, embedding): vec_id, n_links, component_id, kept.
 
-    Rotations learned on a bounded sample turn vectors into balanced binary codes; stretches of the codes index
-    them in Hamming tables; vectors that meet in a table are compared by cosine in double precision. Equal
-    vectors are compared once and counted as often as they come.
+    Rotations learned on a bounded sample turn vectors into balanced binary codes. Disjoint stretches of the codes
+    index them in Hamming tables, one for each stretch; every vector stands under its own stretch and probes those
+    that lack one of its bits, so stretches at distance 1 (and half of those at distance 2) meet. Of the vectors that
+    meet, those whose whole codes differ in few bits are compared by cosine in double precision; vectors travel only
+    to calls where such a pair is. Equal vectors are compared once and counted as often as they come.
 
-    Vectors that are null, empty or zero or hold null or non-finite components link with nothing, and so do
-    vectors of another length than the most common one. Rows with null vec_id link with nothing; repeated rows
-    count as copies. An empty table gives no rows; further columns are ignored.
+    Vectors that are null, empty or zero or hold null or non-finite components link with nothing. Vectors of
+    different lengths never link; each length has tables of its own. Rows with null vec_id link with nothing;
+    repeated rows count as copies. An empty table gives no rows; further columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("x"))
     rows = rows.withColumn("x", F.expr("if(vec_id is not null and size(x) > 0 and forall(x, v -> v is not null and not isnan(v) and abs(v) < double('inf')) and exists(x, v -> v <> 0), x, null)"))
-    dims = rows.filter("x is not null").groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = dims.d if dims else 1
-    rows = rows.withColumn("x", F.when(F.size("x") == d, F.col("x"))).withColumn("cls", F.when(F.col("x").isNotNull(), F.sha2(F.concat_ws(",", F.col("x").cast("array<string>")), 256)))
+    rows = rows.withColumn("cls", F.when(F.col("x").isNotNull(), F.sha2(F.concat_ws(",", F.col("x").cast("array<string>")), 256)))
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("x").alias("x"))
     classes = saved(classes.withColumn("id", F.monotonically_increasing_id()))
     n = classes.count()
-    width, tables = plan_tables(n, d, threshold)
-    each = max(1, d // width)
-    part = classes.filter(F.pmod(F.xxhash64("class_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 0.95 * SAMPLE / max(1, n)))).select("x").limit(SAMPLE).toPandas()
-    sample = np.stack(part["x"]) if len(part) else np.eye(d)
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    turn, median = learn_rotations(sample, math.ceil(tables / each))
-    shared = spark.sparkContext.broadcast((turn, median))  # d x (tables * width) numbers at most
+    part = classes.filter(F.pmod(F.xxhash64("class_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 0.95 * SAMPLE / max(1, n)))).select("x").limit(SAMPLE).toPandas()["x"]
+    by_length: dict[int, list] = {}
+    for x in part:
+        by_length.setdefault(len(x), []).append(x)
+
+    def plan(d: int) -> tuple[int, int, int]:
+        """Bits and number of the stretches of vectors of length d, and stretches of one rotation."""
+        width, tables = plan_tables(n, d, threshold)
+        return width, tables, max(1, d // width)
+
+    learned = {d: learn_rotations(unit(np.stack(x)), math.ceil(plan(d)[1] / plan(d)[2])) for d, x in by_length.items()}
+    shared = spark.sparkContext.broadcast(learned)  # for each length of the sample d x d numbers a rotation
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, median = shared.value
-        powers = 1 << np.arange(width, dtype=np.int64)
+        known = shared.value
         for batch in batches:
-            x = batch.column(1).values.to_numpy(zero_copy_only=False)[: d * len(batch)].reshape(-1, d)
-            bits = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ turn > median
-            bits = bits.reshape(len(batch), -1, d)[:, :, : each * width].reshape(len(batch), -1, width)[:, :tables]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(bits @ powers), pa.list_(pa.int64()))], ["id", "keys"])
-
-    codes = saved(classes.select("id", "x").mapInArrow(encode, "id long, keys array<long>"))
-    calls = bucket_blocks(codes.select("id", F.posexplode("keys").alias("tree", "key")))
+            lengths = np.diff(batch.column(1).offsets.to_numpy())
+            for d in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == d)
+                x = np.stack([v.values.to_numpy() for v in batch.column(1).take(pa.array(at))])
+                width, tables, each = plan(d)
+                if d not in known:  # a length that the sample did not hold: rotations that were not learned
+                    known[d] = learn_rotations(np.eye(d)[:1], math.ceil(tables / each), 0)
+                turn, median = known[d]
+                bits = unit(x) @ turn > median
+                own = bits.reshape(len(at), -1, d)[:, :, : each * width].reshape(len(at), -1, width)[:, :tables] @ (1 << np.arange(width, dtype=np.int64))
+                codes = [c.tobytes() for c in np.packbits(bits, axis=1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.full(len(at), d, np.int32)), pa.array(list(own), pa.list_(pa.int64())), pa.array(codes, pa.binary())], ["id", "d", "keys", "code"])
+
+    codes = saved(classes.select("id", "x").mapInArrow(encode, "id long, d int, keys array<long>, code binary"))
+    # a probed stretch lacks one of the bits of the vector's own
+    keys = codes.select("id", "d", F.posexplode("keys").alias("tree", "own"))
+    keys = keys.selectExpr("id", "d", "tree", "explode(concat(array(struct(own as key, 0 as probe)), transform(filter(sequence(0, 61), b -> own & shiftleft(1L, b) <> 0), b -> struct(own ^ shiftleft(1L, b) as key, 1 as probe)))) as e")
+    keys = keys.selectExpr("id", "tree", "struct(d, e.key) as key", "e.probe as probe", "cast(d as long) as weight")
+    calls = saved(bucket_blocks(keys)[0])
+
+    def close(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        """The members of a call in order of id, and its pairs whose codes differ in few bits."""
+        group = group.drop_duplicates("id").sort_values("id", ignore_index=True)
+        code = np.stack([np.frombuffer(c, np.uint8) for c in group["code"]])
+        bits = np.unpackbits(code, axis=1).astype(np.float32)
+        total = bits.sum(1)
+        apart = total[:, None] + total[None, :] - 2 * (bits @ bits.T)
+        i, j = np.nonzero(pair_mask(group["own"].to_numpy(), group["other"].to_numpy()) & (apart <= radius(8 * code.shape[1], threshold)))
+        # equal stretches meet under their own key, not under those that both probe, and each pair in its first table
+        tree, probe = int(group["tree"].iloc[0]), group["probe"].to_numpy()
+        stretch = np.stack(group["keys"])
+        met = _meet(stretch[i], stretch[j]) if len(i) else np.zeros((0, stretch.shape[1]), bool)
+        right = met[:, tree] & (np.argmax(met, axis=1) == tree) & ((stretch[i, tree] != stretch[j, tree]) | (probe[i] == 0))
+        return group, i[right], j[right]
+
+    def sift(group: pd.DataFrame) -> pd.DataFrame:
+        group, i, j = close(group)
+        return group.loc[np.union1d(i, j), ["grp", "id", "tree", "probe", "own", "other"]]
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id").sort_values("id", ignore_index=True)
-        ids, copies, tree = group["id"].to_numpy(), group["copies"].to_numpy(), int(group["tree"].iloc[0])
-        x = np.stack(group["x"])
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        i, j = np.nonzero(pair_mask(group["own"].to_numpy(), group["other"].to_numpy()) & (x @ x.T >= threshold))
-        keys = np.stack(group["keys"])
-        same = keys[i] == keys[j]
-        first = (np.argmax(same, axis=1) == tree) & same[:, tree] if len(i) else np.zeros(0, bool)
-        i, j = i[first], j[first]
+        group, i, j = close(group)
+        ids, copies, x = group["id"].to_numpy(), group["copies"].to_numpy(), unit(np.stack(group["x"]))
+        near = (x @ x.T)[i, j] >= threshold
+        i, j = i[near], j[near]
         links = np.zeros(len(ids), np.int64)
         np.add.at(links, i, copies[j])
         np.add.at(links, j, copies[i])
         return pd.DataFrame({"id": ids, "links": links, "root": stars(len(ids), i, j, ids)})[links > 0]
 
+    named = "grp long, id long, tree int, probe int, own int, other int"
+    calls = saved(map_groups(calls.join(codes, "id"), "grp", sift, named))
     payload = classes.select("id", "copies", "x").join(codes, "id")
     found = saved(map_groups(calls.join(payload, "id"), "grp", verify, "id long, links long, root long"))
     of_class = settle(classes, found).join(classes.select("id", "cls"), "id")

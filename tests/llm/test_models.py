@@ -81,7 +81,11 @@ def test_vectors_against_brute_force(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
     bad = [(9001, None), (9002, []), (9003, [0.0] * 64), (9004, [float("nan")] * 64), (9005, [1.0] * 3), (9006, [float("inf")] + [1.0] * 63), (9007, list(rows[0].embedding)), (9008, [2 * x for x in rows[0].embedding])]
     df = spark.createDataFrame([(r.vec_id, list(r.embedding)) for r in rows] + bad, "vec_id long, embedding array<float>").repartition(3)
+    more = [(9100, [1.0, 2.0]), (9101, [2.0, 4.0]), (9102, [1.0, 2.0]), (9103, [1.0, -2.0]), (9110, [1e-170, 2e-170, 0.0]), (9111, [1e170, 2e170, 0.0]), (9112, [0.0, 0.0, 1e170]), (None, [1.0, 2.0])]
+    df = df.selectExpr("vec_id", "cast(embedding as array<double>) as embedding", "1 as id", "'c' as keys").union(spark.createDataFrame(more, "vec_id long, embedding array<double>").selectExpr("*", "1", "'c'"))
     got = {r.vec_id: r for r in embed.near_vectors(df).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in (9100, 9101, 9102, 9103, 9110, 9111, 9112)] == [(2, 9100), (2, 9100), (2, 9100), (0, 9103), (1, 9110), (1, 9110), (0, 9112)]
+    assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, True)
     ids = [r.vec_id for r in rows] + [9007, 9008]
     x = np.array([r.embedding for r in rows] + [bad[6][1], bad[7][1]], np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
