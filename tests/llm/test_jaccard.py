@@ -1,8 +1,8 @@
 import random
 
-import pandas as pd
+import numpy as np
 
-from ledgerloom.llm.jaccard import similar_documents
+from ledgerloom.llm.jaccard import DEPTHS, enough, recall, signatures, similar_documents
 
 
 def shingles(t):
@@ -77,4 +77,21 @@ def test_links_at_the_threshold(spark):
         v[40:45] = [f"x{rng.randrange(10**6)}" for _ in range(5)]
         rows += [(2 * d, " ".join(w)), (2 * d + 1, " ".join(v))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert similar_documents(df).filter("n_links = 1").count() >= 0.978 * len(rows)
+    assert similar_documents(df).filter("n_links = 1").count() >= 0.995 * len(rows)
+
+
+def test_signatures_of_very_long_texts_differ():
+    rng = np.random.default_rng(2)
+    n = 150_000
+    h = rng.integers(0, 1 << 63, 4 * n, dtype=np.uint64)
+    keys = signatures(h, np.full(4, n))
+    for a in range(4):
+        for b in range(a):
+            assert (keys[a] == keys[b]).mean() < 0.02
+
+
+def test_prefixes_are_shortened_by_what_was_found():
+    assert recall(0.8, DEPTHS[-1]) > 0.999
+    assert not enough([0, 0, 0, 0], DEPTHS[0]) and enough([0, 0, 0, 0], DEPTHS[-1])
+    assert enough([10, 100, 1000, 10_000], 8)
+    assert not enough([10_000, 10, 10, 10], 8) and enough([10_000, 10, 10, 10], 6)
