@@ -18,6 +18,8 @@ from ledgerloom.llm._common import saved
 LEAST_PAGES, LEAST_SHARE = 5, 0.5
 #: or, whatever the share, in so many different articles and with so many words (a table cell recurs by chance).
 MANY_PAGES, LEAST_WORDS = 20, 5
+#: Most template subtrees (of all hosts) that are sent to every task; beyond it they are handed out by a join.
+BROADCAST_TREES = 1_000_000
 
 # fixed values: element names of the HTML standard
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,20 +31,33 @@ _SCOPES = frozenset("html body main article section div ul ol dl table td th blo
 _MARKS = frozenset(
     # fixed values: parts of class names and ids that mark what is not main text
     "ad ads advert adverts advertisement adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-    "newsletter subscribe subscription signup login sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar "
+    "newsletter subscribe subscription signup login sidebar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar "
     "comment comments commentlist disqus respond reply replies related recommended share sharing social widget widgets skip hidden".split()
 )
+#: Words that may stand beside a mark in a class name or id without changing what it says.
+_COMMENTS = frozenset(("comment", "comments", "related"))
+_NEUTRAL = frozenset("box block wrap wrapper container inner outer content area bar list item items section panel main site page global primary secondary top bottom left right header footer text unit slot zone form 1 2 3".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parts", "dropped", "main")
+    __slots__ = ("tag", "parts", "named", "main")
 
-    def __init__(self, tag: str, dropped: bool, main: bool):
-        self.tag, self.parts, self.dropped, self.main = tag, [], dropped, main
+    def __init__(self, tag: str, named: bool, main: bool):
+        self.tag, self.parts, self.named, self.main = tag, [], named, main
 
 
-def _is_dropped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _marked(value: str, marks: frozenset[str]) -> bool:
+    """Whether a class name or id says one of ``marks``, alone or beside neutral words (ad-box, but not share-price)."""
+    for name in value.lower().split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+        if any(x in marks for x in parts) and all(x in marks or x in _NEUTRAL for x in parts):
+            return True
+    return False
+
+
+def _is_named(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether an element is no main text by its name, role, class or style."""
     if tag in _DROPPED:
         return True
     for name, value in attrs:
@@ -50,9 +65,7 @@ def _is_dropped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "role" and (value or "").lower() in _ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article") and value and _MARKS & set(re.split(r"[^a-z0-9]+", value.lower())):
-            return True
-        if name in ("class", "id") and tag == "article" and value and {"comment", "comments", "related"} & set(re.split(r"[^a-z0-9]+", value.lower())):
+        if name in ("class", "id") and value and tag not in ("html", "body", "main") and _marked(value, _COMMENTS if tag == "article" else _MARKS):
             return True
     return False
 
@@ -73,7 +86,7 @@ class _Tree(HTMLParser):
                 self.stack[-1].parts.append(None)
             return
         top = self.stack[-1]
-        node = _Node(tag, top.dropped or _is_dropped(tag, attrs), tag in ("article", "main") or any(n == "role" and v == "main" for n, v in attrs))
+        node = _Node(tag, top.named or _is_named(tag, attrs), tag in ("article", "main") or any(n == "role" and v == "main" for n, v in attrs))
         top.parts.append(node)
         self.stack.append(node)
 
@@ -94,13 +107,26 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self.stack[-1].dropped:
-            self.stack[-1].parts.append(data)
+        self.stack[-1].parts.append(data)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """Where a comment ends, as browsers see it: an unclosed one takes the rest."""
+        raw = self.rawdata
+        if m := re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))", re.S).match(raw, i):
+            return m.end()
+        return self.parse_html_declaration(i)
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Doctypes, marked sections and whatever else begins like them end at the next angle bracket."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
+    parse_pi = parse_marked_section = parse_bogus_comment = parse_html_declaration
 
 
 def _parse(html: str | None) -> _Node:
     tree = _Tree()
-    tree.feed(html or "")
+    tree.feed(re.sub(r"<[/A-Za-z][^<>]*\Z", "", html or ""))  # a tag without an end is none
     tree.close()
     return tree.root
 
@@ -108,14 +134,15 @@ def _parse(html: str | None) -> _Node:
 def _hashes(node: _Node, out: dict[int, int]) -> dict[int, int]:
     """Hashes of all subtrees from their elements, words and children; ``out``: id of each block node -> hash.
 
-    The lowest bit of a block's hash tells whether it holds LEAST_WORDS words.
+    Elements that are no main text by name are hashed too, but do not count as part of what holds them. The lowest
+    bit of a block's hash tells whether it holds LEAST_WORDS words.
     """
     # children before parents, without recursion: pages may nest very deeply
     order, todo = [], [node]
     while todo:
         x = todo.pop()
         order.append(x)
-        todo += [p for p in x.parts if isinstance(p, _Node) and not p.dropped]
+        todo += [p for p in x.parts if isinstance(p, _Node)]
     of: dict[int, int] = {}
     words: dict[int, int] = {}
     for x in reversed(order):
@@ -125,7 +152,7 @@ def _hashes(node: _Node, out: dict[int, int]) -> dict[int, int]:
                 found = p.split()
                 body += found
                 n += len(found)
-            elif p is not None and not p.dropped:
+            elif p is not None and (x.named or not p.named):
                 body.append(f"<{of[id(p)]}>")
                 n += words[id(p)]
         of[id(x)] = int.from_bytes(blake2b(" ".join(body).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) & -2 | (n >= LEAST_WORDS)
@@ -143,7 +170,7 @@ def _article(root: _Node) -> tuple[int, str, list[int], list[int], list[int], li
     mains, todo = [], [root]
     while todo:
         x = todo.pop()
-        if x.main and not x.dropped:
+        if x.main and not x.named:
             mains.append(x)
         else:
             todo += [p for p in reversed(x.parts) if isinstance(p, _Node)]
@@ -158,7 +185,7 @@ def _article(root: _Node) -> tuple[int, str, list[int], list[int], list[int], li
         elif x is None or isinstance(x, str):
             out.append(x or " ")
             at += len(out[-1])
-        elif not x.dropped:
+        elif not x.named:
             edge = [] if x.tag in _INLINE else [" "]
             if id(x) in blocks:
                 stack.append(len(trees))
@@ -190,19 +217,22 @@ _PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """For every row (page_id, url, html): page_id, url, text, n_chars.
+    """For every row (page_id, url, html): page_id, url, text, n_chars, n_template.
 
-    Every block element that isn't navigation, header, footer, sidebar, form, script, advert, notice or comment
-    by its name, role or class is hashed with all it holds; hashes are counted per host, once for each different
-    article (body where a page has none), so copies of an article count once. Subtrees in at least 5 and half
-    of a host's articles go, and those of 5 words or more in at least 20 of them. What is left in the article
-    (in the body where a page has none) is the text.
+    Every block element of a page is hashed with all it holds, whether or not its name, role or class says that it
+    is navigation, header, footer, sidebar, form, script, advert, notice or comment; hashes are counted per host, once
+    for each different article (body where a page has none), so copies of an article count once. Subtrees in at
+    least 5 and half of a host's articles go, and those of 5 words or more in at least 20 of them. Elements that are
+    no main text by name go as well, since many differ from page to page and hosts may have few pages. What is left
+    in the article (in the body where a page has none) is the text. n_template counts the page's recurring subtrees.
 
     Null, empty or textless html gives an empty text; pages without a url share the empty host; a null page_id
     stays null; repeated rows get their text each; an empty table gives no rows; further columns are ignored.
-    Nothing is cut short, and pages may nest deeply. Articles that differ in anything count as different.
+    Nothing is cut short, pages may nest deeply, and broken markup is read as browsers do: comments without an end
+    take the rest, odd declarations end at the next bracket. Articles that differ in anything count as different.
     """
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    spark = pages.sparkSession
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,23 +245,40 @@ def main_texts(pages: DataFrame) -> DataFrame:
     articles = parsed.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("articles"))
     seen = parsed.select("host", "article", F.explode(F.array_distinct(F.concat("trees", "others"))).alias("tree"))
     counts = seen.groupBy("host", "tree").agg(F.count_distinct("article").alias("n")).filter(f"n >= {LEAST_PAGES}")
-    gone = counts.join(articles, "host").filter(f"n >= {LEAST_SHARE} * articles or n >= {MANY_PAGES} and tree & 1 = 1").select("host", "tree")
+    gone = saved(counts.join(articles, "host").filter(f"n >= {LEAST_SHARE} * articles or n >= {MANY_PAGES} and tree & 1 = 1").select("host", "tree"))
+    result = "page_id long, url string, text string, n_chars long, n_template long"
+
+    def rows(batch: pa.RecordBatch, raws: list[str], gone: list[set[int]]) -> pa.RecordBatch:
+        trees, starts, ends, others = (batch.column(name).to_pylist() for name in ("trees", "starts", "ends", "others"))
+        texts = [_without(raw, zip(*spans), g) for raw, g, *spans in zip(raws, gone, trees, starts, ends)]
+        recurring = [len(g.intersection(a) | g.intersection(b)) for g, a, b in zip(gone, trees, others)]
+        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(recurring, pa.int64())], ["page_id", "url", "text", "n_chars", "n_template"])
+
+    if gone.count() <= BROADCAST_TREES:
+        by_host: dict[str, set[int]] = {}
+        for host, tree in gone.collect():
+            by_host.setdefault(host, set()).add(tree)
+        sent = spark.sparkContext.broadcast(by_host)
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield rows(batch, batch.column("raw").to_pylist(), [sent.value.get(h, set()) for h in batch.column("host").to_pylist()])
+
+        return parsed.mapInArrow(look_up, result)
     # all pages of an article hold the same blocks, so what goes is handed out by article: never more than a page has
-    held = parsed.select("host", "article", F.explode(F.array_distinct("trees")).alias("tree"))
-    gone = held.join(saved(gone), ["host", "tree"]).groupBy("host", "article").agg(F.collect_set("tree").alias("gone"))
+    held = parsed.select("host", "article", F.explode(F.array_distinct(F.concat("trees", "others"))).alias("tree"))
+    gone = held.join(gone, ["host", "tree"]).groupBy("host", "article").agg(F.collect_set("tree").alias("gone"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            packed = pa.array([press.compress(raw.encode()) for raw in batch.column(4).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], packed, *batch.columns[5:]], [*_PARSED.names[:4], "packed", *_PARSED.names[5:8]])
+            packed = pa.array([press.compress(raw.encode("utf-8", "surrogatepass")) for raw in batch.column("raw").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed if name == "raw" else batch.column(name) for name in _PARSED.names], _PARSED.names)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 7)))
-            texts = [_without(zstandard.decompress(packed).decode(), zip(trees, starts, ends), set(gone or ())) for packed, trees, starts, ends, gone in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            raws = [zstandard.decompress(x).decode("utf-8", "surrogatepass") for x in batch.column("raw").to_pylist()]
+            yield rows(batch, raws, [set(g or ()) for g in batch.column("gone").to_pylist()])
 
-    packed = parsed.drop("others").mapInArrow(pack, "page_id long, url string, host string, article long, packed binary, trees array<long>, starts array<int>, ends array<int>")
-    joined = packed.join(gone, ["host", "article"], "left")
-    return joined.select("page_id", "url", "packed", "trees", "starts", "ends", "gone").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    packed = parsed.mapInArrow(pack, "page_id long, url string, host string, article long, raw binary, trees array<long>, starts array<int>, ends array<int>, others array<long>")
+    return packed.join(gone, ["host", "article"], "left").drop("host", "article").mapInArrow(extract, result)

@@ -1,3 +1,8 @@
+import collections
+
+import pytest
+
+from ledgerloom.llm import html_text
 from ledgerloom.llm.html_text import main_texts
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -35,3 +40,41 @@ def test_template_of_one_section_of_a_large_host(spark):
     rows = [(i, f"https://h.example.org/{i}", f"<article><p>story {i}</p>{section if i < 30 else ''}</article>") for i in range(200)]
     got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == (f"story {i} 1" if i < 30 else f"story {i}") for i in range(200))
+
+
+@pytest.mark.parametrize("html,text", [("a<![ if x]>text", "atext"), ("a<![foo[ x", "a"), ("a<!-- x", "a"), ("<!-->a", "a"), ("<!--->a", "a"), ("a<!x y>b", "ab"), ("a<? php ?>b", "ab"), ("a<?", "a"), ("a<!", "a"), ("a<", "a<"), ("a<b", "a"), ("<p", ""), ("&#xD800;x&#0;&nosuch;", "\ufffdx\ufffd&nosuch;"), ("</p></div>a<p></b>b", "a b"), ("<script>a<!-- </script>b", "b"), ("<table><tr><td>a<td>b</table>", "a b"), ("<p class='share-price'>a</p><p class='hidden-figures'>b</p><p class='left-side'>c</p><p class='ad-box'>d</p>", "a b c"), ("\x00a\x0cb", "\x00a b")])
+def test_broken_markup(html, text):
+    trees = html_text._article(html_text._parse(html))
+    assert " ".join(trees[1].split()) == text
+
+
+def test_counting_decides(spark):
+    menu = "<div><a>Home</a> <a>News</a> of the day and more of it</div>"
+    rows = [(i, f"https://h.example.org/{i}", f"<body>{menu}<p>story {i}</p><nav>menu {i % 2}</nav></body>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert all((r.text, r.n_template) == (f"story {r.page_id}", 2) for r in main_texts(df).collect())
+    old = html_text.BROADCAST_TREES, html_text.LEAST_PAGES
+    try:
+        html_text.BROADCAST_TREES = 0
+        assert all((r.text, r.n_template) == (f"story {r.page_id}", 2) for r in main_texts(df).collect())
+        html_text.BROADCAST_TREES, html_text.LEAST_PAGES = old[0], 10**9
+        assert all(r.text == f"Home News of the day and more of it story {r.page_id}" for r in main_texts(df).collect())
+    finally:
+        html_text.BROADCAST_TREES, html_text.LEAST_PAGES = old
+
+
+def test_counts_by_brute_force(spark):
+    """n_template of the standard pages: subtrees counted in plain Python over the articles of each host."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    parsed = {r.page_id: (html_text._host(r.url), html_text._article(html_text._parse(r.html))) for r in pages}
+    articles, seen = collections.defaultdict(set), collections.defaultdict(set)
+    for host, (article, _, trees, _, _, others) in parsed.values():
+        articles[host].add(article)
+        for t in {*trees, *others}:
+            seen[host, t].add(article)
+    want = {}
+    for page, (host, (_, _, trees, _, _, others)) in parsed.items():
+        n = [(len(seen[host, t]), t & 1) for t in {*trees, *others}]
+        want[page] = sum(k >= 5 and (2 * k >= len(articles[host]) or k >= 20 and long == 1) for k, long in n)
+    got = {r.page_id: r.n_template for r in main_texts(spark.createDataFrame(pages)).collect()}
+    assert got == want and sum(want.values()) > 0
