@@ -125,7 +125,7 @@ def _odd(seed: int, n: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 2_500_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts hold about ``size`` bytes (a longer text stands alone), so that
     arrays over all words of a batch stay small."""
     for batch in batches:
