@@ -7,6 +7,7 @@ score them, and a threshold for each kind, set on rows held out from fitting, se
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -21,31 +22,73 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?<![0-9][0-9])(?<![0-9][ -][0-9])(?:[ -]?+[0-9]){11,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-#: Further candidates: kind -> pattern.
-GENERATORS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{2,63}+){1,4}",
-    "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
-    "phone": r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ .-])[0-9]{2,5}(?:[ .-][0-9]{2,5}){1,4}(?![0-9A-Za-z-])",
-}
+#: Further candidates: (kind, pattern). They propose far more than is personal data, and their spans overlap; the trees judge.
+GENERATORS = (
+    ("email", r"[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{2,63}+){1,4}"),
+    ("ip", r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}+(?::[0-9A-Fa-f]{0,4}+){2,7}+(?![0-9A-Za-z:])"),
+    ("card", r"(?<![0-9A-Za-z.-])[0-9]{4}(?:[ ._/*-]{1,3}[0-9]{4}){2}[ ._/*-]{1,3}[0-9]{1,7}(?![0-9A-Za-z])"),
+    ("phone", r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ .-])[0-9]{2,5}(?:[ .-][0-9]{2,5}){1,4}(?![0-9A-Za-z-])"),
+    ("phone", r"(?<![0-9A-Za-z.,+/-])[0-9(][0-9()/. -]{5,19}+(?<=[0-9])(?![0-9A-Za-z])"),
+)
 #: Characters before a candidate that count as its context.
 CONTEXT = 32
 #: Generated rows the trees are fitted and calibrated on, and the precision a threshold must reach.
-SAMPLE, PRECISION = 3_000, 0.98
+SAMPLE, PRECISION = 6_000, 0.98
 CUES = {
     "phone": r"(?i)\b(?:tel|phone|call|mobile|cell|fax|dial|telefon|t[ée]l[ée]phone|tel[ée]fono|ruf)",
     "mail": r"(?i)\b(?:e-?mail|mail|contact|write|courriel|correo|reach)",
+    "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|karte|kreditkarte|carte|tarjeta)\b",
     "net": r"(?i)\b(?:ip|host|server|address|addr|login|client|from)\b",
     "other": r"(?i)\b(?:order|invoice|version|part|article|no|nr|ref|id|page|isbn|sku|date|since|until|total|price|serial|figure|table)\b[^a-z]*$",
 }
-FEATURES = ("digits", "chars", "groups", "longest", "first", "distinct", "parens", "dots", "dashes", "blanks", "letters", "dateish", "kind", *(f"cue_{c}" for c in CUES))
+FEATURES = ("digits", "chars", "groups", "longest", "first", "distinct", "parens", "dots", "dashes", "blanks", "letters", "colons", "twice", "luhn", "dateish", "kind", *(f"cue_{c}" for c in CUES))
+
+
+#: Elements of an array that are summed up together, so that running sums of n elements take far fewer than n squared steps.
+_PART = 128
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _parts(values: Column) -> Column:
+    """An array (not empty) cut into arrays of _PART elements."""
+    return _once(values, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _PART).cast("int")), lambda k: F.slice(v, k * _PART + 1, F.lit(_PART))))
+
+
+def _before(values: Column, zero: int, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of the longs in an array (not empty), what ``op`` makes of all before it."""
+    total = lambda part, start: F.aggregate(part, start, op)
+    nothing = F.lit(zero).cast("long")
+    head = lambda part, n: F.slice(part, F.lit(1), n)
+
+    def each(parts: Column) -> Column:
+        return _once(F.transform(parts, lambda p: total(p, nothing)), lambda sums: F.flatten(F.transform(parts, lambda p, k: _once(total(head(sums, k), nothing), lambda start: F.transform(p, lambda _, i: total(head(p, i), start))))))
+
+    return _once(_parts(values), each)
+
+
+_MATCH = "struct<start:bigint,word:string,before:string>"
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, word>> of all matches, leftmost first; offsets in code points."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    total = lambda a: F.aggregate(F.transform(a, F.length), F.lit(0), lambda x, y: x + y)
-    spans = F.transform(found, lambda m, i: F.struct((total(F.slice(between, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))).cast("long").alias("start"), m.alias("word")))
-    return F.when(text.rlike(pattern), spans).otherwise(F.lit(None).cast("array<struct<start:bigint,word:string>>"))
+    """array<struct<start, word, before>> of all matches, leftmost first; offsets in code points. ``before``: up to
+    CONTEXT characters of the text between two matches and of the match before that."""
+    cut = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("words"))
+
+    def spans(c: Column) -> Column:
+        gaps = F.transform(c["gaps"], lambda g: F.length(g).cast("long"))
+        both = F.zip_with(gaps, F.transform(c["words"], lambda w: F.length(w).cast("long")), lambda g, w: g + F.coalesce(w, F.lit(0).cast("long")))
+        starts = F.zip_with(_before(both, 0, lambda x, y: x + y), gaps, lambda at, g: at + g)
+        tail = lambda s: F.right(s, F.lit(CONTEXT))
+        before = F.zip_with(F.concat(F.array(F.lit("")), c["words"]), c["gaps"], lambda w, g: tail(F.concat(tail(w), tail(g))))
+        found = F.zip_with(starts, c["words"], lambda at, w: F.struct(at.alias("start"), w.alias("word")))
+        found = F.zip_with(found, before, lambda x, b: F.struct(x["start"].alias("start"), x["word"].alias("word"), b.alias("before")))
+        return F.filter(found, lambda x: x["word"].isNotNull())
+
+    return F.when(text.rlike(pattern), _once(cut, spans)).otherwise(F.lit(None).cast(f"array<{_MATCH}>"))
 
 
 def _digits(word: Column) -> Column:
@@ -80,10 +123,11 @@ def base_spans(text: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """array<struct<start, word, kind number, before>> of what the generators propose."""
+    none = F.array().cast("array<struct<start:bigint,word:string,kind:int,before:string>>")
     parts = []
-    for kind, pattern in GENERATORS.items():
-        found = _matches(text, pattern)
-        parts.append(F.coalesce(F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["word"].alias("word"), F.lit(KINDS.index(kind)).alias("kind"), F.expr("''").alias("none"), F.substring(text, F.greatest(m["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(m["start"], F.lit(CONTEXT)).cast("int")).alias("before"))), F.array().cast("array<struct<start:bigint,word:string,kind:int,none:string,before:string>>")))
+    for kind, pattern in GENERATORS:
+        found = F.transform(_matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), m["word"].alias("word"), F.lit(KINDS.index(kind)).alias("kind"), m["before"].alias("before")))  # noqa: B023
+        parts.append(F.coalesce(found, none))
     return F.concat(*parts)
 
 
@@ -94,7 +138,7 @@ def describe(word: Column, kind: Column, before: Column) -> dict[str, Column]:
     tally = lambda pattern: F.length(word) - F.length(F.regexp_replace(word, pattern, ""))
     out = {
         "digits": F.length(digits), "chars": F.length(word), "groups": F.size(groups), "longest": F.coalesce(F.array_max(sizes), F.lit(0)), "first": F.coalesce(F.get(sizes, F.lit(0)), F.lit(0)),
-        "distinct": F.size(F.array_distinct(F.split(digits, ""))), "parens": tally("[()\\[\\]{}]"), "dots": tally("[.]"), "dashes": tally("-"), "blanks": tally(" "), "letters": tally("[A-Za-z]"),
+        "distinct": F.size(F.array_distinct(F.split(digits, ""))), "parens": tally("[()\\[\\]{}]"), "dots": tally("[.]"), "dashes": tally("-"), "blanks": tally(" "), "letters": tally("[A-Za-z]"), "colons": tally(":"), "twice": word.contains("::").cast("int"), "luhn": F.when(F.length(digits) > 0, _luhn(word)).otherwise(False).cast("int"),
         "dateish": word.rlike(r"^(?:(?:19|20)[0-9]{2}[ .-][01]?[0-9][ .-][0-3]?[0-9]|[0-3]?[0-9][ .-][01]?[0-9][ .-](?:(?:19|20)[0-9]{2}|[0-9]{2}))(?:$|[^0-9])").cast("int"), "kind": kind,
     }
     out |= {f"cue_{c}": before.rlike(p).cast("int") for c, p in CUES.items()}
@@ -114,10 +158,19 @@ def generated_sample(spark: SparkSession, rows: int = SAMPLE) -> DataFrame:
     nomails = F.concat(pick("m", "meet", "5", "x", "line"), F.lit(" (at) "), num(1, 2), F.lit("."), num(2, 2))
     hexa = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.lower(F.substring(F.hex(F.xxhash64("id", i)), 1, 4))), ":")
     nohex = F.concat_ws(":", *(num(k, 2) for k in range(8)))
-    told = {"phone": ("Tel. ", "call me: ", "phone ", "fax ", "Telefon: "), "mail": ("e-mail: ", "contact ", "write to "), "net": ("host ", "login from ", "address "), "number": ("order no ", "invoice ", "version ", "ref ", "since ", "total ", "the ", "page "), "none": ("", "and ", "of ", "the word ")}
+    plain = F.concat(pick("pl", "0", "", "1", "4"), num(11, 4), pick("ps", "", "", "/", " "), num(12, 5))
+    d15 = F.substring(F.concat(pick("cd", "4", "5", "37"), num(13, 12), num(14, 3)), 1, 15)
+    last = lambda valid: F.element_at(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda c: _luhn(F.concat(d15, c.cast("string"))) == F.lit(valid)), 1).cast("string")
+    between = pick("k", ".", " - ", "_", "/", "  ")
+    card = lambda valid: F.concat(*(x for k in range(4) for x in (*([between] if k else []), F.substring(F.concat(d15, last(valid)), 1 + 4 * k, 4))))
+    short_hex = F.concat(pick("h1", "fe80", "2001:db8", "fd12:3456", "2a00:1450:4001"), F.lit("::"), F.lower(F.substring(F.hex(F.xxhash64("id")), 1, 3)), pick("h2", "", ":1", ":20:a"))
+    times = F.concat(pick("t1", "0", "1"), num(15, 1), F.lit(":"), pick("t2", "0", "3", "5"), num(16, 1), F.lit(":"), pick("t3", "1", "2", "4"), num(17, 1))
+    told = {"card": ("card no ", "paid by Visa ", "credit card: ", "Kreditkarte ", "carte "), "phone": ("Tel. ", "call me: ", "phone ", "fax ", "Telefon: "), "mail": ("e-mail: ", "contact ", "write to "), "net": ("host ", "login from ", "address "), "number": ("order no ", "invoice ", "version ", "ref ", "since ", "total ", "the ", "page "), "none": ("", "and ", "of ", "the word ")}
     cases = [
         (phones, 3, pick("c", *told["phone"]), 1), (phones, 3, pick("c", *told["phone"], *told["mail"]), 1), (numbers, 3, pick("c", *told["number"]), 0), (numbers, 3, pick("c", *told["none"]), 0), (phones, 3, pick("c", *told["number"]), 0),
         (mails, 0, pick("c", *told["mail"], *told["none"], *told["number"]), 1), (nomails, 0, pick("c", *told["none"], *told["number"]), 0), (hexa, 1, pick("c", *told["net"], *told["none"]), 1), (nohex, 1, pick("c", *told["number"], *told["none"]), 0),
+        (plain, 3, pick("c", *told["phone"]), 1), (plain, 3, pick("c", *told["number"], *told["none"]), 0), (plain, 3, pick("c", *told["number"], *told["none"]), 0), (short_hex, 1, pick("c", *told["net"], *told["none"]), 1), (times, 1, pick("c", *told["number"], *told["none"]), 0), (F.lit("::"), 1, pick("c", *told["none"], *told["net"]), 0),
+        (card(True), 2, pick("c", *told["card"]), 1), (card(False), 2, pick("c", *told["number"], *told["none"], *told["card"]), 0), (card(False), 3, pick("c", *told["number"], *told["none"], *told["card"]), 0), (card(True), 3, pick("c", *told["card"]), 0),
     ]
     rows_ = spark.range(rows).withColumn("e", F.element_at(F.array(*(F.struct(w.alias("word"), F.lit(k).alias("kind"), b.alias("before"), F.lit(y).alias("label")) for w, k, b, y in cases)), (F.pmod("id", F.lit(len(cases))) + 1).cast("int")))
     return rows_.select("id", "e.*")
@@ -131,24 +184,26 @@ class Model:
     weights: tuple[float, ...]
     thresholds: dict[int, float]
 
-    def margin(self, x: dict[str, Column]) -> Column:
+    def margin(self, x: Column) -> Column:
+        """``x``: array of the FEATURES."""
+
         def case(node) -> Column:
             if isinstance(node, float):
                 return F.lit(node)
             feature, threshold, left, right = node
-            return F.when(x[FEATURES[feature]] <= threshold, case(left)).otherwise(case(right))
+            return F.when(x.getItem(feature) <= threshold, case(left)).otherwise(case(right))
 
         out = F.lit(0.0)
         for tree, w in zip(self.trees, self.weights):
             out = out + case(tree) * w
         return out
 
-    def accepts(self, word: Column, kind: Column, before: Column) -> Column:
-        p = 1 / (1 + F.exp(-2 * self.margin(describe(word, kind, before))))
-        floor = F.lit(1.1)
-        for k, t in self.thresholds.items():
-            floor = F.when(kind == k, t).otherwise(floor)
-        return p >= floor
+    def accepted(self, found: Column) -> Column:
+        """Of candidates (start, word, kind, before) those that the trees take: array<struct<start, kind, end>>."""
+        floor = lambda kind: F.coalesce(*(F.when(kind == k, t) for k, t in self.thresholds.items()), F.lit(1.1))
+        seen = F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), (c["start"] + F.length(c["word"])).alias("end"), F.array(*describe(c["word"], c["kind"], c["before"]).values()).alias("x")))
+        good = F.filter(seen, lambda c: 1 / (1 + F.exp(-2 * self.margin(c["x"]))) >= floor(c["kind"]))
+        return F.transform(good, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
 
 
 def train(spark: SparkSession, rows: int = SAMPLE) -> Model:
@@ -177,24 +232,38 @@ def train(spark: SparkSession, rows: int = SAMPLE) -> Model:
     return Model(tuple(node(t._call_java("rootNode")) for t in model.trees), tuple(model.treeWeights), thresholds)
 
 
+def _merge(base: Column, good: Column) -> Column:
+    """Base spans, and candidates that overlap none of them and don't lie within one that begins before."""
+    none, far = 0, 1 << 62
+    most, least = lambda x, y: F.greatest(x, y), lambda x, y: F.least(x, y)
+    mark = lambda spans, n: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("base"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+    def sift(every: Column) -> Column:
+        pick = lambda s, n, value, other: F.when(s["base"] == n, value).otherwise(F.lit(other).cast("long"))
+        based = _before(F.transform(every, lambda s: pick(s, 0, s["end"], none)), none, most)
+        taken = _before(F.transform(every, lambda s: pick(s, 1, s["end"], none)), none, most)
+        later = F.reverse(_before(F.transform(F.reverse(every), lambda s: pick(s, 0, s["start"], far)), far, least))
+        seen = F.zip_with(F.zip_with(every, based, lambda s, x: F.struct(s.alias("s"), x.alias("based"))), F.zip_with(taken, later, lambda x, y: F.struct(x.alias("taken"), y.alias("later"))), lambda a, b: F.struct(a["s"].alias("s"), a["based"].alias("based"), b["taken"].alias("taken"), b["later"].alias("later")))
+        stay = F.filter(seen, lambda x: (x["s"]["base"] == 0) | (x["based"] <= x["s"]["start"]) & (x["later"] >= x["s"]["end"]) & (x["taken"] < x["s"]["end"]))
+        return F.transform(stay, lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["kind"].alias("kind"), x["s"]["end"].alias("end")))
+
+    return F.when(F.size(good) > 0, F.array_sort(_once(F.array_sort(F.concat(mark(base, 0), mark(good, 1))), sift))).otherwise(base)
+
+
 def find(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` (it has text) with base and spans: array<struct<start, kind, end>> each.
 
-    base follows the fixed rules; spans adds accepted candidates that overlap no base span and no accepted
-    candidate before them. Offsets count code points, ends are exclusive. A null or empty text has none; columns
-    of these names that ``docs`` has already give way. Work is a row at a time: repeated rows, ties, nulls in
-    other columns and empty tables need no rule.
+    base follows the fixed rules; spans adds accepted candidates that overlap no base span and don't lie within an
+    accepted candidate that begins before them. Offsets count code points, ends are exclusive. A null or empty text has none; columns
+    of these names that ``docs`` has already give way. Work is a row at a time and in proportion to the text and its
+    matches: repeated rows, ties, nulls in other columns and empty tables need no rule.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.drop("base", "spans").withColumn("base", base_spans(text))
-    good = F.filter(candidates(text), lambda c: model.accepts(c["word"], c["kind"], c["before"]))
-    good = F.array_sort(F.transform(good, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), (c["start"] + F.length(c["word"])).alias("end"))))
-    free = F.filter(good, lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    apart = F.aggregate(free, F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"), lambda out, c: F.when(F.exists(out, lambda b: c["start"] < b["end"]), out).otherwise(F.concat(out, F.array(c))))
     maybe = F.lit(False)
-    for pattern in GENERATORS.values():
+    for _, pattern in GENERATORS:
         maybe = maybe | text.rlike(pattern)
-    return docs.withColumn("spans", F.when(maybe, F.array_sort(F.concat(F.col("base"), apart))).otherwise(F.col("base")))
+    return docs.withColumn("spans", F.when(maybe, _once(model.accepted(candidates(text)), lambda good: _merge(F.col("base"), good))).otherwise(F.col("base")))
 
 
 def render(spans: Column) -> Column:
@@ -204,9 +273,20 @@ def render(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in angle brackets; overlapping spans become one."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    """The text with every span replaced by its kind in angle brackets; overlapping spans become one.
+
+    A text is cut into stretches of _PART spans first, so that the cost stays in proportion to it.
+    """
     name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
-    cut = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    step = lambda s, x: F.when(x["start"] < s["at"], F.struct(s["out"].alias("out"), F.greatest(s["at"], x["end"]).alias("at"))).otherwise(F.struct(F.concat(s["out"], cut(s["at"], x["start"]), F.lit("<"), name(x["kind"]), F.lit(">")).alias("out"), x["end"].alias("at")))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda s: F.concat(s["out"], cut(s["at"], F.length(text).cast("long"))))).otherwise(text)
+    cut = lambda s, a, b: F.substring(s, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    # apart: where the text before a span starts, where it ends, and the span's kind; at last the text behind all spans
+    tail = F.struct(F.array_max(F.transform(spans, lambda x: x["end"])).alias("a"), F.length(text).cast("long").alias("b"), F.lit(None).cast("int").alias("kind"))
+    gaps_ = F.zip_with(_before(F.transform(spans, lambda x: x["end"]), 0, lambda x, y: F.greatest(x, y)), spans, lambda at, x: F.struct(at.alias("a"), x["start"].alias("b"), x["kind"].alias("kind")))
+    apart = F.concat(F.filter(gaps_, lambda g: g["a"] <= g["b"]), F.array(tail))
+
+    def stretch(gaps: Column) -> Column:
+        first = F.element_at(gaps, 1)["a"]
+        own = cut(text, first, F.element_at(gaps, -1)["b"])
+        return _once(own, lambda t: F.array_join(F.transform(gaps, lambda g: F.concat(cut(t, g["a"] - first, g["b"] - first), F.coalesce(F.concat(F.lit("<"), name(g["kind"]), F.lit(">")), F.lit("")))), ""))
+
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(_parts(apart), stretch), "")).otherwise(text)

@@ -1,9 +1,11 @@
 """Operators with fitted models, and the pipeline, on the small tables."""
 
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontam, embed, license_scan, pii, queries, toxicity
 
@@ -117,8 +119,6 @@ ODD = [
 
 
 def test_pii_base_rules_and_additions(spark):
-    from pyspark.sql import functions as F
-
     texts = ODD + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as base")
     got = pii.find(df, pii.train(spark)).select("doc_id", pii.render(F.col("base")).alias("b"), pii.render(F.col("spans")).alias("s"), pii.redact(F.col("text"), F.col("spans")).alias("r")).collect()
@@ -129,6 +129,26 @@ def test_pii_base_rules_and_additions(spark):
     assert "phone:5:19" in extra.s and "email:" in extra.s and "2020-01-05" in extra.r
     assert [r for r in got if r.doc_id == 0][0].r == "<email><email> a@b <email>. é@é.com 😀 <email>"
     assert sum(r.b != r.s for r in got if r.doc_id >= len(ODD)) <= 30
+    assert pii.find(df.limit(0), pii.Model((), (), {})).count() == 0
+
+
+def test_pii_broad_candidates(spark):
+    texts = {"host fe80::1 is up": "ip:5:12", "login from 2001:db8::7": "ip:11:22", "Tel. 4155550199": "phone:5:15", "phone 030/1234567": "phone:6:17", "credit card: 4111.1111.1111.1111": "card:13:32", "at 12:30:45 sharp": "", "order no 4155550199": "", "std::vector": "", "total 123456789": "", "ref 1234.5678.9012.3456": ""}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = pii.find(df, pii.train(spark)).select("text", pii.render(F.col("spans")).alias("s")).collect()
+    assert {r.text: r.s for r in got} == texts
+
+
+def test_pii_is_linear_in_matches(spark):
+    """50,000 addresses in one text, and numbers that overlap; a quadratic form takes over an hour."""
+    text = " ".join(f"é{i}@b{i}.org" if i % 5 else f"+49 30 {1000000 + i}" for i in range(50_000))
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").repartition(2)
+    model = pii.train(spark)
+    began = time.time()
+    for r in pii.find(df, model).select(pii.render(F.col("base")).alias("b"), pii.redact(F.col("text"), F.col("spans")).alias("r")).collect():
+        assert r.b == base(text)
+        assert r.r.count("<email>") == 40_000 and r.r.count("<phone>") == 10_000 and r.r.startswith("<phone> é<email>")
+    assert time.time() - began < 120
 
 
 def test_licences(spark):
