@@ -152,11 +152,19 @@ def test_pii_is_linear_in_matches(spark):
 
 
 def test_licences(spark):
+    mit = "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal\n * in the Software without restriction, including without limitation the rights\n */\nint x;"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\nimport os"
     lines = [("Licensed under the Apache License, Version 2.0.", "apache-2.0"), ("some words here Released under the MIT License.", "mit"), ("This work is licensed under the GNU General Public License, version 3.", "gpl"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("his driving licence was revoked in May", ""), ("ordinary words", ""), (None, ""), ("", "")]
-    df = spark.createDataFrame([(i, f"first line\n{t}\nlast" if t else t) for i, (t, _) in enumerate(lines)], "doc_id long, text string")
-    got = license_scan.scan(df, license_scan.train(spark)).collect()
-    for r in got:
-        assert ",".join(x.family for x in r.licences if x.confirmed) == lines[r.doc_id][1]
+    # not among the templates: wrapped, in comments, in other words, and talk of licences that holds none
+    lines += [(mit, "mit"), (gpl, "gpl"), ("The text of the pages is available under CC BY-SA 4.0 now.", "cc-by-sa"), ("You may use it, Distributed under the GNU GPL v3 or later.", "gpl")]
+    lines += [(t, "") for t in ("The museum holds all rights to the copyright of the film.", "The fishing license costs five pounds in the north.", "Apache tribes lived in the west of the country.", "Permission to enter was granted by the guard.", "Copies of the licence hang in the office of the bar.", "word " * 30_000)]
+    lines += [lines[0], lines[0]]
+    df = spark.createDataFrame([(i, f"first line.\n{t}.\nlast" if t else t, 1) for i, (t, _) in enumerate(lines)], "doc_id long, text string, licences int")
+    model = license_scan.train(spark, spark.read.parquet(f"{SF}/documents.parquet"))
+    assert 0.5 < model.threshold <= 0.95
+    for r in license_scan.scan(df, model).collect():
+        assert ",".join(x.family for x in r.licences if x.confirmed) == lines[r.doc_id][1], lines[r.doc_id]
+    assert license_scan.scan(df.limit(0), model).count() == 0
 
 
 @pytest.mark.parametrize("rows", [0, 40])
