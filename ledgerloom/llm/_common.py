@@ -96,6 +96,30 @@ def map_groups(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFram
     return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
 
 
+def map_runs(df: DataFrame, key: str, order: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Call ``fn`` for many whole groups of rows with the same ``key`` at a time, sorted by it and ``order``.
+
+    For groups that are mostly tiny, so that ``fn`` can treat all of them in the same few array operations. Groups
+    must be of bounded size.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            keys = batch[key].to_numpy()
+            last = int(np.flatnonzero(keys == keys[-1])[0])
+            if last:
+                yield fn(batch.iloc[:last].reset_index(drop=True))
+            rest = batch.iloc[last:]
+        if rest is not None:
+            yield fn(rest.reset_index(drop=True))
+
+    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+
+
 class WordCodes(dict):
     """bytes of a word -> signed 64-bit hash, remembered while the memo is small."""
 

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._blocks import bucket_blocks, pair_mask, settle, stars
-from ledgerloom.llm._common import map_groups, saved
+from ledgerloom.llm._blocks import bucket_blocks, settle, stars
+from ledgerloom.llm._common import map_runs, saved
 
 THRESHOLD = 0.95
 #: Vectors the rotations are learned from, at most; every vector is indexed.
@@ -129,39 +129,54 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keys = keys.selectExpr("id", "tree", "struct(d, e.key) as key", "e.probe as probe", "cast(d as long) as weight")
     calls = saved(bucket_blocks(keys)[0])
 
-    def close(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-        """The members of a call in order of id, and its pairs whose codes differ in few bits."""
-        group = group.drop_duplicates("id").sort_values("id", ignore_index=True)
-        code = np.stack([np.frombuffer(c, np.uint8) for c in group["code"]])
-        bits = np.unpackbits(code, axis=1).astype(np.float32)
-        total = bits.sum(1)
-        apart = total[:, None] + total[None, :] - 2 * (bits @ bits.T)
-        i, j = np.nonzero(pair_mask(group["own"].to_numpy(), group["other"].to_numpy()) & (apart <= radius(8 * code.shape[1], threshold)))
-        # equal stretches meet under their own key, not under those that both probe, and each pair in its first table
-        tree, probe = int(group["tree"].iloc[0]), group["probe"].to_numpy()
-        stretch = np.stack(group["keys"])
-        met = _meet(stretch[i], stretch[j]) if len(i) else np.zeros((0, stretch.shape[1]), bool)
-        right = met[:, tree] & (np.argmax(met, axis=1) == tree) & ((stretch[i, tree] != stretch[j, tree]) | (probe[i] == 0))
-        return group, i[right], j[right]
-
-    def sift(group: pd.DataFrame) -> pd.DataFrame:
-        group, i, j = close(group)
-        return group.loc[np.union1d(i, j), ["grp", "id", "tree", "probe", "own", "other"]]
-
-    def verify(group: pd.DataFrame) -> pd.DataFrame:
-        group, i, j = close(group)
-        ids, copies, x = group["id"].to_numpy(), group["copies"].to_numpy(), unit(np.stack(group["x"]))
-        near = (x @ x.T)[i, j] >= threshold
+    def close(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs (as places of rows) of whole calls whose codes differ in few bits and that meet here first."""
+        grp, own, other, tree, probe, d = (rows[c].to_numpy() for c in ("grp", "own", "other", "tree", "probe", "d"))
+        within = {int(v): radius(8 * len(c), threshold) for v, c in zip(d, rows["code"])}
+        limit = np.array([within[int(v)] for v in d])
+        # all rows of a call have one length of vector; shorter codes and fewer stretches are filled up alike
+        code = np.zeros((len(rows), max(map(len, rows["code"]), default=0)), np.uint8)
+        stretch = np.zeros((len(rows), max(map(len, rows["keys"]), default=0)), np.int64)
+        for v in within:
+            at = np.flatnonzero(d == v)
+            part = np.stack([np.frombuffer(rows["code"].iat[k], np.uint8) for k in at]), np.stack([rows["keys"].iat[k] for k in at])
+            code[at, : part[0].shape[1]], stretch[at, : part[1].shape[1]] = part
+        found, shift = [], 1
+        at = np.arange(len(rows))
+        while len(at := at[at + shift < len(rows)]) and len(at := at[grp[at] == grp[at + shift]]):
+            i, j = at, at + shift
+            fit = ((own[i] == other[i]) | (own[i] != own[j])) & (np.bitwise_count(code[i] ^ code[j]).sum(axis=1, dtype=np.int64) <= limit[i])
+            i, j = i[fit], j[fit]
+            # equal stretches meet under their own key, not under those that both probe, and each pair in its first table
+            met = _meet(stretch[i], stretch[j])
+            right = met[np.arange(len(i)), tree[i]] & (np.argmax(met, axis=1) == tree[i]) & ((stretch[i, tree[i]] != stretch[j, tree[j]]) | (probe[i] == 0))
+            found.append((i[right], j[right]))
+            shift += 1
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+
+    def sift(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.loc[np.unique(np.concatenate(close(rows))), ["grp", "id", "tree", "probe", "own", "other"]]
+
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = close(rows)
+        lengths = rows["d"].to_numpy()
+        near = np.zeros(len(i), bool)
+        for v in np.unique(lengths[i]):
+            rank = np.cumsum(lengths == v) - 1
+            x = unit(np.stack(rows["x"][lengths == v]))
+            for a in range(0, len(i), 20_000):
+                part = np.flatnonzero(lengths[i[a : a + 20_000]] == v) + a
+                near[part] = np.einsum("ij,ij->i", x[rank[i[part]]], x[rank[j[part]]]) >= threshold
         i, j = i[near], j[near]
-        links = np.zeros(len(ids), np.int64)
+        ids, copies, links = rows["id"].to_numpy(), rows["copies"].to_numpy(), np.zeros(len(rows), np.int64)
         np.add.at(links, i, copies[j])
         np.add.at(links, j, copies[i])
         return pd.DataFrame({"id": ids, "links": links, "root": stars(len(ids), i, j, ids)})[links > 0]
 
     named = "grp long, id long, tree int, probe int, own int, other int"
-    calls = saved(map_groups(calls.join(codes, "id"), "grp", sift, named))
+    calls = saved(map_runs(calls.join(codes, "id"), "grp", "id", sift, named))
     payload = classes.select("id", "copies", "x").join(codes, "id")
-    found = saved(map_groups(calls.join(payload, "id"), "grp", verify, "id long, links long, root long"))
+    found = saved(map_runs(calls.join(payload, "id"), "grp", "id", verify, "id long, links long, root long"))
     of_class = settle(classes, found).join(classes.select("id", "cls"), "id")
     ids = rows.select("vec_id", "cls")
     out = ids.filter("cls is not null").join(of_class, "cls").select("vec_id", "n_links", F.col("group_id").alias("component_id"))
