@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from ledgerloom import catalog
+from ledgerloom import catalog, catalog_documents  # noqa: F401  (the second one adds to the first)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
