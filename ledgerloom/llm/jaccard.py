@@ -23,7 +23,9 @@ DEPTHS = (11, 8, 7, 6)
 TARGET = 0.998
 #: Lower edges of the bands of similarity in which links found are counted for the estimate.
 BANDS = (0.8, 0.85, 0.9, 0.95)
-_CHUNK = 1 << 16
+_CHUNK, _PAIRS, _COLUMNS = 1 << 16, 1 << 14, 1 << 12
+#: Texts of a block of a large bucket; blocks of long texts hold fewer.
+BLOCK = 512
 
 
 def recall(similarity: float, depth: int, trees: int = TREES) -> float:
@@ -112,20 +114,22 @@ def _verifier(depth: int, longer: int | None):
         both = np.zeros((n, n), np.float64)
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
-        for a in range(0, int(col[-1]) + 1 if len(col) else 0, 8192):
-            x, y = np.searchsorted(col, [a, a + 8192])
-            m = np.zeros((n, 8192), np.float32)
+        for a in range(0, int(col[-1]) + 1 if len(col) else 0, _COLUMNS):
+            x, y = np.searchsorted(col, [a, a + _COLUMNS])
+            m = np.zeros((n, _COLUMNS), np.float32)
             m[row[x:y], col[x:y] - a] = 1
             both += m @ m.T
         jaccard = both / (sizes[:, None] + sizes[None, :] - both)
         i, j = np.nonzero(pair_mask(rows["own"].to_numpy(), rows["other"].to_numpy()) & (jaccard >= THRESHOLD - 1e-12))
         keys = np.stack([np.frombuffer(k, ">u2").reshape(TREES, DEPTH) for k in rows["keys"]])
         # a pair counts in the first trie that brings it together
-        alike = keys[i] == keys[j]
-        same = alike[:, :, :depth].all(2) if len(i) else np.zeros((0, TREES), bool)
-        new = same[:, tree] & (np.argmax(same, axis=1) == tree)
-        if longer and len(i):
-            new &= ~alike[:, :, :longer].all(2).any(1)
+        new = np.zeros(len(i), bool)
+        for a in range(0, len(i), _PAIRS):
+            alike = keys[i[a : a + _PAIRS]] == keys[j[a : a + _PAIRS]]
+            same = alike[:, :, :depth].all(2)
+            new[a : a + _PAIRS] = same[:, tree] & (np.argmax(same, axis=1) == tree)
+            if longer:
+                new[a : a + _PAIRS] &= ~alike[:, :, :longer].all(2).any(1)
         i, j = i[new], j[new]
         links = np.zeros(n, np.int64)
         np.add.at(links, i, copies[j])
@@ -171,7 +175,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     schema = "id long, links long, root long, " + ", ".join(f"band{k} long" for k in range(len(BANDS)))
     for depth in DEPTHS:
         prefixes = F.array(*(F.substring("keys", 1 + 2 * DEPTH * t, 2 * depth) for t in range(TREES)))
-        calls, taken = bucket_blocks(classes.select("id", F.posexplode(prefixes).alias("tree", "key"), F.lit(0).alias("probe"), F.col("grams").alias("weight")), before=met)
+        calls, taken = bucket_blocks(classes.select("id", F.posexplode(prefixes).alias("tree", "key"), F.lit(0).alias("probe"), F.col("grams").alias("weight")), BLOCK, met)
         calls = saved(calls)
         wanted = calls.select("id").distinct().join(classes, "id").select("id", F.col("class_id").alias("doc_id"), "cls", "copies", "keys")
         texts = packed.join(wanted, ["doc_id", "cls"]).select("id", "copies", "keys", "packed")
