@@ -403,7 +403,8 @@ def line_owner(spark, root):
     return boxes.best_region(_lines(spark, root), _regions(spark, root))
 
 
-@query(f"WITH {_LINES}, {_REGIONS}, x AS (SELECT page_id, region_id, string_agg(array_to_string(words, ' '), ' ' ORDER BY y1, x1, item_id) AS t FROM hits GROUP BY 1, 2) SELECT r.page_id, r.region_id, coalesce(t, '') AS text FROM regions r LEFT JOIN x USING (page_id, region_id)")
+@query(f"""WITH {_LINES}, p AS MATERIALIZED (SELECT page_id, list({{x1: x1, y1: y1, x2: x2, y2: y2, w: array_to_string(words, ' ')}} ORDER BY y1, x1, item_id) AS l FROM lines GROUP BY 1),
+ q AS (SELECT page_id, CAST(r AS INT) AS region_id, l FROM p, range(4) t(r)) SELECT page_id, region_id, array_to_string(list_transform(list_filter(l, lambda a: a.x1 < region_id * 70 + 90 AND a.x2 > region_id * 70 AND a.y1 < region_id * 10 + 60 AND a.y2 > region_id * 10), lambda a: a.w), ' ') AS text FROM q""")
 def box_text(spark, root):
     return boxes.region_text(_lines(spark, root), _regions(spark, root))
 

@@ -15,12 +15,12 @@ def close(actual: Column, expected: Column, absolute: float = 0.05, relative: fl
 
 
 def soft_number(text: Column) -> Column:
-    """A double from text with O for 0, blanks inside and comma or point; null where it isn't one number."""
-    digits = F.regexp_replace(F.regexp_replace(text, "<[^>]*>", ""), "[OoОо]", "0")
-    digits = F.translate(F.regexp_replace(digits, "[^0-9,.-]", ""), ",", ".")
-    parts = F.split(digits, r"\.")
-    joined = F.when(F.size(parts) > 2, F.concat(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), ""), F.lit("."), F.element_at(parts, -1))).otherwise(digits)
-    return joined.try_cast("double")
+    """A double from text with capital O for 0 and blanks inside; of several commas, or several points, the last one is the
+    decimal mark. Null where it isn't one number, as in 1,234.50, which could be read in two ways."""
+    digits = F.regexp_replace(F.translate(F.regexp_replace(text, "<[^>]*>", ""), "OО", "00"), "[^0-9,.-]", "")
+    alone = lambda mark, other: ~digits.contains(other) & (F.length(digits) - F.length(F.translate(digits, mark, "")) > 1)
+    last = lambda mark: F.regexp_replace(digits, rf"[{mark}](?=.*[{mark}])", "")
+    return F.translate(F.when(alone(",", "."), last(",")).when(alone(".", ","), last(".")).otherwise(digits), ",", ".").try_cast("double")
 
 
 def first_number(text: Column) -> Column:

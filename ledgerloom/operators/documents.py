@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.functions.numbers import soft_number
+from ledgerloom.operators.rows import running_numbers
 
 PLACE = ("document_id", "page_no", "row_no")
 # fixed values: words that mark rows without an item
@@ -79,7 +80,7 @@ def invoice_items(rows: DataFrame) -> DataFrame:
     """Items of rows of ten cells or more, padded to thirteen.
 
     A row counts if few of its cells are short whole numbers, an article or a description is there and at
-    least three of cells 4 to 11 hold figures. Items without a readable number count on from the one before.
+    least three of cells 4 to 11 hold figures. Items without a readable number count on from the largest one before.
     """
     filled = _filled()
     few_short = F.size(F.filter(filled, _short)) < 0.7 * F.size(filled)
@@ -92,8 +93,7 @@ def invoice_items(rows: DataFrame) -> DataFrame:
         number(6).alias("unit_price_incl_vat"), number(7).alias("amount_no_disc_incl_vat"), number(8).alias("disc_amount"), number(9).alias("amount_with_disc_excl_vat"),
         percent(cell(10)).alias("vat_rate"), number(11).alias("vat_amount"), number(12).alias("total_with_disc_incl_vat"),
     )
-    w = Window.partitionBy("document_id").orderBy("page_no", "row_no")
-    return out.withColumn("line_number", F.coalesce("parsed", F.row_number().over(w))).drop("parsed")
+    return running_numbers(out, ["document_id"], ["page_no", "row_no"], "parsed").drop("parsed")
 
 
 def account_items(rows: DataFrame) -> DataFrame:

@@ -10,24 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _leaves(value, path: str) -> Iterator[tuple[str, str | None]]:
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield from _leaves(v, f"{path}.{k}" if path else k)
-    elif isinstance(value, list) and value:
-        for i, v in enumerate(value):
-            yield from _leaves(v, f"{path}[{i}]")
-    elif isinstance(value, list):
-        yield path, "[]"
-    else:
-        yield path, value if isinstance(value, str) or value is None else json.dumps(value)
+def _leaves(value) -> Iterator[tuple[str, str | None]]:
+    todo = [("", value)]
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict):
+            todo += [(f"{path}.{k}" if path else k, v) for k, v in reversed(value.items())]
+        elif isinstance(value, list) and value:
+            todo += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(value)))]
+        else:
+            yield path, "[]" if isinstance(value, list) else value if isinstance(value, str) or value is None else json.dumps(value)
 
 
 def flatten(df: DataFrame, key: str, column: str) -> DataFrame:
     """key, path, value for every leaf of the JSON in ``column``, to any depth, in one pass.
 
     An empty list is one row ('[]'), an empty object none; numbers and booleans are written as JSON. Null or
-    unreadable text has no rows.
+    unreadable text has no rows, and neither has text that nests deeper than the JSON reader goes (some thousands).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -36,9 +35,9 @@ def flatten(df: DataFrame, key: str, column: str) -> DataFrame:
             for k, text in zip(batch[key], batch[column]):
                 try:
                     document = json.loads(text)
-                except (TypeError, ValueError):
+                except (TypeError, ValueError, RecursionError):
                     continue
-                out += [(k, p, v) for p, v in _leaves(document, "")]
+                out += [(k, p, v) for p, v in _leaves(document)]
             yield pd.DataFrame(out, columns=[key, "path", "value"])
 
     return df.select(key, column).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, path string, value string")

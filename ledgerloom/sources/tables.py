@@ -6,6 +6,7 @@ import io
 import json
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -75,18 +76,26 @@ def artefact_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archived_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Recognition results inside ZIP archives: an archive's whole list if it holds one, else its page files."""
+    """Recognition results inside ZIP archives: an archive's whole list if it holds one, else its page files.
+
+    Archives and files inside them that can't be read give no rows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    names = sorted(n for n in z.namelist() if n.endswith(".json"))
-                    pages = [n for n in names if n.endswith("__ocr_raw.json")]
-                    for n in [n for n in names if n not in pages][:1] or pages:
-                        for text in [z.read(n).decode("utf-8-sig")]:
-                            rows = json.loads(text)
-                            yield pd.DataFrame({"archive": name, "page": [json.dumps(r, ensure_ascii=False) for r in (rows if isinstance(rows, list) else [rows])]})
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(content))
+                except zipfile.BadZipFile:
+                    continue
+                names = sorted(n for n in archive.namelist() if n.endswith(".json"))
+                pages = [n for n in names if n.endswith("__ocr_raw.json")]
+                for n in [n for n in names if n not in pages][:1] or pages:
+                    try:
+                        rows = json.loads(archive.read(n).decode("utf-8-sig"))
+                    except (zipfile.BadZipFile, ValueError, RecursionError, zlib.error):
+                        continue
+                    yield pd.DataFrame({"archive": name, "page": [json.dumps(r, ensure_ascii=False) for r in (rows if isinstance(rows, list) else [rows])]})
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path).select("path", "content")
     return raw.mapInPandas(run, "archive string, page string").select("archive", F.from_json("page", _PAGE).alias("p")).select("archive", "p.*")
