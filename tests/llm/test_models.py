@@ -27,6 +27,9 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean([r.predicted == r.toxic for r in got]) > 0.97
     empty = spark.createDataFrame([(1, None, 5), (2, "", 6), (3, " . ", 7)], "doc_id long, text string, score int")
     assert [r.score for r in toxicity.score(empty, ({}, -3.0)).collect()] == [0.0, 0.0, 0.0]
+    assert toxicity.score(empty.limit(0), ({}, -3.0)).count() == 0
+    long = spark.createDataFrame([(1, "word " * 50_000 + "."), (2, "word " * 50_000 + ".")], "doc_id long, text string")
+    assert len({r.score for r in toxicity.score(long, ({toxicity.features("word")[0]: 0.5}, -3.0)).collect()}) == 1
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.train(empty, none) == ({}, -8.0)
 
