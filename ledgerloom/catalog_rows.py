@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog import LINE, query
-from ledgerloom.functions import scalars
-from ledgerloom.operators import rows
-from ledgerloom.sources.tables import table
+from ledgerloom.functions import money_words, scalars, text
+from ledgerloom.operators import boxes, nested, quality, rows, segments
+from ledgerloom.sources.tables import file_kind, table
+from ledgerloom.streaming import jobs
 
 c, lit = F.col, F.lit
 _LINE = ", ".join(LINE)
@@ -324,3 +325,129 @@ def document_manifest(spark, root):
 def review_counts(spark, root):
     marks = F.array(c("c_acctbal") < 0, c("c_nationkey") % 2 == 0, F.length("c_mktsegment") > 8)
     return table(spark, root, "customer").select("c_custkey", F.size(F.filter(marks, lambda x: x)).alias("review_fields"), F.exists(marks, lambda x: x).alias("review"))
+
+
+_SHORT = "substr(p_name, 1, CAST(p_partkey % 30 AS INT))"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {_SHORT} AS t, p_size % 5 = 0 AS title, p_size % 7 = 0 AS footer FROM part), u AS (SELECT *, length(regexp_replace(t, '\\s', '', 'g')) AS compact, regexp_extract_all(t, '[A-Za-zА-Яа-яЁё0-9]{{2,}}') AS w FROM t)
+ SELECT p_partkey, (compact < 25 OR (length(array_to_string(w, '')) < 18 AND len(w) <= 3)) AND NOT title AND NOT footer AS blank FROM u""")
+def blank_pages(spark, root):
+    return table(spark, root, "part").select("p_partkey", segments.blank_page(F.expr(_SHORT), c("p_size") % 5 == 0, c("p_size") % 7 == 0).alias("blank"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 11 = 0 THEN 'payment_order' WHEN p_size % 13 = 0 THEN 'waybill' WHEN p_size % 17 = 0 THEN 'account_prot' WHEN greatest(p_size % 3, p_size % 4, p_size % 5, p_size % 2) <= 0 THEN 'unknown'
+ WHEN p_size % 3 = greatest(p_size % 3, p_size % 4, p_size % 5, p_size % 2) THEN 'invoice' WHEN p_size % 4 = greatest(p_size % 3, p_size % 4, p_size % 5, p_size % 2) THEN 'waybill' WHEN p_size % 5 = greatest(p_size % 3, p_size % 4, p_size % 5, p_size % 2) THEN 'payment_order' ELSE 'account_prot' END AS page_type FROM part""")
+def page_types(spark, root):
+    size = c("p_size")
+    scores = dict(zip(segments.TYPES, (size % 3, size % 4, size % 5, size % 2)))
+    return table(spark, root, "part").select("p_partkey", segments.page_type(scores, size % 11 == 0, size % 13 == 0, size % 17 == 0).alias("page_type"))
+
+
+@query("SELECT l_orderkey, l_linenumber AS page_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS line_number FROM lineitem WHERE l_quantity > 10")
+def renumbered_items(spark, root):
+    kept = table(spark, root, "lineitem").filter("l_quantity > 10")
+    return segments.renumber(kept, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).select("l_orderkey", c("l_linenumber").alias("page_no"), "line_number")
+
+
+@query("SELECT c_custkey, CAST(floor((CAST(c_custkey % 2 = 0 AS INT) + CAST(c_custkey % 3 = 0 AS INT) + CAST(c_custkey % 5 = 0 AS INT) + CAST(c_acctbal > 0 AS INT) + 1) / 5.0 * 100) AS BIGINT) AS progress FROM customer")
+def stage_progress(spark, root):
+    key = c("c_custkey")
+    return table(spark, root, "customer").select("c_custkey", segments.progress([key % 2 == 0, key % 3 == 0, key % 5 == 0, c("c_acctbal") > 0, lit(True)]).alias("progress"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 4 + 1 < least(coalesce(CASE WHEN o_custkey % 3 > 0 THEN CAST(o_custkey % 3 + 1 AS INT) END, 3), 3) THEN 'uploaded' ELSE 'failed' END AS state, o_custkey % 4 + 1 AS attempts FROM orders WHERE o_orderstatus = 'F'")
+def job_retries(spark, root):
+    failed = table(spark, root, "orders").select("o_orderkey", F.when(c("o_orderstatus") == "F", "failed").alias("state"), (c("o_custkey") % 4).alias("attempts"), F.when(c("o_custkey") % 3 > 0, (c("o_custkey") % 3 + 1).cast("int")).alias("max_attempts"))
+    return jobs.next_attempts(failed).select("o_orderkey", "state", "attempts")
+
+
+@query("WITH s AS (SELECT user_id, max(ts) AS ts FROM events GROUP BY 1) SELECT user_id, ts FROM s WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 3600 SECOND")
+def fresh_states(spark, root):
+    events = table(spark, root, "events")
+    states = events.groupBy("user_id").agg(F.max("ts").alias("ts")).join(F.broadcast(events.agg(F.max("ts").alias("now"))))
+    return jobs.fresh(states, "ts", c("now")).select("user_id", "ts")
+
+
+_PATH = "CASE p_partkey % 5 WHEN 0 THEN 'items[' || CAST(p_size AS STRING) || '].unit' WHEN 1 THEN 'totals.vat_total' WHEN 2 THEN 'sender.tax_id' WHEN 3 THEN 'a[3].b[12].c' ELSE 'number' END"
+
+
+@query(f"SELECT p_partkey, regexp_replace({_PATH}, '\\[[0-9]+\\]', '[*]', 'g') AS path, CASE p_partkey % 5 WHEN 0 THEN 'items' WHEN 1 THEN 'totals' WHEN 2 THEN 'parties' ELSE 'header' END AS tag FROM part")
+def path_tags(spark, root):
+    return table(spark, root, "part").select("p_partkey", nested.general_path(F.expr(_PATH)).alias("path"), nested.catalog_tag(F.expr(_PATH)).alias("tag"))
+
+
+@query("WITH l AS (SELECT CASE WHEN event_id % 3 = 0 THEN '$.k' ELSE '$.items[*].k' END AS path, json_extract_string(props, '$.k') AS v, event_id FROM events) SELECT regexp_replace(path, '^[$][.]', '') AS path, count(*) AS leaves, count(*) FILTER (WHERE v IS NULL) AS nulls FROM l GROUP BY 1")
+def leaf_statistics(spark, root):
+    """Leaves and nulls for each general path of nested documents."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    events = table(spark, root, "events").select("event_id", F.to_json(F.when(c("event_id") % 3 == 0, F.struct(k.alias("k"), F.lit(None).cast("array<struct<k:bigint>>").alias("items"))).otherwise(F.struct(F.lit(None).cast("bigint").alias("k"), F.array(F.struct(k.alias("k"))).alias("items")))).alias("doc"))
+    leaves = nested.flatten(events, "event_id", "doc").withColumn("path", nested.general_path(c("path")))
+    return leaves.groupBy("path").agg(F.count("*").alias("leaves"), F.count_if(c("value").isNull()).alias("nulls"))
+
+
+_FILE = "'in/' || CAST(p_partkey AS STRING) || CASE p_size % 6 WHEN 0 THEN '.PDF' WHEN 1 THEN '.png' WHEN 2 THEN '.docx' WHEN 3 THEN '.csv' WHEN 4 THEN '.zip' ELSE '' END"
+
+
+@query("SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'document' WHEN 3 THEN 'text' ELSE 'unknown' END AS kind FROM part")
+def file_kinds(spark, root):
+    return table(spark, root, "part").select("p_partkey", file_kind(F.expr(_FILE)).alias("kind"))
+
+
+@query("SELECT DISTINCT 'doc' || CAST(l_orderkey AS STRING) AS stem, CAST(l_linenumber AS INT) AS page FROM lineitem")
+def page_id_parts(spark, root):
+    page = F.format_string("doc%d__p%04d", "l_orderkey", "l_linenumber")
+    return table(spark, root, "lineitem").select(text.page_stem(page).alias("stem"), text.page_number(page).alias("page")).distinct()
+
+
+@query("SELECT n_nationkey, n_name AS first, CAST(n_regionkey AS STRING) AS last, 3 AS cells FROM nation")
+def pipe_cells(spark, root):
+    cells = text.split_cells(F.concat(lit(" "), "n_name", lit(" |x|  "), c("n_regionkey").cast("string")))
+    return table(spark, root, "nation").select("n_nationkey", F.element_at(cells, 1).alias("first"), F.element_at(cells, -1).alias("last"), F.size(cells).alias("cells"))
+
+
+@query("SELECT p_partkey, CASE WHEN n < 1024 THEN format('{:d} B', n) WHEN n < 1048576 THEN format('{:.1f} KB', n / 1024.0) ELSE format('{:.1f} MB', n / 1048576.0) END AS shown FROM (SELECT p_partkey, CAST(p_size * p_size * p_size * 37 AS BIGINT) AS n FROM part)")
+def size_texts(spark, root):
+    return table(spark, root, "part").select("p_partkey", text.size_text((c("p_size") * c("p_size") * c("p_size") * 37).cast("long")).alias("shown"))
+
+
+@query("SELECT n_nationkey, n_name || ' 7' AS part FROM nation")
+def text_between(spark, root):
+    line = F.concat(lit("Поставщик:  "), "n_name", lit("   7  Плательщик: x Основание: y"))
+    return table(spark, root, "nation").select("n_nationkey", text.between(line, r"поставщик:\s*", ["основание", "плательщик"]).alias("part"))
+
+
+@query("SELECT s_suppkey, 'BY20OLMP' || lpad(CAST(s_suppkey AS STRING), 20, '0') AS account, 'OLMPBY2X' AS bank, CAST(100000000 + s_suppkey AS STRING) AS tax FROM supplier")
+def bank_details(spark, root):
+    number = F.lpad(c("s_suppkey").cast("string"), 20, "0")
+    line = F.concat(lit("р/с ВY20 OLMP "), number, lit(" в банке ОLМРBY2X, УНП "), (c("s_suppkey") + 100000000).cast("string"))
+    return table(spark, root, "supplier").select("s_suppkey", text.account_number(F.concat(lit("BY20 OLMP "), number)).alias("account"), F.element_at(text.bank_codes(line), 1).alias("bank"), F.element_at(text.tax_ids(line), -1).alias("tax"))
+
+
+@query("SELECT n_nationkey, n_name AS trimmed, CASE WHEN n_nationkey % 3 = 0 THEN 'проверить' WHEN n_nationkey % 3 = 1 THEN n_name END AS kept FROM nation")
+def doubtful_text(spark, root):
+    noisy = F.concat(lit("-- . "), "n_name", lit(" ;; |"))
+    kept = text.clean_or_review(F.when(c("n_nationkey") % 3 != 2, c("n_name")).otherwise("  "), c("n_nationkey") % 3 == 0, "проверить")
+    return table(spark, root, "nation").select("n_nationkey", text.trim_edge_noise(noisy).alias("trimmed"), kept.alias("kept"))
+
+
+@query(f"WITH {_R} SELECT page, coalesce(string_agg(text, ' ' ORDER BY y1, x1, id) FILTER (WHERE (y1 + y2) / 2.0 >= 20 AND (y1 + y2) / 2.0 < 60), '') AS zone FROM (SELECT DISTINCT page, id, x1, y1, x2, y2, text FROM r) GROUP BY 1")
+def zone_texts(spark, root):
+    cells = F.array_sort(F.collect_list(F.struct("y1", "x1", "id", "y2", "x2", "text")))
+    return _boxes(spark, root).groupBy("page").agg(cells.alias("cells")).select("page", boxes.zone_text(c("cells"), lit(20), lit(60)).alias("zone"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1")
+def latest_document(spark, root):
+    return quality.latest(table(spark, root, "orders"), ["o_custkey"], [F.desc("o_orderdate"), c("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+# fixed values: the spelling of whole numbers, an independent list for the SQL
+_ONES = "['', 'один', 'два', 'три', 'четыре', 'пять', 'шесть', 'семь', 'восемь', 'девять', 'десять', 'одиннадцать', 'двенадцать', 'тринадцать', 'четырнадцать', 'пятнадцать', 'шестнадцать', 'семнадцать', 'восемнадцать', 'девятнадцать']"
+_TENS = "['', '', 'двадцать', 'тридцать', 'сорок', 'пятьдесят', 'шестьдесят', 'семьдесят', 'восемьдесят', 'девяносто']"
+_HUNDREDS = "['', 'сто', 'двести', 'триста', 'четыреста', 'пятьсот', 'шестьсот', 'семьсот', 'восемьсот', 'девятьсот']"
+
+
+@query(f"""WITH n AS (SELECT p_partkey, CAST(p_partkey % 999 + 1 AS INT) AS n FROM part) SELECT p_partkey, array_to_string(list_filter([{_HUNDREDS}[n // 100 + 1], CASE WHEN n % 100 < 20 THEN {_ONES}[n % 100 + 1] ELSE {_TENS}[n % 100 // 10 + 1] END, CASE WHEN n % 100 >= 20 THEN {_ONES}[n % 10 + 1] END], lambda x: x <> ''), ' ') AS spelt FROM n""")
+def numbers_in_words(spark, root):
+    return table(spark, root, "part").select("p_partkey", F.lower(F.trim(money_words.whole_in_words((c("p_partkey") % 999 + 1).cast("long")))).alias("spelt"))

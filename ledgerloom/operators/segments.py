@@ -32,8 +32,8 @@ def page_type(scores: dict[str, Column], payment_title: Column, waybill_title: C
 def blank_page(text: Column, has_title: Column, has_footer: Column) -> Column:
     """Few signs, or few letters and digits in few words, and neither title nor footer."""
     t = F.coalesce(text, F.lit(""))
-    compact, useful = F.length(F.regexp_replace(t, r"(?U)\s", "")), F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
-    words = F.size(F.regexp_extract_all(t, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    words = F.regexp_extract_all(t, F.lit("([A-Za-zА-Яа-яЁё0-9]{2,})"), F.lit(1))
+    compact, useful, words = F.length(F.regexp_replace(t, r"(?U)\s", "")), F.length(F.array_join(words, "")), F.size(words)
     return ((compact < 25) | ((useful < 18) & (words <= 3))) & ~has_title & ~has_footer
 
 
