@@ -420,11 +420,19 @@ def layout_stats(spark, root):
     return boxes.layout_stats(_lines(spark, root))
 
 
-@query()
+_MIDDLE = "(cells[{k}].y1 + cells[{k}].y2) / 2.0"
+
+
+@query(f"""WITH RECURSIVE {_LINES}, p AS (SELECT page_id, list({{x1: x1, y1: y1, x2: x2, y2: y2, text: array_to_string(words, ' ')}} ORDER BY x1, y1, x2, y2, array_to_string(words, ' ')) AS cells FROM lines GROUP BY 1),
+ f AS (SELECT page_id, cells, 1 AS k, [{{mean: {_MIDDLE.format(k=1)}, n: 1, ix: [1]}}] AS bands FROM p
+  UNION ALL SELECT page_id, cells, k + 1, CASE WHEN near = 0 THEN list_append(bands, {{mean: y, n: 1, ix: [k + 1]}}) ELSE list_transform(bands, lambda b, i: CASE WHEN i = near THEN {{mean: (b.mean * b.n + y) / (b.n + 1), n: b.n + 1, ix: list_append(b.ix, k + 1)}} ELSE b END) END
+  FROM (SELECT *, coalesce(list_position(list_transform(bands, lambda b: abs(b.mean - y) <= 10), true), 0) AS near FROM (SELECT *, {_MIDDLE.format(k='k + 1')} AS y FROM f WHERE k < len(cells)))),
+ d AS (SELECT page_id, cells, UNNEST(bands) AS b FROM f WHERE k = len(cells)), t AS (SELECT page_id, b.mean AS mean, b.n AS n, array_to_string(list_transform(b.ix, lambda i: cells[i].text), ' | ') AS line, list_transform(b.ix, lambda i: cells[i].x1) AS x FROM d)
+ SELECT page_id, string_agg(line, chr(10) ORDER BY mean, n, x) AS lines FROM t GROUP BY 1""")
 def row_banding(spark, root):
     cell = F.struct("x1", "y1", "x2", "y2", "text")
     pages = _lines(spark, root).groupBy("page_id").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    return pages.select("page_id", boxes.row_texts(boxes.bands(c("cells"), 10, False)).alias("lines"))
+    return pages.select("page_id", F.array_join(boxes.row_texts(boxes.bands(c("cells"), 10, False)), "\n").alias("lines"))
 
 
 @query("SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS whole, round(o_totalprice, 2) AS amount FROM orders")
@@ -462,10 +470,22 @@ def nested_field_counts(spark, root):
     return events.join(states, "event_id", "left").groupBy("user_id", "event_type").agg(F.count("*").alias("fields"), F.count_if(F.coalesce("nulls", lit(1)) > 0).alias("nulls"))
 
 
-@query()
+_BEST = "CASE WHEN greatest({0}) <= 0 THEN NULL " + " ".join(f"WHEN s{k} = greatest({{0}}) THEN '{t}'" for k, t in enumerate(segments.TYPES)) + " END"
+_TALLIES = ", ".join(f"s{k}" for k in range(4))
+_KIND = "CASE length(text) % 4 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(segments.TYPES)) + " END"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT CAST(conv_id AS STRING) AS source_id, CAST(turn AS INT) AS page_no, CAST(conv_id AS STRING) || '__p' || CAST(turn AS STRING) AS page_id, role = 'user' AS title, length(text) % 3 = 0 AS footer, {_KIND} AS kind FROM conversations WHERE NOT coalesce(length(text) < 10, false)),
+ q AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY page_no, page_id) AS n FROM p),
+ f AS (SELECT q.*, 1 AS segment_no, {', '.join(f"CAST(kind IS NOT DISTINCT FROM '{t}' AS INT) AS s{k}" for k, t in enumerate(segments.TYPES))} FROM q WHERE n = 1
+  UNION ALL SELECT source_id, page_no, page_id, title, footer, kind, n, segment_no + CAST(starts AS INT), {', '.join(f"CASE WHEN starts THEN 0 ELSE s{k} END + CAST(kind IS NOT DISTINCT FROM '{t}' AS INT)" for k, t in enumerate(segments.TYPES))}
+  FROM (SELECT q.*, f.segment_no, {', '.join(f'f.s{k}' for k in range(4))}, coalesce(q.page_no <> f.page_no + 1, false) OR coalesce(q.kind = 'payment_order' AND q.title, false) OR coalesce(q.title AND f.footer, false) AS starts FROM f JOIN q ON q.source_id = f.source_id AND q.n = f.n + 1)),
+ g AS (SELECT source_id, segment_no, count(*) AS pages, {', '.join(f"count(*) FILTER (WHERE kind = '{t}') AS s{k}" for k, t in enumerate(segments.TYPES))} FROM f GROUP BY 1, 2), t AS (SELECT *, coalesce({_BEST.format(_TALLIES)}, 'unknown') AS doc_type FROM g)
+ SELECT f.source_id, f.page_no, f.page_id, f.segment_no, CASE WHEN pages = 1 THEN 'single' WHEN row_number() OVER w = 1 THEN 'first' WHEN row_number() OVER w = pages THEN 'last' ELSE 'middle' END AS page_role, 'doc_' || lpad(CAST(f.segment_no AS STRING), 2, '0') AS segment_id, doc_type FROM f JOIN t USING (source_id, segment_no) WINDOW w AS (PARTITION BY f.source_id, f.segment_no ORDER BY f.page_no, f.page_id)""")
 def segmentation_full(spark, root):
     turns = table(spark, root, "conversations")
     title, kind = c("role") == "user", F.element_at(F.array(*map(lit, segments.TYPES)), (F.length("text") % 4 + 1).cast("int"))
     pages = turns.select(c("conv_id").cast("string").alias("source_id"), c("turn").cast("int").alias("page_no"), F.concat_ws("__p", "conv_id", "turn").alias("page_id"), (F.length("text") < 10).alias("blank"), title.alias("has_title"), (F.length("text") % 3 == 0).alias("has_footer"), lit(False).alias("continuation_like"), F.when(title, "first_candidate").alias("role_hint"), kind.alias("page_doc_type"), lit(None).cast("string").alias("hard_type"), F.create_map(kind, lit(1)).alias("scores"))
     found = segments.with_roles(segments.segments(pages))
-    return found.join(segments.segment_types(found, pages).select("source_id", "segment_no", "doc_type"), ["source_id", "segment_no"])
+    out = found.join(segments.segment_types(found, pages).select("source_id", "segment_no", "doc_type"), ["source_id", "segment_no"])
+    return out.select("source_id", "page_no", "page_id", "segment_no", "page_role", "segment_id", "doc_type")
