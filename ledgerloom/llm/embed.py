@@ -54,7 +54,7 @@ def plan_tables(n: int, d: int, threshold: float = THRESHOLD, target: float = TA
 
     Two vectors meet in a table if their stretches differ in one bit at most, and half of those that differ in two.
     """
-    width = min(d, 62, max(8, math.ceil(math.log2(max(2, n))) + 1))
+    width = min(d, 62, max(8, math.ceil(math.log2(max(2, n))) + 5))
     flips = math.acos(threshold) / math.pi
     meet = (_chance(width, flips, 1) + _chance(width, flips, 2)) / 2
     return width, max(1, math.ceil(math.log(1 - target) / math.log(1 - min(meet, 1 - 1e-9))))
@@ -120,11 +120,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 bits = unit(x) @ turn > median
                 own = bits.reshape(len(at), -1, d)[:, :, : each * width].reshape(len(at), -1, width)[:, :tables] @ (1 << np.arange(width, dtype=np.int64))
                 codes = [c.tobytes() for c in np.packbits(bits, axis=1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.full(len(at), d, np.int32)), pa.array(list(own), pa.list_(pa.int64())), pa.array(codes, pa.binary())], ["id", "d", "keys", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.full(len(at), d, np.int32)), pa.array(list(own), pa.list_(pa.int64())), pa.array([k.tobytes() for k in own], pa.binary()), pa.array(codes, pa.binary())], ["id", "d", "keys", "stretch", "code"])
 
-    codes = saved(classes.select("id", "x").mapInArrow(encode, "id long, d int, keys array<long>, code binary"))
+    coded = saved(classes.select("id", "x").mapInArrow(encode, "id long, d int, keys array<long>, stretch binary, code binary"))
+    codes = coded.drop("keys")
     # a probed stretch lacks one of the bits of the vector's own
-    keys = codes.select("id", "d", F.posexplode("keys").alias("tree", "own"))
+    keys = coded.select("id", "d", F.posexplode("keys").alias("tree", "own"))
     keys = keys.selectExpr("id", "d", "tree", "explode(concat(array(struct(own as key, 0 as probe)), transform(filter(sequence(0, 61), b -> own & shiftleft(1L, b) <> 0), b -> struct(own ^ shiftleft(1L, b) as key, 1 as probe)))) as e")
     keys = keys.selectExpr("id", "tree", "struct(d, e.key) as key", "e.probe as probe", "cast(d as long) as weight")
     calls = saved(bucket_blocks(keys)[0])
@@ -132,14 +133,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def close(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """The pairs (as places of rows) of whole calls whose codes differ in few bits and that meet here first."""
         grp, own, other, tree, probe, d = (rows[c].to_numpy() for c in ("grp", "own", "other", "tree", "probe", "d"))
-        within = {int(v): radius(8 * len(c), threshold) for v, c in zip(d, rows["code"])}
-        limit = np.array([within[int(v)] for v in d])
+        lengths, first, which = np.unique(d, return_index=True, return_inverse=True)
+        within = {int(v): radius(8 * len(rows["code"].iat[k]), threshold) for v, k in zip(lengths, first)}
+        limit = np.array(list(within.values()), np.int64)[which] if len(d) else np.empty(0, np.int64)
         # all rows of a call have one length of vector; shorter codes and fewer stretches are filled up alike
         code = np.zeros((len(rows), max(map(len, rows["code"]), default=0)), np.uint8)
-        stretch = np.zeros((len(rows), max(map(len, rows["keys"]), default=0)), np.int64)
+        stretch = np.zeros((len(rows), max(map(len, rows["stretch"]), default=0) // 8), np.int64)
         for v in within:
             at = np.flatnonzero(d == v)
-            part = np.stack([np.frombuffer(rows["code"].iat[k], np.uint8) for k in at]), np.stack([rows["keys"].iat[k] for k in at])
+            part = [np.frombuffer(b"".join(rows[name].array[at]), kind).reshape(len(at), -1) for name, kind in (("code", np.uint8), ("stretch", np.int64))]
             code[at, : part[0].shape[1]], stretch[at, : part[1].shape[1]] = part
         found, shift = [], 1
         at = np.arange(len(rows))
