@@ -18,7 +18,7 @@ from ledgerloom.llm._common import WordCodes, mix, saved, slices, window_hashes,
 #: Words of a window that counts as a repeat, and of an anchor. Every window holds a whole anchor block if
 #: WINDOW >= 2 * BLOCK - 1.
 WINDOW, BLOCK = 13, 7
-#: Bytes of a hash that travel; the partition adds its own bits. Chance hits of anchors only cost time.
+#: Bytes of a hash that travel. Chance hits of anchors only cost time; those of windows would remove words wrongly.
 ANCHOR_BYTES, WINDOW_BYTES = 5, 8
 _NO_DOC = np.iinfo(np.int64).max
 _PACKET = "part int, docs binary, counts binary, pos binary, hash binary"
@@ -118,8 +118,9 @@ def removed_words(docs: DataFrame) -> DataFrame:
 
     A word goes if a window of 13 words that covers it also starts in a document with a smaller doc_id. Blocks
     of 7 words at multiples of 7 index each document; every rolling window of 7 words probes the index; around
-    hits the windows of 13 words are compared by 64 bits of hash beside the partition's. Hot windows are
-    harmless: partitions meet hashes, not documents, and a task handles them in arrays.
+    hits the windows of 13 words are compared by 64-bit hashes, without a look at the words again: among n different
+    windows around hits (not among all windows) some n * n / 2**65 pairs are taken for equal by chance, one in thirty
+    runs at n = 10**9. All occurrences of a hash meet in one task, in arrays.
     kept_text is null where nothing goes (the text stays as it is).
 
     Null text has no words; empty text gives the digest of the empty string. A row with null doc_id is neither
