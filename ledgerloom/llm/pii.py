@@ -162,7 +162,7 @@ def generated_sample(spark: SparkSession, rows: int = SAMPLE) -> DataFrame:
     d15 = F.substring(F.concat(pick("cd", "4", "5", "37"), num(13, 12), num(14, 3)), 1, 15)
     last = lambda valid: F.element_at(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda c: _luhn(F.concat(d15, c.cast("string"))) == F.lit(valid)), 1).cast("string")
     between = pick("k", ".", " - ", "_", "/", "  ")
-    card = lambda valid: F.concat(*(x for k in range(4) for x in (*([between] if k else []), F.substring(F.concat(d15, last(valid)), 1 + 4 * k, 4))))
+    card = lambda valid: _once(F.concat(d15, last(valid)), lambda n: F.concat(*(x for k in range(4) for x in (*([between] if k else []), F.substring(n, 1 + 4 * k, 4)))))
     short_hex = F.concat(pick("h1", "fe80", "2001:db8", "fd12:3456", "2a00:1450:4001"), F.lit("::"), F.lower(F.substring(F.hex(F.xxhash64("id")), 1, 3)), pick("h2", "", ":1", ":20:a"))
     times = F.concat(pick("t1", "0", "1"), num(15, 1), F.lit(":"), pick("t2", "0", "3", "5"), num(16, 1), F.lit(":"), pick("t3", "1", "2", "4"), num(17, 1))
     told = {"card": ("card no ", "paid by Visa ", "credit card: ", "Kreditkarte ", "carte "), "phone": ("Tel. ", "call me: ", "phone ", "fax ", "Telefon: "), "mail": ("e-mail: ", "contact ", "write to "), "net": ("host ", "login from ", "address "), "number": ("order no ", "invoice ", "version ", "ref ", "since ", "total ", "the ", "page "), "none": ("", "and ", "of ", "the word ")}
@@ -172,7 +172,8 @@ def generated_sample(spark: SparkSession, rows: int = SAMPLE) -> DataFrame:
         (plain, 3, pick("c", *told["phone"]), 1), (plain, 3, pick("c", *told["number"], *told["none"]), 0), (plain, 3, pick("c", *told["number"], *told["none"]), 0), (short_hex, 1, pick("c", *told["net"], *told["none"]), 1), (times, 1, pick("c", *told["number"], *told["none"]), 0), (F.lit("::"), 1, pick("c", *told["none"], *told["net"]), 0),
         (card(True), 2, pick("c", *told["card"]), 1), (card(False), 2, pick("c", *told["number"], *told["none"], *told["card"]), 0), (card(False), 3, pick("c", *told["number"], *told["none"], *told["card"]), 0), (card(True), 3, pick("c", *told["card"]), 0),
     ]
-    rows_ = spark.range(rows).withColumn("e", F.element_at(F.array(*(F.struct(w.alias("word"), F.lit(k).alias("kind"), b.alias("before"), F.lit(y).alias("label")) for w, k, b, y in cases)), (F.pmod("id", F.lit(len(cases))) + 1).cast("int")))
+    case = F.pmod("id", F.lit(len(cases)))
+    rows_ = spark.range(rows).withColumn("e", F.coalesce(*(F.when(case == n, F.struct(w.alias("word"), F.lit(k).alias("kind"), b.alias("before"), F.lit(y).alias("label"))) for n, (w, k, b, y) in enumerate(cases))))
     return rows_.select("id", "e.*")
 
 
