@@ -281,13 +281,13 @@ def redact(text: Column, spans: Column) -> Column:
     name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
     cut = lambda s, a, b: F.substring(s, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
     # apart: where the text before a span starts, where it ends, and the span's kind; at last the text behind all spans
-    tail = F.struct(F.array_max(F.transform(spans, lambda x: x["end"])).alias("a"), F.length(text).cast("long").alias("b"), F.lit(None).cast("int").alias("kind"))
+    tail = F.struct(F.array_max(F.transform(spans, lambda x: x["end"])).alias("a"), F.length(text).cast("long").alias("b"), F.lit(-1).alias("kind"))
     gaps_ = F.zip_with(_before(F.transform(spans, lambda x: x["end"]), 0, lambda x, y: F.greatest(x, y)), spans, lambda at, x: F.struct(at.alias("a"), x["start"].alias("b"), x["kind"].alias("kind")))
     apart = F.concat(F.filter(gaps_, lambda g: g["a"] <= g["b"]), F.array(tail))
 
     def stretch(gaps: Column) -> Column:
         first = F.element_at(gaps, 1)["a"]
         own = cut(text, first, F.element_at(gaps, -1)["b"])
-        return _once(own, lambda t: F.array_join(F.transform(gaps, lambda g: F.concat(cut(t, g["a"] - first, g["b"] - first), F.coalesce(F.concat(F.lit("<"), name(g["kind"]), F.lit(">")), F.lit("")))), ""))
+        return _once(own, lambda t: F.array_join(F.transform(gaps, lambda g: F.concat(cut(t, g["a"] - first, g["b"] - first), F.when(g["kind"] >= 0, F.concat(F.lit("<"), name(F.greatest(g["kind"], F.lit(0))), F.lit(">"))).otherwise(""))), ""))
 
     return F.when(F.size(spans) > 0, F.array_join(F.transform(_parts(apart), stretch), "")).otherwise(text)
