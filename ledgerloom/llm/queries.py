@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontam, embed, html_text, jaccard, license_scan, packing, pii, substring, token_files, toxicity
+from ledgerloom.llm import decontam, embed, html_text, jaccard, license_scan, packing, pii, quantise, substring, token_files, toxicity
 from ledgerloom.llm._common import scratch, table
 
 
@@ -63,7 +63,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_checksums(token_files.read_tokens(spark, path))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantise.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op5_pii, op2_decontaminate, op3_ngram_jaccard, op4_substring_dedup, op7_embedding_dedup, op8_toxicity, op9_packing, op6_html_text, op10_token_files)
+    f.__name__: f for f in (op1_license_scan, op5_pii, op2_decontaminate, op3_ngram_jaccard, op4_substring_dedup, op7_embedding_dedup, op8_toxicity, op9_packing, op6_html_text, op10_token_files, op11_vector_codes)
 }
 ORACLE_SQL: dict[str, str] = {}
