@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontam, embed, html_text, jaccard, license_scan, packing, pii, quantise, secret_scan, substring, token_files, toxicity
+from ledgerloom.llm import collocations, decontam, embed, html_text, jaccard, license_scan, packing, pii, quantise, secret_scan, substring, token_files, toxicity
 from ledgerloom.llm._common import scratch, table
 
 
@@ -67,6 +67,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantise.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secret_scan.KINDS)]  # noqa: B023
@@ -74,6 +78,6 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op5_pii, op2_decontaminate, op3_ngram_jaccard, op4_substring_dedup, op7_embedding_dedup, op8_toxicity, op9_packing, op6_html_text, op10_token_files, op11_vector_codes, op13_secret_scan)
+    f.__name__: f for f in (op1_license_scan, op5_pii, op2_decontaminate, op3_ngram_jaccard, op4_substring_dedup, op7_embedding_dedup, op8_toxicity, op9_packing, op6_html_text, op10_token_files, op11_vector_codes, op12_collocations, op13_secret_scan)
 }
 ORACLE_SQL: dict[str, str] = {}
