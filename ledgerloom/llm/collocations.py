@@ -15,6 +15,8 @@ from ledgerloom.llm._common import MEMO_WORDS, mix, saved, slices
 
 #: fixed values: least count of a phrase, most words of it, share (of 100) at which a longer phrase stands for it, rows of each language.
 LEAST, MOST_WORDS, SHARE, TOP = 10, 3, 50, 2000
+#: Parts in which a language's phrases are ranked before they meet.
+PARTS = 16
 #: What ends a piece; a letter A-Z becomes small, a tab a blank.
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(10 if c in _BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -303,8 +305,12 @@ def phrases(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, s
     covered = found.filter(F.size("codes") > 2).select("lang", "a", F.explode(inner).alias("codes")).groupBy("lang", "codes").agg(F.max("a").alias("longer"))
     kept = scored.join(covered, ["lang", "codes"], "left").filter(F.coalesce(100 * F.col("longer") < share * F.col("a"), F.lit(True))).drop("longer")
 
-    by_score = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    best = saved(kept.withColumn("place", F.rank().over(by_score)).filter(F.col("place") <= top).drop("place"))
+    # the best of each of a language's PARTS first, so that no task gets more than PARTS * top rows, but for ties
+    best = kept.withColumn("part", F.pmod(F.xxhash64("codes"), F.lit(PARTS)))
+    for key in (["lang", "part"], ["lang"]):
+        by_score = Window.partitionBy(*key).orderBy(F.desc("score"), F.desc("a"))
+        best = best.withColumn("place", F.rank().over(by_score)).filter(F.col("place") <= top)
+    best = saved(best.drop("place", "part"))
     spelt = best.select("lang", "codes", F.posexplode("codes").alias("at", "code")).join(vocabulary.select("lang", "code", "word"), ["lang", "code"])
     spelt = spelt.groupBy("lang", "codes").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
