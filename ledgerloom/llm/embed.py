@@ -15,8 +15,10 @@ from ledgerloom.llm._blocks import bucket_blocks, settle, stars
 from ledgerloom.llm._common import map_runs, saved
 
 THRESHOLD = 0.95
-#: Vectors the rotations are learned from, at most; every vector is indexed.
-SAMPLE = 20_000
+#: Vectors, and numbers in them, that the rotations are learned from, at most; every vector is indexed.
+SAMPLE, SAMPLE_NUMBERS = 20_000, 2_000_000
+#: Vectors of a length that are all compared with each other, in blocks, instead of by codes.
+FEW = 2_048
 #: Chance that a pair right at the threshold meets in a table, and that its codes differ in no more than ``radius`` bits.
 TARGET, WITHIN = 0.99, 0.9995
 ROUNDS = 30
@@ -28,20 +30,60 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def learn_rotations(x: np.ndarray, count: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """``count`` rotations (d x d) whose signs lose little of ``x``, and medians that balance every bit."""
+def _partners(x: np.ndarray, threshold: float, rng: np.random.Generator) -> np.ndarray:
+    """For each row of unit length another one whose cosine with it is the threshold."""
+    away = rng.normal(size=x.shape)
+    away -= np.einsum("ij,ij->i", away, x)[:, None] * x
+    return threshold * x + math.sqrt(1 - threshold**2) * away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+
+
+def thinned(x: np.ndarray, cosine: float = 0.8, block: int = 1_000) -> np.ndarray:
+    """Rows that stand for all: of rows nearer to each other than ``cosine`` the first, so that copies don't outweigh others."""
+    kept = x[:0]
+    for a in range(0, len(x), block):
+        part = x[a : a + block]
+        part = part[(part @ kept.T < cosine).all(axis=1)] if len(kept) else part
+        near = np.triu(part @ part.T >= cosine, 1)
+        own = np.ones(len(part), bool)
+        for k in np.flatnonzero(near.any(axis=1)):
+            if own[k]:
+                own[near[k]] = False
+        kept = np.concatenate([kept, part[own]])
+    return kept
+
+
+def learn_rotations(x: np.ndarray, count: int, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """``count`` rotations (d x d) whose signs lose little of ``x`` (rows of unit length), and where every bit is cut.
+
+    Rotations and cuts are learned from rows that stand for all, so a large group of near copies counts once. A cut at
+    the median balances a bit, but where it runs through a group it parts its members: so each row is given a partner at
+    the threshold, and the medians are taken only if no row's bits differ from its partner's in clearly more places than
+    the angle allows, and all rows' on the whole in no more than a tenth more; else half of them, else 0, where the angle alone decides. A rotation that fails even so is
+    replaced by a random one, of which that is known for any pair.
+    """
     d = x.shape[1]
     rng = np.random.default_rng(5)
-    turns, medians = [], []
+    few = thinned(x)
+    y = _partners(x, threshold, rng)
+    flips = math.acos(threshold) / math.pi
+    most = d * flips + 5 * math.sqrt(d * flips) + 1
+    turns, cuts = [], []
     for _ in range(count):
-        r, _ = np.linalg.qr(rng.normal(size=(d, d)))
+        start, _ = np.linalg.qr(rng.normal(size=(d, d)))
+        r = start
         for _ in range(rounds):
-            bits = np.where(x @ r >= 0, 1.0, -1.0)
-            u, _, v = np.linalg.svd(x.T @ bits)
+            bits = np.where(few @ r >= 0, 1.0, -1.0)
+            u, _, v = np.linalg.svd(few.T @ bits)
             r = u @ v
-        turns.append(r)
-        medians.append(np.median(x @ r, axis=0))
-    return np.concatenate(turns, axis=1), np.concatenate(medians)
+        median = np.median(few @ r, axis=0) if len(few) > 8 else np.zeros(d)
+        for share, turn in ((1.0, r), (0.5, r), (0.0, r), (0.0, start)):
+            cut = share * median
+            parted = ((x @ turn > cut) != (y @ turn > cut)).sum(axis=1)
+            if not len(x) or (parted <= most).all() and parted.mean() <= 1.1 * flips * d:
+                break
+        turns.append(turn)
+        cuts.append(cut)
+    return np.concatenate(turns, axis=1), np.concatenate(cuts)
 
 
 def _chance(bits: int, flips: float, most: int) -> float:
@@ -55,7 +97,7 @@ def plan_tables(n: int, d: int, threshold: float = THRESHOLD, target: float = TA
     Two vectors meet in a table if their stretches differ in one bit at most, and half of those that differ in two.
     """
     width = min(d, 62, max(8, math.ceil(math.log2(max(2, n))) + 5))
-    flips = math.acos(threshold) / math.pi
+    flips = 1.1 * math.acos(threshold) / math.pi
     meet = (_chance(width, flips, 1) + _chance(width, flips, 2)) / 2
     return width, max(1, math.ceil(math.log(1 - target) / math.log(1 - min(meet, 1 - 1e-9))))
 
@@ -83,7 +125,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     to calls where such a pair is. Equal vectors are compared once and counted as often as they come.
 
     Vectors that are null, empty or zero or hold null or non-finite components link with nothing. Vectors of
-    different lengths never link; each length has tables of its own. Rows with null vec_id link with nothing;
+    different lengths never link; each length has tables of its own, and one of at most FEW vectors has all of them
+    compared, in blocks. Rows with null vec_id link with nothing;
     repeated rows count as copies. An empty table gives no rows; further columns are ignored.
     """
     spark = vectors.sparkSession
@@ -92,35 +135,45 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = rows.withColumn("cls", F.when(F.col("x").isNotNull(), F.sha2(F.concat_ws(",", F.col("x").cast("array<string>")), 256)))
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("x").alias("x"))
     classes = saved(classes.withColumn("id", F.monotonically_increasing_id()))
-    n = classes.count()
-    part = classes.filter(F.pmod(F.xxhash64("class_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 0.95 * SAMPLE / max(1, n)))).select("x").limit(SAMPLE).toPandas()["x"]
+    sizes = {r.d: r.n for r in classes.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).collect()}
+    large = {d: n for d, n in sizes.items() if n > FEW}
+    numbers = sum(d * n for d, n in large.items())
+    share = min(1.0, 0.95 * SAMPLE / max(1, sum(large.values())), 0.95 * SAMPLE_NUMBERS / max(1, numbers))
+    some = classes.filter(F.size("x").isin(*large) & (F.pmod(F.xxhash64("class_id"), F.lit(1 << 20)) < int((1 << 20) * share)))
     by_length: dict[int, list] = {}
-    for x in part:
+    for x in some.select("x").limit(SAMPLE).toPandas()["x"] if large else ():
         by_length.setdefault(len(x), []).append(x)
 
     def plan(d: int) -> tuple[int, int, int]:
         """Bits and number of the stretches of vectors of length d, and stretches of one rotation."""
-        width, tables = plan_tables(n, d, threshold)
+        width, tables = plan_tables(large[d], d, threshold)
         return width, tables, max(1, d // width)
 
-    learned = {d: learn_rotations(unit(np.stack(x)), math.ceil(plan(d)[1] / plan(d)[2])) for d, x in by_length.items()}
+    learned = {d: learn_rotations(unit(np.stack(x)), math.ceil(plan(d)[1] / plan(d)[2]), threshold=threshold) for d, x in by_length.items()}
     shared = spark.sparkContext.broadcast(learned)  # for each length of the sample d x d numbers a rotation
 
+    def batch_of(batch: pa.RecordBatch, at: np.ndarray, d: int, own: np.ndarray, codes: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.full(len(at), d, np.int32)), pa.array(list(own), pa.list_(pa.int64())), pa.array([k.tobytes() for k in own], pa.binary()), pa.array(codes, pa.binary())], ["id", "d", "keys", "stretch", "code"])
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             lengths = np.diff(batch.column(1).offsets.to_numpy())
             for d in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == d)
+                if d not in large:  # one bucket; codes of no bits never differ
+                    own, codes = np.zeros((len(at), 1), np.int64), [b""] * len(at)
+                    yield batch_of(batch, at, d, own, codes)
+                    continue
                 x = np.stack([v.values.to_numpy() for v in batch.column(1).take(pa.array(at))])
                 width, tables, each = plan(d)
                 if d not in known:  # a length that the sample did not hold: rotations that were not learned
-                    known[d] = learn_rotations(np.eye(d)[:1], math.ceil(tables / each), 0)
+                    known[d] = learn_rotations(np.zeros((0, d)), math.ceil(tables / each), 0)
                 turn, median = known[d]
                 bits = unit(x) @ turn > median
                 own = bits.reshape(len(at), -1, d)[:, :, : each * width].reshape(len(at), -1, width)[:, :tables] @ (1 << np.arange(width, dtype=np.int64))
                 codes = [c.tobytes() for c in np.packbits(bits, axis=1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.full(len(at), d, np.int32)), pa.array(list(own), pa.list_(pa.int64())), pa.array([k.tobytes() for k in own], pa.binary()), pa.array(codes, pa.binary())], ["id", "d", "keys", "stretch", "code"])
+                yield batch_of(batch, at, d, own, codes)
 
     coded = saved(classes.select("id", "x").mapInArrow(encode, "id long, d int, keys array<long>, stretch binary, code binary"))
     codes = coded.drop("keys")
