@@ -16,8 +16,9 @@ from ledgerloom.llm._common import saved
 
 #: A subtree is part of the site's template if it recurs in so many different articles of a host and in this share of them,
 LEAST_PAGES, LEAST_SHARE = 5, 0.5
-#: or, whatever the share, in so many different articles and with so many words (a table cell recurs by chance).
-MANY_PAGES, LEAST_WORDS = 20, 5
+#: or, whatever the share, in so many different articles, with so many words (a table cell recurs by chance), and with this
+#: share of all articles of any host that hold it (else it is a passage that pages of many hosts share).
+MANY_PAGES, LEAST_WORDS, OWN_SHARE = 20, 5, 0.5
 #: Most template subtrees (of all hosts) that are sent to every task; beyond it they are handed out by a join.
 BROADCAST_TREES = 1_000_000
 
@@ -75,6 +76,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node("#", False, False)
         self.stack = [self.root]
+        self.open: dict[str, list[int]] = {}  # places of the open elements of each name
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _ENDS_P:
@@ -88,6 +90,7 @@ class _Tree(HTMLParser):
         top = self.stack[-1]
         node = _Node(tag, top.named or _is_named(tag, attrs), tag in ("article", "main") or any(n == "role" and v == "main" for n, v in attrs))
         top.parts.append(node)
+        self.open.setdefault(tag, []).append(len(self.stack))
         self.stack.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -99,12 +102,12 @@ class _Tree(HTMLParser):
         self._close(tag, frozenset() if tag in _SCOPES else _SCOPES)
 
     def _close(self, tag: str, stop: frozenset) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                del self.stack[k:]
-                return
-            if self.stack[k].tag in stop:
-                return
+        """Closes the last open element of a name with all in it, unless one of ``stop`` was opened after it."""
+        last = lambda name: (self.open.get(name) or (0,))[-1]
+        at = last(tag)
+        if at and at >= max(map(last, stop), default=0):
+            while len(self.stack) > at:
+                self.open[self.stack.pop().tag].pop()
 
     def handle_data(self, data: str) -> None:
         self.stack[-1].parts.append(data)
@@ -125,8 +128,10 @@ class _Tree(HTMLParser):
 
 
 def _parse(html: str | None) -> _Node:
-    tree = _Tree()
-    tree.feed(re.sub(r"<[/A-Za-z][^<>]*\Z", "", html or ""))  # a tag without an end is none
+    html, tree = html or "", _Tree()
+    last = html.rfind(">") + 1
+    unfinished = re.compile(r"<[/A-Za-z]").search(html, last)  # a tag without an end is none, and takes the rest
+    tree.feed(html[: unfinished.start()] if unfinished else html)
     tree.close()
     return tree.root
 
@@ -222,14 +227,16 @@ def main_texts(pages: DataFrame) -> DataFrame:
     Every block element of a page is hashed with all it holds, whether or not its name, role or class says that it
     is navigation, header, footer, sidebar, form, script, advert, notice or comment; hashes are counted per host, once
     for each different article (body where a page has none), so copies of an article count once. Subtrees in at
-    least 5 and half of a host's articles go, and those of 5 words or more in at least 20 of them. Elements that are
+    least 5 and half of a host's articles go, and those of 5 words or more in at least 20 of them, unless most of the
+    articles that hold such a subtree are other hosts': then it is a passage that sites share. Elements that are
     no main text by name go as well, since many differ from page to page and hosts may have few pages. What is left
     in the article (in the body where a page has none) is the text. n_template counts the page's recurring subtrees.
 
     Null, empty or textless html gives an empty text; pages without a url share the empty host; a null page_id
     stays null; repeated rows get their text each; an empty table gives no rows; further columns are ignored.
     Nothing is cut short, pages may nest deeply, and broken markup is read as browsers do: comments without an end
-    take the rest, odd declarations end at the next bracket. Articles that differ in anything count as different.
+    take the rest, odd declarations end at the next bracket, tags without an end are dropped with the rest. Work is in
+    proportion to the page, however broken it is. Articles that differ in anything count as different.
     """
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     spark = pages.sparkSession
@@ -245,7 +252,12 @@ def main_texts(pages: DataFrame) -> DataFrame:
     articles = parsed.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("articles"))
     seen = parsed.select("host", "article", F.explode(F.array_distinct(F.concat("trees", "others"))).alias("tree"))
     counts = seen.groupBy("host", "tree").agg(F.count_distinct("article").alias("n")).filter(f"n >= {LEAST_PAGES}")
-    gone = saved(counts.join(articles, "host").filter(f"n >= {LEAST_SHARE} * articles or n >= {MANY_PAGES} and tree & 1 = 1").select("host", "tree"))
+    often = saved(counts.join(articles, "host").withColumn("sure", F.expr(f"n >= {LEAST_SHARE} * articles")).filter(f"sure or n >= {MANY_PAGES} and tree & 1 = 1"))
+    doubtful = often.filter("not sure")
+    gone = often.filter("sure").select("host", "tree")
+    if not doubtful.isEmpty():  # a passage that stands on pages of many hosts is none of this one's template
+        everywhere = seen.join(doubtful.select("tree").distinct(), "tree", "left_semi").groupBy("host", "tree").agg(F.count_distinct("article").alias("n")).groupBy("tree").agg(F.sum("n").alias("total"))
+        gone = saved(gone.union(doubtful.join(everywhere, "tree").filter(f"n >= {OWN_SHARE} * total").select("host", "tree")))
     result = "page_id long, url string, text string, n_chars long, n_template long"
 
     def rows(batch: pa.RecordBatch, raws: list[str], gone: list[set[int]]) -> pa.RecordBatch:
