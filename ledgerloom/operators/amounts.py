@@ -124,7 +124,8 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _computed(df: DataFrame) -> DataFrame:
-    """The same rows; what comes before is computed once, and not again inside each expression that refers to it."""
+    """The same rows; what comes before is computed once: filters on the result, written or inferred, stay above it, and no
+    later expression takes those before it in."""
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
@@ -150,39 +151,55 @@ def point_moved(value: Column, target: Column, tolerance: float = TOLERANCE) ->
     return F.coalesce(moved & (F.abs(value - target) > tolerance), F.lit(False))
 
 
-def _labels(members: Column, labels: list[str]) -> Column:
-    return F.array_join(F.transform(members, lambda i: F.element_at(F.array(*map(F.lit, labels)), i + 1)), " & ")
-
-
 def _change(field: str, value: Column, previous: Column, kind: str, source: Column, count: Column) -> Column:
     return F.struct(F.lit(field).alias("field"), value.alias("value"), previous.alias("previous_value"), F.lit(kind).alias("kind"), source.alias("source"), count.cast("int").alias("support_count"))
 
 
+def agree(df: DataFrame, name: str, supports: list[tuple[str, Column]], tolerance: float = TOLERANCE) -> DataFrame:
+    """Columns ``name``_value, ``name``_count and ``name``_source: as ``consensus``, for values that each have a label, by
+    comparing them two by two in plain expressions. Null where no two agree."""
+    values = [f"{name}_s{i}" for i in range(len(supports))]
+    sizes = [f"{name}_n{i}" for i in range(len(supports))]
+    near = lambda i, j: F.abs(F.col(values[i]) - F.col(values[j])) <= tolerance
+    every = range(len(supports))
+    df = df.withColumns({v: x for v, (_, x) in zip(values, supports)})
+    df = df.withColumns({sizes[i]: sum((F.when(near(i, j), 1).otherwise(0) for j in every), F.lit(0)) for i in every})
+    most = F.greatest(*sizes) if len(sizes) > 1 else F.col(sizes[0])
+    total = lambda i: sum((F.when(near(i, j), F.col(values[j])).otherwise(0.0) for j in every), F.lit(0.0))
+    source = lambda i: F.concat_ws(" & ", *(F.when(near(i, j), label) for j, (label, _) in enumerate(supports)))
+    first = lambda what: F.coalesce(*(F.when((most >= 2) & (F.col(sizes[i]) == most), what(i)) for i in every))
+    df = df.withColumns({f"{name}_value": first(lambda i: _round2(total(i) / F.col(sizes[i]))), f"{name}_count": F.when(most >= 2, most), f"{name}_source": first(source)})
+    return df.drop(*values, *sizes)
+
+
 def recover(items: DataFrame, doc_type: str) -> DataFrame:
-    """Items of a type with corrected and filled amounts and ``changes``, a record of each in the order they were made."""
-    changes: list[Column] = []
-    out = items
+    """Items of a type with corrected and filled amounts and ``changes``, a record of each in the order they were made.
+
+    Every rule is a plain expression over columns of the row, so the whole of it is compiled as one.
+    """
+    changes: list[str] = []
+    out, touched = items, {}
     for n, stage in enumerate(CORRECTIONS[doc_type]):
-        found = {f"_c{n}_{f}": consensus([F.expr(s) for _, s in supports]) for f, supports in stage.items()}
-        out = _computed(out.withColumns(found))
-        new = {}
         for field, supports in stage.items():
-            agreed, old = F.col(f"_c{n}_{field}"), F.col(field)
-            moved = point_moved(old, agreed["value"])
-            changes.append((f"_r{n}_{field}", F.when(moved, _change(field, agreed["value"], _round2(old), "corrected", _labels(agreed["members"], [x for x, _ in supports]), agreed["support_count"]))))
-            new[field] = F.when(moved, agreed["value"]).otherwise(old)
-        out = _computed(out.withColumns(dict(changes[-len(stage) :]) | new).drop(*found))
+            out = agree(out, f"_c{n}_{field}", [(label, F.expr(s)) for label, s in supports])
+        new = {}
+        for field in stage:
+            value, old = F.col(f"_c{n}_{field}_value"), F.col(field)
+            moved = point_moved(old, value)
+            name = f"_r{n}_{field}"
+            new |= {name: F.when(moved, _change(field, value, _round2(old), "corrected", F.col(f"_c{n}_{field}_source"), F.col(f"_c{n}_{field}_count"))), field: F.when(moved, value).otherwise(old)}
+            changes.append(name)
+            touched.setdefault(field, []).append(name)
+        out = out.withColumns(new).drop(*(f"_c{n}_{f}_{x}" for f in stage for x in ("value", "count", "source")))
     for n, (field, label, sql) in enumerate(FILLS[doc_type]):
-        name = f"_f{n}_{field}"
-        filled = F.expr(sql)
-        changes.append((name, F.when(F.col(field).isNull() & filled.isNotNull(), _change(field, _round2(filled), F.lit(None).cast("double"), "derived", F.lit(label), F.lit(None)))))
-        out = out.withColumns({name: changes[-1][1], field: F.coalesce(F.col(field), filled)})
-        if n % 2:
-            out = _computed(out)
-    names = [n for n, _ in changes]
-    touched = {f: F.coalesce(*(F.when(F.col(n).isNotNull(), _round2(F.col(f))) for n in names if n.split("_", 2)[2] == f), F.col(f)) for f in FIELDS[doc_type] if any(n.split("_", 2)[2] == f for n in names)}
-    out = out.withColumn("changes", F.filter(F.array(*map(F.col, names)), lambda x: x.isNotNull()).cast(f"array<{_CHANGE}>"))
-    return out.withColumns(touched).drop(*names)
+        name, filled = f"_f{n}_{field}", F.expr(sql)
+        out = out.withColumns({name: F.when(F.col(field).isNull() & filled.isNotNull(), _change(field, _round2(filled), F.lit(None).cast("double"), "derived", F.lit(label), F.lit(None))), field: F.coalesce(F.col(field), filled)})
+        changes.append(name)
+        touched.setdefault(field, []).append(name)
+    known = lambda names: F.coalesce(*names).isNotNull()
+    rounded = {f: F.when(known(names), _round2(F.col(f))).otherwise(F.col(f)) for f, names in touched.items()}
+    out = out.withColumns({"changes": F.array_compact(F.array(*changes)).cast(f"array<{_CHANGE}>")} | rounded)
+    return _computed(out.drop(*changes))
 
 
 def recover_totals(documents: DataFrame, sums: DataFrame, doc_type: str, key: str, words: dict[str, Column] | None = None) -> DataFrame:
@@ -199,8 +216,7 @@ def recover_totals(documents: DataFrame, sums: DataFrame, doc_type: str, key: st
     words = words or {}
     for n, (field, (item, _)) in enumerate(TOTALS[doc_type].items()):
         total, derived, label = F.col(field), F.col(f"sum_{field}"), F.lit(f"sum(items.{item})")
-        step = {f"_s{n}": F.when(total.isNull() & (derived >= 0), _change(field, derived, F.lit(None).cast("double"), "derived", label, F.lit(None))), f"_w{n}": F.when(apart(total, derived), warn(field, total, derived, label)), field: F.coalesce(total, F.when(derived >= 0, derived))}
-        out = out.withColumns(step)
+        out = out.withColumns({f"_s{n}": F.when(total.isNull() & (derived >= 0), _change(field, derived, F.lit(None).cast("double"), "derived", label, F.lit(None))), f"_w{n}": F.when(apart(total, derived), warn(field, total, derived, label)), field: F.coalesce(total, F.when(derived >= 0, derived))})
         changes.append(f"_s{n}")
         warnings.append(f"_w{n}")
     for n, (stated, field) in enumerate(WORDS[doc_type].items()):
@@ -214,14 +230,15 @@ def recover_totals(documents: DataFrame, sums: DataFrame, doc_type: str, key: st
         supports = [(f"sum(items.{item})", F.col(f"sum_{field}")), *((f"parsed({s})", words[field]) for s, f in WORDS[doc_type].items() if f == field and field in words), *((x, F.expr(s)) for x, s in more)]
         if len(supports) < 2:
             continue
-        out = _computed(out.withColumn("_agreed", consensus([v for _, v in supports])))
-        total, agreed = F.col(field), F.col("_agreed")
-        source = _labels(agreed["members"], [x for x, _ in supports])
-        moved = point_moved(total, agreed["value"])
-        out = out.withColumns({f"_k{n}": F.when(moved, _change(field, agreed["value"], _round2(total), "corrected", source, agreed["support_count"])), f"_x{n}": F.when(apart(total, agreed["value"]) & ~moved, warn(field, total, agreed["value"], source)), field: F.when(moved, agreed["value"]).otherwise(total)})
+        out = agree(out, f"_a{n}", supports)
+        total, value, source = F.col(field), F.col(f"_a{n}_value"), F.col(f"_a{n}_source")
+        moved = point_moved(total, value)
+        out = out.withColumns({f"_k{n}": F.when(moved, _change(field, value, _round2(total), "corrected", source, F.col(f"_a{n}_count"))), f"_x{n}": F.when(apart(total, value) & ~moved, warn(field, total, value, source)), field: F.when(moved, value).otherwise(total)})
+        out = out.drop(*(f"_a{n}_{x}" for x in ("value", "count", "source")))
         changes.append(f"_k{n}")
         warnings.append(f"_x{n}")
-    return out.withColumns({"changes": F.filter(F.array(*changes), lambda x: x.isNotNull()), "warnings": F.filter(F.array(*warnings), lambda x: x.isNotNull())}).drop("_agreed", *changes, *warnings, *(f"sum_{f}" for f in TOTALS[doc_type]))
+    out = out.withColumns({"changes": F.array_compact(F.array(*changes)), "warnings": F.array_compact(F.array(*warnings))}).drop(*changes, *warnings, *(f"sum_{f}" for f in TOTALS[doc_type]))
+    return _computed(out)
 
 
 def item_sums(items: DataFrame, doc_type: str, key: str) -> DataFrame:
