@@ -161,10 +161,15 @@ def test_licences(spark):
     # not among the templates: wrapped, in comments, in other words, and talk of licences that holds none
     lines += [(mit, "mit"), (gpl, "gpl"), ("The text of the pages is available under CC BY-SA 4.0 now.", "cc-by-sa"), ("You may use it, Distributed under the GNU GPL v3 or later.", "gpl")]
     lines += [(t, "") for t in ("The museum holds all rights to the copyright of the film.", "The fishing license costs five pounds in the north.", "Apache tribes lived in the west of the country.", "Permission to enter was granted by the guard.", "Copies of the licence hang in the office of the bar.", "word " * 30_000)]
+    lines += [(t, "") for t in ("The book is distributed under the MIT press imprint.", "The license of MIT students was released under the old rule.", "Works by Apache authors are licensed to the museum.", "The public received a copy of the general plan.", "Permission is granted to visit the source of the river.", "He is a GNU herder and sells BSD shoes.", "CC the mail to Anna by 4 pm.")]
+    lines += [("Licensed under the MIT license, terms apply.", "mit"), ("This file is distributed under the Apache License 2.0 as well.", "apache-2.0")]
     lines += [lines[0], lines[0]]
     df = spark.createDataFrame([(i, f"first line.\n{t}.\nlast" if t else t, 1) for i, (t, _) in enumerate(lines)], "doc_id long, text string, licences int")
     model = license_scan.train(spark, spark.read.parquet(f"{SF}/documents.parquet"))
-    assert 0.5 < model.threshold <= 0.95
+    assert 0.5 <= model.threshold <= 0.95 and model.recall > 0.7
+    assert not {"and", "you", "under", "copy", "source", "person", "the"} & set(model.signs)
+    texts = [p for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for p in (r.text or "").split("\n")]
+    assert sum(bool(re.search(model.cue().replace("(?<![\\p{L}\\p{N}])", r"(?<!\w)").replace("(?![\\p{L}\\p{N}])", r"(?!\w)"), p)) for p in texts) < 0.08 * len(texts)
     for r in license_scan.scan(df, model).collect():
         assert ",".join(x.family for x in r.licences if x.confirmed) == lines[r.doc_id][1], lines[r.doc_id]
     assert license_scan.scan(df.limit(0), model).count() == 0
