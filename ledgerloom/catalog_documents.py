@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog import LINE, ORACLE_SQL, QUERIES, query
-from ledgerloom.operators import amounts
+from ledgerloom.operators import amounts, runs
 from ledgerloom.sources.tables import table
 
 _LINE = ", ".join(LINE)
@@ -198,5 +198,4 @@ def consensus_cluster(spark, root):
 @query("WITH n AS (SELECT l_orderkey, l_tax, count(*) AS k FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 2) SELECT l_orderkey, l_tax, k AS votes FROM n QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY k DESC, l_tax) = 1")
 def vat_rate_mode_supported(spark, root):
     """The most frequent rate of a document that at least two items bear."""
-    counts = table(spark, root, "lineitem").groupBy("l_orderkey", "l_tax").count().filter("count >= 2")
-    return counts.groupBy("l_orderkey").agg(F.max_by("l_tax", F.struct(c("count"), -c("l_tax"))).alias("l_tax"), F.max("count").alias("votes"))
+    return runs.supported_mode(table(spark, root, "lineitem"), "l_orderkey", "l_tax")

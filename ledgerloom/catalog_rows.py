@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.catalog import LINE, query
 from ledgerloom.functions import money_words, scalars, text
-from ledgerloom.operators import boxes, nested, quality, rows, segments
+from ledgerloom.operators import boxes, nested, quality, rows, runs, segments
 from ledgerloom.sources.tables import file_kind, table
 from ledgerloom.streaming import jobs
 
@@ -168,46 +168,41 @@ def probe_next(spark, root):
 
 @query("SELECT doc_id, nullif(list_extract(regexp_extract_all(coalesce(text, ''), '[0-9]+'), -1), '') AS last_number, len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS numbers FROM documents")
 def last_match(spark, root):
-    found = F.regexp_extract_all(F.coalesce("text", lit("")), lit("([0-9]+)"), lit(1))
-    return table(spark, root, "documents").select("doc_id", F.nullif(F.try_element_at(found, lit(-1)), lit("")).alias("last_number"), F.size(found).alias("numbers"))
+    last, numbers = runs.last_match(c("text"), "([0-9]+)")
+    return table(spark, root, "documents").select("doc_id", last.alias("last_number"), numbers.alias("numbers"))
 
 
 @query(f"WITH {_LINES}, k AS (SELECT conv_id, lower(trim(line)) AS key, min(line_no) AS line_no FROM lines GROUP BY 1, 2) SELECT conv_id, line_no, key FROM k WHERE key <> ''")
 def distinct_lines(spark, root):
-    lines = _lines(spark, root).withColumn("key", F.lower(F.trim("line"))).filter("key <> ''")
-    return lines.groupBy("conv_id", "key").agg(F.min("line_no").alias("line_no"))
+    return runs.first_lines(_lines(spark, root), "conv_id", "line_no", "line").select("conv_id", c("first").alias("line_no"), c("key_text").alias("key"))
 
 
 @query("WITH s AS (SELECT user_id, list_distinct(list(event_type)) AS done FROM events GROUP BY 1) SELECT user_id, len(list_filter(['view', 'click', 'purchase'], lambda x: NOT list_contains(done, x))) AS open_stages, len(list_filter(['view', 'click'], lambda x: NOT list_contains(done, x))) = 0 AS ready FROM s")
 def stage_sets(spark, root):
     done = table(spark, root, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("done"))
-    left = lambda *names: F.size(F.array_except(F.array(*map(lit, names)), "done"))
-    return done.select("user_id", left("view", "click", "purchase").alias("open_stages"), (left("view", "click") == 0).alias("ready"))
+    return done.withColumns(runs.stages_left(c("done"), ["view", "click", "purchase"], ["view", "click"])).drop("done")
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 250")
 def documents_recent(spark, root):
-    return table(spark, root, "orders").filter("o_orderstatus = 'F'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(250).select("o_orderkey", "o_orderstatus", "o_orderdate")
+    return runs.recent_documents(table(spark, root, "orders"), c("o_orderstatus") == "F", "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderstatus", "o_orderdate")
 
 
 @query("SELECT c_custkey FROM customer WHERE contains(lower(concat_ws(' ', c_name, c_mktsegment)), 'auto') AND c_nationkey % 2 = 0 AND c_acctbal < 0")
 def client_filter(spark, root):
-    found = F.lower(F.concat_ws(" ", "c_name", "c_mktsegment")).contains("auto")
-    return table(spark, root, "customer").filter(found & (c("c_nationkey") % 2 == 0) & (c("c_acctbal") < 0)).select("c_custkey")
+    return runs.matching(table(spark, root, "customer"), "auto", ["c_name", "c_mktsegment"], c("c_nationkey") % 2 == 0, c("c_acctbal") < 0).select("c_custkey")
 
 
 @query("""WITH s AS (SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS completed, count(*) FILTER (WHERE o_orderstatus = 'P') AS processing, count(*) FILTER (WHERE o_totalprice < 1000) AS failed FROM orders)
  SELECT *, CASE WHEN total > 0 THEN floor(completed * 1000.0 / total + 0.5) / 10 ELSE 0 END AS success_rate, CASE WHEN completed + failed > 0 THEN floor(completed * 1000.0 / (completed + failed) + 0.5) / 10 ELSE 100.0 END AS finished_rate FROM s""")
 def run_rates(spark, root):
     """Both rates of success: of all documents, and of those that ended (100 while none has)."""
-    s = table(spark, root, "orders").agg(F.count("*").alias("total"), F.count_if(c("o_orderstatus") == "F").alias("completed"), F.count_if(c("o_orderstatus") == "P").alias("processing"), F.count_if(c("o_totalprice") < 1000).alias("failed"))
-    share = lambda n, of, none: F.when(of > 0, F.floor(n * 1000.0 / of + 0.5) / 10).otherwise(none)
-    return s.select("*", share(c("completed"), c("total"), 0.0).alias("success_rate"), share(c("completed"), c("completed") + c("failed"), 100.0).alias("finished_rate"))
+    return runs.rates(table(spark, root, "orders"), c("o_orderstatus") == "F", c("o_orderstatus") == "P", c("o_totalprice") < 1000)
 
 
 @query("SELECT count(*) AS documents, count(*) FILTER (WHERE o_orderstatus = 'F') AS ready, count(*) FILTER (WHERE o_orderstatus <> 'F') AS attention, floor(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) * 100 + 0.5) / 100 AS ready_amount FROM orders")
 def export_summary(spark, root):
-    return table(spark, root, "orders").agg(F.count("*").alias("documents"), F.count_if(c("o_orderstatus") == "F").alias("ready"), F.count_if(c("o_orderstatus") != "F").alias("attention"), scalars.two_places(F.sum(F.when(c("o_orderstatus") == "F", c("o_totalprice")))).alias("ready_amount"))
+    return runs.export_sums(table(spark, root, "orders"), c("o_orderstatus") == "F", c("o_totalprice"))
 
 
 _PRESENT = "CAST(l_quantity > 25 AS INT) + CAST(l_discount > 0.05 AS INT) + CAST(l_tax > 0.04 AS INT) + CAST(l_returnflag = 'R' AS INT)"
@@ -216,18 +211,14 @@ _PRESENT = "CAST(l_quantity > 25 AS INT) + CAST(l_discount > 0.05 AS INT) + CAST
 @query(f"SELECT l_orderkey, {_PRESENT} AS fields, l_linenumber AS page_no FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {_PRESENT} DESC, l_linenumber) = 1")
 def best_page(spark, root):
     """The page of a document with most fields present, the first of equal ones."""
-    pages = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_PRESENT).alias("fields"))
-    best = F.max(F.struct(c("fields"), -c("l_linenumber")))
-    return pages.groupBy("l_orderkey").agg(best.alias("b")).select("l_orderkey", c("b.fields").alias("fields"), (-c("b.col2")).alias("page_no"))
+    present = [c("l_quantity") > 25, c("l_discount") > 0.05, c("l_tax") > 0.04, c("l_returnflag") == "R"]
+    return runs.fullest_page(table(spark, root, "lineitem"), "l_orderkey", "l_linenumber", present)
 
 
 @query("""WITH d AS (SELECT l_orderkey, count(*) AS fields, count(*) FILTER (WHERE l_tax = 0) AS review FROM lineitem GROUP BY 1) SELECT count(*) AS documents, count(*) FILTER (WHERE review = 0) AS clean_documents, floor(count(*) FILTER (WHERE review = 0) * 10000.0 / greatest(count(*), 1) + 0.5) / 100 AS clean_documents_pct,
  floor(sum(fields - review) * 10000.0 / greatest(sum(fields), 1) + 0.5) / 100 AS clean_fields_pct FROM d""")
 def review_free_shares(spark, root):
-    d = table(spark, root, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("fields"), F.count_if(c("l_tax") == 0).alias("review"))
-    pct = lambda n, of: F.floor(n * 10000.0 / F.greatest(of, lit(1)) + 0.5) / 100
-    clean = F.count_if(c("review") == 0)
-    return d.agg(F.count("*").alias("documents"), clean.alias("clean_documents"), pct(clean, F.count("*")).alias("clean_documents_pct"), pct(F.sum(c("fields") - c("review")), F.sum("fields")).alias("clean_fields_pct"))
+    return runs.review_free(table(spark, root, "lineitem"), "l_orderkey", c("l_tax") == 0)
 
 
 _NUMBER = "CASE l_partkey % 5 WHEN 0 THEN CAST(l_partkey AS STRING) WHEN 1 THEN '00' || CAST(l_orderkey AS STRING) || '-' || CAST(l_suppkey AS STRING) WHEN 2 THEN 'N 0000' || CAST(l_suppkey AS STRING) WHEN 3 THEN CAST(l_orderkey * 100 + l_partkey AS STRING) ELSE '' END"
@@ -304,27 +295,26 @@ def missing_values(spark, root):
 @query("WITH n AS (SELECT event_id, user_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 200) SELECT event_id, user_id, row_number() OVER (ORDER BY ts, event_id) AS place FROM n")
 def recent_events(spark, root):
     """The newest 200 events, the oldest of them first."""
-    newest = table(spark, root, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(200)
-    return newest.select("event_id", "user_id", F.row_number().over(Window.orderBy("ts", "event_id")).alias("place"))
+    return runs.recent_events(table(spark, root, "events"), "ts", "event_id").select("event_id", "user_id", "place")
 
 
 @query("""WITH e AS (SELECT DISTINCT user_id FROM events) SELECT c_custkey AS file_id, CASE WHEN c_acctbal < 0 THEN 'failed' ELSE 'completed' END AS event FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM e)""")
 def events_from_cards(spark, root):
     """One event made from the card of each document that has none."""
-    cards, events = table(spark, root, "customer"), table(spark, root, "events").select(c("user_id").alias("c_custkey")).distinct()
-    return cards.join(events, "c_custkey", "left_anti").select(c("c_custkey").alias("file_id"), F.when(c("c_acctbal") < 0, "failed").otherwise("completed").alias("event"))
+    cards, events = table(spark, root, "customer").withColumnRenamed("c_custkey", "file_id"), table(spark, root, "events").withColumnRenamed("user_id", "file_id")
+    return runs.events_of_cards(cards, events, "file_id", c("c_acctbal") < 0)
 
 
 @query("""SELECT l_orderkey, count(DISTINCT l_linenumber) AS pages, count(DISTINCT l_returnflag) AS segments, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS outputs, min(l_linenumber) AS first_page, max(l_linenumber) AS last_page FROM lineitem GROUP BY 1""")
 def document_manifest(spark, root):
     """Pages, segments and outputs of each document, as a run's summary lists them."""
-    return table(spark, root, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_linenumber").alias("pages"), F.count_distinct("l_returnflag").alias("segments"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("outputs"), F.min("l_linenumber").alias("first_page"), F.max("l_linenumber").alias("last_page"))
+    return runs.manifest(table(spark, root, "lineitem"), "l_orderkey", "l_linenumber", "l_returnflag")
 
 
 @query("SELECT c_custkey, CAST(c_acctbal < 0 AS INT) + CAST(c_nationkey % 2 = 0 AS INT) + CAST(length(c_mktsegment) > 8 AS INT) AS review_fields, c_acctbal < 0 OR c_nationkey % 2 = 0 OR length(c_mktsegment) > 8 AS review FROM customer")
 def review_counts(spark, root):
-    marks = F.array(c("c_acctbal") < 0, c("c_nationkey") % 2 == 0, F.length("c_mktsegment") > 8)
-    return table(spark, root, "customer").select("c_custkey", F.size(F.filter(marks, lambda x: x)).alias("review_fields"), F.exists(marks, lambda x: x).alias("review"))
+    marks = {"quantity": c("c_acctbal") < 0, "price": c("c_nationkey") % 2 == 0, "cost": F.length("c_mktsegment") > 8}
+    return table(spark, root, "customer").select("c_custkey", *(v.alias(k) for k, v in runs.review_marks(marks).items()))
 
 
 _SHORT = "substr(p_name, 1, CAST(p_partkey % 30 AS INT))"
