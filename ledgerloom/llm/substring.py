@@ -21,6 +21,8 @@ WINDOW, BLOCK = 13, 7
 #: Bytes of a hash that travel. Chance hits of anchors only cost time; those of windows would remove words wrongly.
 ANCHOR_BYTES, WINDOW_BYTES = 5, 8
 _NO_DOC = np.iinfo(np.int64).max
+#: Bytes of text whose windows are dealt to a part, about; portions in which a document's words are compared with claims.
+PART_BYTES, PORTIONS = 16 << 20, 16
 _PACKET = "part int, docs binary, counts binary, pos binary, hash binary"
 
 
@@ -35,8 +37,9 @@ def _unplanes(b: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _packets(doc: np.ndarray, pos: np.ndarray, h: np.ndarray, parts: int, width: int) -> Iterator[tuple]:
-    """Windows of one batch, in order of document and position, dealt by hash into one packet a partition."""
+def _packets(doc: np.ndarray, pos: np.ndarray, h: np.ndarray, parts: int, width: int, more: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple]:
+    """Windows of one batch, in order of document and position, dealt by hash into one packet a partition; ``more``: two
+    numbers that each carries in place of its hash."""
     h = h ^ (h >> np.uint64(29))
     part = ((h >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
     order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")
@@ -46,7 +49,8 @@ def _packets(doc: np.ndarray, pos: np.ndarray, h: np.ndarray, parts: int, width:
         if len(at):
             d = doc[at]
             first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-            yield p, d[first].astype("<i8").tobytes(), np.diff(np.r_[first, len(at)]).astype("<i4").tobytes(), _planes(pos[at], 4), _planes(h[at], width)
+            rest = _planes(h[at], width) if more is None else _planes(more[0][at], 8) + _planes(more[1][at], 4)
+            yield p, d[first].astype("<i8").tobytes(), np.diff(np.r_[first, len(at)]).astype("<i4").tobytes(), _planes(pos[at], 4), rest
 
 
 def _packet_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -58,7 +62,8 @@ def _meet(packets: DataFrame, parts: int, width: int, block: int, keyed: bool) -
     """Where equal hashes meet: (doc, pos) of windows that lie in a document and, at a multiple of ``block``, in
     an earlier one; with ``block`` > 1 also those earlier blocks.
 
-    ``keyed``: docs holds pairs (row key, doc_id) and results carry the row key.
+    ``keyed``: docs holds pairs (row key, doc_id); results carry the row key and, for each window, the row key and position
+    of one with the same hash in the first of all documents: columns ref and at.
     """
 
     few = max(1, parts // 4)  # hits are far fewer than windows
@@ -86,9 +91,16 @@ def _meet(packets: DataFrame, parts: int, width: int, block: int, keyed: bool) -
             hit = doc > np.minimum.reduceat(np.where(indexed, doc, _NO_DOC), first)[run_of]
             if block > 1:
                 hit |= indexed & (doc < np.maximum.reduceat(doc, first)[run_of])
+            more = None
+            if keyed:
+                # of each run the place of its first document, and there of its first row and position
+                by_doc = np.lexsort((pos, key, doc, run_of))
+                head = by_doc[first][run_of[hit]]
+                more = key[head], pos[head]
             key, pos = key[hit], pos[hit]
             order = np.lexsort((pos, key))
-            rows = [(*row[:4], b"") for row in _packets(key[order], pos[order], mix(key[order].view(np.uint64)), few, 0)]
+            more = (more[0][order].view(np.uint64), more[1][order]) if keyed else None
+            rows = list(_packets(key[order], pos[order], mix(key[order].view(np.uint64)), few, 0, more))
             if rows:
                 yield _packet_batch(rows)
 
@@ -102,15 +114,72 @@ def _meet(packets: DataFrame, parts: int, width: int, block: int, keyed: bool) -
             key = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(n, "<i4")) for d, n, *_ in packets])
             pos = np.concatenate([_unplanes(p, 4) for *_, p, _ in packets]).astype("<i4")
             order = np.lexsort((pos, key))
-            key, pos = key[order], pos[order]
+            key = key[order]
+            columns = [pos]
+            if keyed:
+                sizes = [len(x) * 2 // 3 for *_, x in packets]  # eight bytes of a key, then four of a position
+                columns += [np.concatenate([_unplanes(x[:n], 8) for (*_, x), n in zip(packets, sizes)]).view("<i8"), np.concatenate([_unplanes(x[n:], 4) for (*_, x), n in zip(packets, sizes)]).astype("<i4")]
+            del packets
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            raw = memoryview(pos.tobytes())
             ends = np.r_[first[1:], len(key)]
+            raws = [(memoryview(x[order].tobytes()), x.itemsize) for x in columns]
             for a in range(0, len(first), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[first[a : a + 5000]]), pa.array([bytes(raw[4 * x : 4 * y]) for x, y in zip(first[a : a + 5000].tolist(), ends[a : a + 5000].tolist())], pa.binary())], ["doc", "pos"])
+                cut = list(zip(first[a : a + 5000].tolist(), ends[a : a + 5000].tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array(key[first[a : a + 5000]]), *(pa.array([bytes(raw[w * x : w * y]) for x, y in cut], pa.binary()) for raw, w in raws)], ["doc", "pos", "ref", "at"][: 1 + len(raws)])
 
     # hits travel in packets as well, so a document costs one row, not one for each partition its windows met in
-    return packets.repartition(parts, "part").mapInArrow(run, _PACKET).repartition(few, "part").mapInArrow(gather, "doc long, pos binary")
+    return packets.repartition(parts, "part").mapInArrow(run, _PACKET).repartition(few, "part").mapInArrow(gather, "doc long, pos binary" + ", ref binary, at binary" * keyed)
+
+
+def repeats(pos: np.ndarray, ref: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(start, length in words, reference, start there) of the longest repeats that windows (in order of position) make: a
+    repeat goes on while the next window stands one word later in both texts."""
+    if len(pos):
+        new = np.flatnonzero(np.r_[True, (np.diff(pos) != 1) | (np.diff(at) != 1) | (np.diff(ref) != 0)])
+        for a, b in zip(new.tolist(), np.r_[new[1:], len(pos)].tolist()):
+            yield int(pos[a]), int(pos[b - 1] - pos[a]) + WINDOW, int(ref[a]), int(at[a])
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
+
+
+def _by_words(open_rows: DataFrame, judged: DataFrame, wrong: DataFrame, width: int) -> DataFrame:
+    """The rows with the windows of wrong claims judged by their words: all windows whose hash is one of theirs are compared
+    as texts. For the few windows whose words share a hash by chance."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.uint64((1 << 8 * width) - 1)
+        for batch in batches:
+            keys, at, h = (batch.column(n).to_pylist() for n in range(3))
+            own = np.repeat(np.array(keys, np.int64), [len(a) // 4 for a in at])
+            codes = np.frombuffer(b"".join(h), "<u8")
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.frombuffer(b"".join(at), "<i4")), pa.array(((codes ^ (codes >> np.uint64(29))) & mask).view(np.int64))], ["key", "pos", "h"])
+
+    windows = open_rows.select("key", "at", "hash").mapInArrow(opened, "key long, pos int, h long")
+    places = wrong.select(F.col("ref").alias("key"), F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - WINDOW)).alias("pos")).distinct()
+    shared = saved(windows.join(places, ["key", "pos"]).select("h").distinct())
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opener = zstandard.ZstdDecompressor()
+        for batch in batches:
+            rows = []
+            for key, doc, packed, held in zip(*(batch.column(n).to_pylist() for n in range(4))):
+                words = opener.decompress(packed).split()
+                rows += [(key, doc, w["pos"], w["h"], b" ".join(words[w["pos"] : w["pos"] + WINDOW])) for w in held]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()])], ["key", "doc_id", "pos", "h", "words"])
+
+    held = windows.join(shared, "h").groupBy("key", F.pmod(F.xxhash64("pos"), F.lit(PORTIONS)).alias("portion")).agg(F.collect_list(F.struct("pos", "h")).alias("held"))
+    spelt = saved(judged.select("key", "doc_id", "packed").join(held, "key").select("key", "doc_id", "packed", "held").mapInArrow(words_of, "key long, doc_id long, pos int, h long, words binary"))
+    first = spelt.groupBy("h", "words").agg(F.min("doc_id").alias("first"))
+    kept = spelt.join(first, ["h", "words"]).filter("first >= doc_id").groupBy("key").agg(F.collect_set("pos").alias("stay"))
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = [None if g is None else g if not s else np.setdiff1d(np.frombuffer(g, "<i4"), np.array(s, "<i4")).astype("<i4").tobytes() for g, s in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(gone, pa.binary())], ["key", "doc_id", "packed", "gone"])
+
+    return saved(judged.join(kept, "key", "left").select("key", "doc_id", "packed", "gone", "stay").mapInArrow(drop, "key long, doc_id long, packed binary, gone binary"))
 
 
 def removed_words(docs: DataFrame) -> DataFrame:
@@ -118,9 +187,11 @@ def removed_words(docs: DataFrame) -> DataFrame:
 
     A word goes if a window of 13 words that covers it also starts in a document with a smaller doc_id. Blocks
     of 7 words at multiples of 7 index each document; every rolling window of 7 words probes the index; around
-    hits the windows of 13 words are compared by 64-bit hashes, without a look at the words again: among n different
-    windows around hits (not among all windows) some n * n / 2**65 pairs are taken for equal by chance, one in thirty
-    runs at n = 10**9. All occurrences of a hash meet in one task, in arrays.
+    hits the windows of 13 words meet by hash, each with one in the first document that has it. Windows in a row that
+    stand in a row there as well are one repeat, extended as far as both texts agree; its words are compared with those
+    of the reference (by SHA-256, where the reference is, so texts don't travel to texts). Windows of a repeat that the
+    words don't bear out, because different words share a hash, are compared word by word with all of that hash.
+    All occurrences of a hash meet in one task, in arrays; parts follow the bytes of the texts.
     kept_text is null where nothing goes (the text stays as it is).
 
     Null text has no words; empty text gives the digest of the empty string. A row with null doc_id is neither
@@ -128,8 +199,10 @@ def removed_words(docs: DataFrame) -> DataFrame:
     other. An empty table gives no rows; further columns are ignored.
     """
     spark = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a part is held in arrays
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)  # a part is held in arrays
+    width = WINDOW_BYTES
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordCodes()
@@ -182,12 +255,41 @@ def removed_words(docs: DataFrame) -> DataFrame:
             n = [len(a) // 4 for a in at]
             head = np.repeat(np.arange(len(keys)), n)
             out = []
-            for p, d, *packet in _packets(head, np.frombuffer(b"".join(at), "<i4").astype(np.int64), np.frombuffer(b"".join(h), "<u8"), parts, WINDOW_BYTES):
+            for p, d, *packet in _packets(head, np.frombuffer(b"".join(at), "<i4").astype(np.int64), np.frombuffer(b"".join(h), "<u8"), parts, width):
                 d = np.frombuffer(d, "<i8")
                 out.append((p, np.stack([np.array(keys, "<i8")[d], np.array(ids, "<i8")[d]], 1).tobytes(), *packet))
             yield _packet_batch(out)
 
-    gone = _meet(open_rows.select("key", "doc_id", "at", "hash").mapInArrow(windows, _PACKET), parts, WINDOW_BYTES, 1, True).withColumnRenamed("pos", "gone")
+    gone = _meet(open_rows.select("key", "doc_id", "at", "hash").mapInArrow(windows, _PACKET), parts, width, 1, True).withColumnRenamed("pos", "gone").withColumnRenamed("at", "there")
+    judged = saved(open_rows.select("key", "doc_id", "packed").join(gone, F.col("key") == F.col("doc"), "left").select("key", "doc_id", "packed", "gone", "ref", "there"))
+
+    def claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each repeat says of its reference: where it starts there, and the digest of its words."""
+        opener = zstandard.ZstdDecompressor()
+        for batch in batches:
+            out = set()
+            for packed, pos, ref, at in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                words = opener.decompress(packed).split()
+                out |= {(r, b, n, _digest(words[a : a + n])) for a, n, r, b in repeats(np.frombuffer(pos, "<i4"), np.frombuffer(ref, "<i8"), np.frombuffer(at, "<i4"))}
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, [pa.int64(), pa.int32(), pa.int32(), pa.binary()])], ["ref", "at", "n", "digest"])
+
+    claimed = judged.filter("gone is not null").select("packed", "gone", "ref", "there").mapInArrow(claims, "ref long, at int, n int, digest binary").distinct()
+    # a document that very many refer to answers in portions, each with its text
+    asked = claimed.groupBy("ref", F.pmod(F.xxhash64("at", "n", "digest"), F.lit(PORTIONS)).alias("portion")).agg(F.collect_list(F.struct("at", "n", "digest")).alias("claims"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The claims that the words of the reference don't bear out."""
+        opener = zstandard.ZstdDecompressor()
+        for batch in batches:
+            wrong = []
+            for ref, packed, held in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                words = opener.decompress(packed).split()
+                wrong += [(ref, c["at"], c["n"]) for c in held if _digest(words[c["at"] : c["at"] + c["n"]]) != c["digest"]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*wrong)) or [[]] * 3, [pa.int64(), pa.int32(), pa.int32()])], ["ref", "at", "n"])
+
+    wrong = saved(asked.join(open_rows.select("key", "packed"), F.col("ref") == F.col("key")).select("ref", "packed", "claims").mapInArrow(check, "ref long, at int, n int").distinct())
+    if not wrong.isEmpty():  # different words share a hash
+        judged = _by_words(open_rows, judged, wrong, width)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opener = zstandard.ZstdDecompressor()
@@ -206,5 +308,5 @@ def removed_words(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    changed = open_rows.select("key", "doc_id", "packed").join(gone, F.col("key") == F.col("doc"), "left").select("doc_id", "packed", "gone").mapInPandas(keep, schema)
+    changed = judged.select("doc_id", "packed", "gone").mapInPandas(keep, schema)
     return rows.filter("sha is not null").selectExpr("doc_id", "n_words", "0L as n_removed", "sha as kept_sha256", "cast(null as string) as kept_text").union(changed)
