@@ -60,7 +60,11 @@ def bare(text: Column) -> Column:
 
 def company(text: Column) -> Column:
     """The longest name of a form and quoted words, the first of equal ones; null without one."""
-    names = F.transform(F.regexp_extract_all(bare(text), F.lit(_QUOTED), F.lit(1)), clean_inline)
+    return _longest(bare(text))
+
+
+def _longest(text: Column) -> Column:
+    names = F.transform(F.regexp_extract_all(text, F.lit(_QUOTED), F.lit(1)), clean_inline)
     good = F.filter(names, lambda n: ~n.rlike(NO_NAME))
     ranked = F.array_sort(F.transform(good, lambda n, i: F.struct((-F.length(n)).alias("n"), i.alias("i"), n.alias("name"))))
     return F.try_element_at(ranked, F.lit(1))["name"]
@@ -79,15 +83,17 @@ def plausible_address(text: Column) -> Column:
     return F.coalesce(~clean.startswith(",") & ~clean.rlike(NO_ADDRESS) & ~clean.rlike(_QUOTED) & (F.length(clean) >= 10) & clean.rlike(PLACES), F.lit(False))
 
 
-def _party(text: Column) -> dict[str, Column]:
-    """name, tax_id and address of a section's text."""
-    name = company(text)
-    payload = bare(F.regexp_replace(F.regexp_replace(text, r"(?iu)^.*?(?:Поставщик|Покупатель|Организация):\s*", ""), r"(?iU)\b(?:УНП|КПП)\s*\d{9}\b\s*,?\s*", " "))
-    at = F.instr(payload, name)
-    behind = F.when(at > 0, F.substr(payload, at + F.length(name))).otherwise(payload)
-    place = address(behind)
-    tax = F.coalesce(_found(text, r"(?iU)УНП\s*:?\s*(\d{9})"), _found(text, r"(?<![0-9])([0-9]{9})(?![0-9])"))
-    return {"name": name, "tax_id": tax, "address": F.when(plausible_address(place), place)}
+def _with_parties(df: DataFrame, names: list[str]) -> DataFrame:
+    """Columns ``_name`` with a struct (name, tax_id, address) of each section's text, step by step."""
+    payload = lambda t: bare(F.regexp_replace(F.regexp_replace(t, r"(?iu)^.*?(?:Поставщик|Покупатель|Организация):\s*", ""), r"(?iU)\b(?:УНП|КПП)\s*\d{9}\b\s*,?\s*", " "))
+    df = _computed(df.withColumns({f"_b_{n}": bare(c(n)) for n in names} | {f"_p_{n}": payload(c(n)) for n in names}))
+    df = _computed(df.withColumns({f"_n_{n}": _longest(c(f"_b_{n}")) for n in names}))
+    at = lambda n: F.instr(f"_p_{n}", c(f"_n_{n}"))
+    df = _computed(df.withColumns({f"_a_{n}": F.when(at(n) > 0, F.substr(f"_p_{n}", at(n) + F.length(f"_n_{n}"))).otherwise(c(f"_p_{n}")) for n in names}))
+    df = _computed(df.withColumns({f"_a_{n}": address(c(f"_a_{n}")) for n in names}))
+    tax = lambda t: F.coalesce(_found(t, r"(?iU)УНП\s*:?\s*(\d{9})"), _found(t, r"(?<![0-9])([0-9]{9})(?![0-9])"))
+    df = df.withColumns({f"_{n}": F.struct(c(f"_n_{n}").alias("name"), tax(c(n)).alias("tax_id"), F.when(plausible_address(c(f"_a_{n}")), c(f"_a_{n}")).alias("address")) for n in names})
+    return _computed(df.drop(*(f"_{x}_{n}" for x in "bpna" for n in names)))
 
 
 def invoice_parties(lines: DataFrame, key: str) -> DataFrame:
@@ -97,8 +103,7 @@ def invoice_parties(lines: DataFrame, key: str) -> DataFrame:
     """
     ends = (NUMBER, ORGANISATION)
     wanted = {"organisation": (ORGANISATION, (NUMBER, r"УНП\b", SUPPLIER, CUSTOMER, GROUND)), "supplier": (SUPPLIER, (CUSTOMER, GROUND)), "customer": (CUSTOMER, (GROUND, *ends))}
-    df = sections(lines, key, wanted).withColumns({f"_{n}": F.struct(*(v.alias(k) for k, v in _party(c(n)).items())) for n in wanted})
-    df = _computed(df)
+    df = _with_parties(_computed(sections(lines, key, wanted)), list(wanted))
     said = lambda p: F.coalesce(c(f"{p}.name"), c(f"{p}.tax_id"), c(f"{p}.address")).isNotNull()
     phone = clean_inline(_found(c("customer"), r"(\+[0-9][0-9()\-\s]{7,}[0-9]|\([0-9]{2,4}\)\s*[0-9][0-9\-\s]{5,}[0-9])"))
     supplier = F.when(said("_organisation"), c("_organisation")).when(said("_supplier"), c("_supplier"))
