@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from ledgerloom import catalog, catalog_documents, catalog_intervals, catalog_invoices, catalog_nested, catalog_pages, catalog_parties, catalog_repair, catalog_rows, catalog_waybills  # noqa: F401  (the others add to the first)
+from ledgerloom import catalog, catalog_cells, catalog_documents, catalog_intervals, catalog_invoices, catalog_nested, catalog_pages, catalog_parties, catalog_repair, catalog_rows, catalog_waybills  # noqa: F401  (the others add to the first)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
