@@ -93,12 +93,12 @@ def totals_third_from_two(spark, root):
 
 @query("WITH n AS (SELECT l_orderkey, l_tax, count(*) AS k FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, l_tax, k AS votes FROM n QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY k DESC, l_tax) = 1")
 def vat_rate_mode(spark, root):
-    return reconcile.mode(table(spark, root, "lineitem"), "l_orderkey", "l_tax")
+    return reconcile.most_frequent(table(spark, root, "lineitem"), "l_orderkey", "l_tax")
 
 
 @query(f"WITH {_ITEMS}, v AS (SELECT {_LINE}, cost AS a, quantity * price AS b, total - vat_amount AS d FROM items) SELECT {_LINE}, CASE WHEN coalesce({_close('a', 'b')}, false) OR coalesce({_close('a', 'd')}, false) THEN a WHEN coalesce({_close('b', 'a')}, false) OR coalesce({_close('b', 'd')}, false) THEN b WHEN coalesce({_close('d', 'a')}, false) OR coalesce({_close('d', 'b')}, false) THEN d END AS agreed FROM v")
 def consensus_value(spark, root):
-    return _items(spark, root).select(*LINE, reconcile.consensus([c("cost"), c("quantity") * c("price"), c("total") - c("vat_amount")]).alias("agreed"))
+    return _items(spark, root).select(*LINE, reconcile.first_agreeing([c("cost"), c("quantity") * c("price"), c("total") - c("vat_amount")]).alias("agreed"))
 
 
 @query("SELECT DISTINCT l_orderkey, l_partkey, l_quantity, l_extendedprice FROM lineitem")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog import LINE, query
+from ledgerloom.functions import text_noise
 from ledgerloom.operators import waybill_parts
 from ledgerloom.sources.tables import table
 
@@ -62,3 +63,24 @@ _ITEM = {
 def suspicious_items(spark, root):
     items = table(spark, root, "lineitem").selectExpr(*LINE, *(f"{sql} AS {f}" for f, sql in _ITEM.items()))
     return items.select(*LINE, waybill_parts.suspicious_invoice_item(c("l_linenumber"), *(c(f) for f in _ITEM)).alias("suspicious"))
+
+
+_NAME = "CASE l_partkey % 8 WHEN 0 THEN 'Итого по листу' WHEN 1 THEN 'LOREM IPSUM DOLOR' WHEN 2 THEN 'ООО Ива' WHEN 3 THEN 'бедбланк' WHEN 4 THEN 'ABCD' ELSE 'Крем ' || CAST(l_partkey AS STRING) END"
+_UNIT = "CASE WHEN l_suppkey % 2 = 0 THEN 'шт' END"
+
+
+@query(f"SELECT {_LINE}, CASE l_partkey % 8 WHEN 0 THEN true WHEN 1 THEN l_orderkey % 3 < 2 WHEN 2 THEN l_suppkey % 2 > 0 AND l_orderkey % 3 = 1 WHEN 3 THEN true WHEN 4 THEN l_suppkey % 2 > 0 AND l_orderkey % 3 < 2 ELSE false END AS no_item FROM lineitem")
+def rows_without_item(spark, root):
+    """Rows of a waybill that are no items; of a third all amounts are in doubt, of another all but the cost."""
+    some = lambda sql, cond: F.when(F.expr(cond), F.expr(sql).cast("double"))
+    known = {f: some("l_extendedprice", "l_orderkey % 3 = 2") for f in ("quantity", "price", "vat_rate", "vat_amount", "cost_with_vat")} | {"cost": some("l_extendedprice", "l_orderkey % 3 > 0")}
+    return table(spark, root, "lineitem").select(*LINE, waybill_parts.no_item_row(F.expr(_NAME), F.expr(_UNIT), F.lit(None).cast("string"), known).alias("no_item"))
+
+
+_NOISY = "CASE c_custkey % 7 WHEN 0 THEN 'Крем ' || CAST(c_custkey AS STRING) || ' α' WHEN 1 THEN 'Крем .. unknown wordz' WHEN 2 THEN 'Крем unknown wordz' WHEN 3 THEN 'ESTEL SHAMPOO' WHEN 4 THEN 'Kрем xЖ yЖ unknown' WHEN 5 THEN 'wordz...' ELSE c_name END"
+
+
+@query("SELECT c_custkey, c_custkey % 7 IN (0, 1, 4) AS item, c_custkey % 7 IN (0, 1, 2, 5) AS strict, CASE c_custkey % 7 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 4 THEN 1 WHEN 5 THEN 1 WHEN 6 THEN 1 ELSE 0 END AS unknown_words FROM customer")
+def unreliable_texts(spark, root):
+    text = F.expr(_NOISY)
+    return table(spark, root, "customer").select("c_custkey", text_noise.unreliable_item(text).alias("item"), text_noise.unreliable_strict(text).alias("strict"), F.size(text_noise.unknown_latin(text)).alias("unknown_words"))

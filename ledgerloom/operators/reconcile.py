@@ -51,13 +51,13 @@ def third_from_two(df: DataFrame, net: str, vat: str, gross: str) -> DataFrame:
     return df.select("*", F.coalesce(a, c - b).alias(f"{net}_full"), F.coalesce(b, c - a).alias(f"{vat}_full"), F.coalesce(c, a + b).alias(f"{gross}_full"))
 
 
-def mode(df: DataFrame, key: str, value: str) -> DataFrame:
+def most_frequent(df: DataFrame, key: str, value: str) -> DataFrame:
     """The most frequent value of each key, the smallest of equally frequent ones."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).count()
     return counts.groupBy(key).agg(F.max_by(value, F.struct(F.col("count"), -F.col(value))).alias(value), F.max("count").alias("votes"))
 
 
-def consensus(values: list[Column]) -> Column:
+def first_agreeing(values: list[Column]) -> Column:
     """The first of the values that agrees with another one."""
     out = F.lit(None).cast("double")
     for i in reversed(range(len(values))):

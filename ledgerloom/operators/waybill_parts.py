@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import clean_inline
+from ledgerloom.operators import candidates
 from ledgerloom.operators.invoice_lines import money
 
 c = F.col
@@ -122,6 +123,26 @@ def code_prefix(code: Column) -> Column:
     return F.regexp_replace(code, "^OTHK", "OTHR")
 
 
+def no_item_row(name: Column, unit: Column, note: Column, known: dict[str, Column]) -> Column:
+    """Whether a waybill's row is no item: totals, a publisher's mark, Latin noise with four amounts or more in doubt, or a
+    company's name beside sums without quantity or unit. ``known``: its amounts by field, null in doubt; a row without a name is
+    not judged."""
+    name, unit, note = F.upper(clean_inline(name)), clean_inline(unit), clean_inline(note)
+    text = F.concat_ws(" ", name, note)
+    doubts = sum((v.isNull().cast("int") for v in known.values()), F.lit(0))
+    latin, cyrillic = F.length(F.regexp_replace(text, "[^A-Z]", "")), F.length(F.regexp_replace(text, "[^А-ЯЁ]", ""))
+    sums = known["cost"].isNotNull() | known["vat_amount"].isNotNull() | known["cost_with_vat"].isNotNull()
+    core = F.coalesce(known["quantity"] > 0, F.lit(False)) | candidates.unit(unit).isNotNull()
+    signs = (
+        name.isin("ИТОТА", "ИТОГА", "ИТО0А") | name.rlike("ИТОГ|ВСЕГО|ИЗДАТЕЛ|БЕДБЛАНК"), (doubts >= 4) & ~text.rlike("[0-9]") & (latin >= 8) & (cyrillic == 0),
+        note.isNull() & unit.isNull() & (doubts >= 4) & name.rlike("^[A-Z]{3,8}$"), ~core & sums & name.rlike("РУП|ООО|ОАО|ЗАО"),
+    )
+    out = F.lit(False)
+    for sign in signs:
+        out = out | F.coalesce(sign, F.lit(False))
+    return name.isNotNull() & out
+
+
 def suspicious_invoice_item(line_number: Column, article: Column, unit: Column, description: Column, vat_rate: Column) -> Column:
     """Whether an invoice's item looks misread: an unknown rate, its number stuck to the article, figures or a long number in
     the unit, a description that is a bar code or holds a number and an article."""
