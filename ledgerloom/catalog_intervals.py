@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog import query
-from ledgerloom.operators import intervals
+from ledgerloom.operators import intervals, runs
 from ledgerloom.sources.tables import table
 
 c = F.col
@@ -56,3 +56,15 @@ def grid_cells(spark, root):
     across, down = (s.select("page_id", "at").distinct() for s in _segments(spark, root))
     pages = across.select("page_id", F.lit(250).alias("width"), F.lit(280).alias("height")).distinct()
     return intervals.cells_between(across, down, pages)
+
+
+_ARCHIVED, _ORIGINAL = "'archive/' || CAST(s_suppkey AS STRING) || '/Supplier_' || CAST(s_suppkey AS STRING) || '.zip'", "'in/SUPPLIER ' || CAST(s_suppkey AS STRING) || '.PDF'"
+
+
+@query(f"SELECT s_suppkey, {_ARCHIVED} AS path, CASE WHEN s_suppkey % 3 > 0 THEN {_ORIGINAL} END AS original, s_suppkey % 3 = 0 AS missing FROM supplier")
+def archived_originals(spark, root):
+    """Archived results with their originals, and those whose original is missing."""
+    suppliers = table(spark, root, "supplier")
+    originals = suppliers.filter("s_suppkey % 3 > 0").select(F.expr(_ORIGINAL).alias("path"))
+    found, missing = runs.with_originals(suppliers.select("s_suppkey", F.expr(_ARCHIVED).alias("path")), originals, "path")
+    return found.select("s_suppkey", "path", "original", F.lit(False).alias("missing")).union(missing.select("s_suppkey", "path", F.lit(None).cast("string"), F.lit(True)))

@@ -99,3 +99,16 @@ def last_match(text: Column, pattern: str) -> tuple[Column, Column]:
     """The last match of a pattern's first group, null without one, and how many there are."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1))
     return F.nullif(F.try_element_at(found, F.lit(-1)), F.lit("")), F.size(found)
+
+
+def file_stem(path: Column) -> Column:
+    """A file's name without folders and suffix, in small letters, with one blank for each run of other signs than letters and digits."""
+    name = F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.[^.]*$", "")
+    return F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", " "))
+
+
+def with_originals(archived: DataFrame, originals: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Archived pages with the ``original`` of the same stem (the first by name of several), and those that have none."""
+    stems = originals.select(file_stem(c(path)).alias("_stem"), c(path).alias("original")).groupBy("_stem").agg(F.min("original").alias("original"))
+    named = archived.withColumn("_stem", file_stem(c(path)))
+    return named.join(stems, "_stem").drop("_stem"), named.join(stems, "_stem", "left_anti").drop("_stem")
