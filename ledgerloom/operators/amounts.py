@@ -175,13 +175,14 @@ def agree(df: DataFrame, name: str, supports: list[tuple[str, Column]], toleranc
 def recover(items: DataFrame, doc_type: str) -> DataFrame:
     """Items of a type with corrected and filled amounts and ``changes``, a record of each in the order they were made.
 
-    Every rule is a plain expression over columns of the row, so the whole of it is compiled as one.
+    Every rule is a plain expression over columns of the row; after a few of them the row is computed, so that what Spark
+    generates from them stays small enough to be compiled.
     """
     changes: list[str] = []
     out, touched = items, {}
     for n, stage in enumerate(CORRECTIONS[doc_type]):
         for field, supports in stage.items():
-            out = agree(out, f"_c{n}_{field}", [(label, F.expr(s)) for label, s in supports])
+            out = _computed(agree(out, f"_c{n}_{field}", [(label, F.expr(s)) for label, s in supports]))
         new = {}
         for field in stage:
             value, old = F.col(f"_c{n}_{field}_value"), F.col(field)
@@ -196,6 +197,8 @@ def recover(items: DataFrame, doc_type: str) -> DataFrame:
         out = out.withColumns({name: F.when(F.col(field).isNull() & filled.isNotNull(), _change(field, _round2(filled), F.lit(None).cast("double"), "derived", F.lit(label), F.lit(None))), field: F.coalesce(F.col(field), filled)})
         changes.append(name)
         touched.setdefault(field, []).append(name)
+        if n % 3 == 2:
+            out = _computed(out)
     known = lambda names: F.coalesce(*names).isNotNull()
     rounded = {f: F.when(known(names), _round2(F.col(f))).otherwise(F.col(f)) for f, names in touched.items()}
     out = out.withColumns({"changes": F.array_compact(F.array(*changes)).cast(f"array<{_CHANGE}>")} | rounded)
