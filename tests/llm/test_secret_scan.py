@@ -7,7 +7,7 @@ import re
 import string
 from collections import Counter
 
-from ledgerloom.llm import queries, secret_scan
+from ledgerloom.llm import queries
 from ledgerloom.llm.secret_scan import ALLOWED, ALLOWED_AFTER, KINDS, LIMITS, WINDOW, find, render
 
 SF = "/root/testdata/sf0.01"
