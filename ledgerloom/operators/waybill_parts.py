@@ -26,11 +26,12 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def tax_columns(cells: DataFrame) -> DataFrame:
+def tax_columns(cells: DataFrame, tax: str = TAX) -> DataFrame:
     """page_id, place (from 0, left to right), tax_id: the tax number of each column of a page's tax cells (page_id, x1, y1, x2, y2, text).
 
     Centres whose gaps stay within the tolerance form a column; each cell goes to the column whose mean is nearest. A
-    column's number is the first one in it from top to bottom, else one that its texts make together, else null.
+    column's number is the first one in it from top to bottom, else one that its texts make together, else null. ``tax``:
+    a pattern whose first group is a number; without it numbers have exactly nine digits.
     """
     w = Window.partitionBy("page_id")
     wide = F.greatest(F.lit(1), c("x2") - c("x1"))
@@ -41,17 +42,17 @@ def tax_columns(cells: DataFrame) -> DataFrame:
     df = df.withColumn("_new", F.when(c("cx") - F.lag("cx").over(by_x) > c("_tol"), 1).otherwise(0)).withColumn("_column", F.sum("_new").over(by_x.rangeBetween(Window.unboundedPreceding, 0)))
     means = df.groupBy("page_id", "_column").agg(F.avg("cx").alias("_mean")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("_column", "_mean"))).alias("_means"))
     near = F.array_min(F.transform("_means", lambda m: F.struct(F.abs(c("cx") - m["_mean"]).alias("d"), m["_column"].alias("column"))))["column"]
-    cell = F.struct("cy", "x1", "text", _found(c("text"), TAX).alias("tax"))
+    cell = F.struct("cy", "x1", "text", _found(c("text"), tax).alias("tax"))
     held = df.join(means, "page_id").withColumn("place", near).groupBy("page_id", "place").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     first = F.try_element_at(F.filter("cells", lambda x: x["tax"].isNotNull()), F.lit(1))["tax"]
     together = F.array_join(F.transform("cells", lambda x: x["text"]), " ")
-    return held.select("page_id", c("place").cast("int").alias("place"), F.coalesce(first, _found(together, TAX)).alias("tax_id"))
+    return held.select("page_id", c("place").cast("int").alias("place"), F.coalesce(first, _found(together, tax)).alias("tax_id"))
 
 
-def party_taxes(cells: DataFrame) -> DataFrame:
+def party_taxes(cells: DataFrame, tax: str = TAX) -> DataFrame:
     """page_id, sender, payer, receiver: tax numbers by column: the first is the sender's, of two columns the second is the
     receiver's, of three or more the second the payer's and the third the receiver's."""
-    columns = tax_columns(cells).groupBy("page_id").agg(F.count("*").alias("n"), *(F.max(F.when(c("place") == k, c("tax_id"))).alias(f"_{k}") for k in range(3)))
+    columns = tax_columns(cells, tax).groupBy("page_id").agg(F.count("*").alias("n"), *(F.max(F.when(c("place") == k, c("tax_id"))).alias(f"_{k}") for k in range(3)))
     return columns.select("page_id", c("_0").alias("sender"), F.when(c("n") > 2, c("_1")).alias("payer"), F.when(c("n") == 2, c("_1")).when(c("n") > 2, c("_2")).alias("receiver"))
 
 
