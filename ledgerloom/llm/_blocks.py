@@ -1,4 +1,8 @@
-"""Meeting the members of hash buckets in blocks of bounded size, without a row for every pair."""
+"""Meeting the members of hash buckets in blocks of bounded size, without a row for every pair.
+
+Tables here grow with the input and are written compressed, so their files say little of their size in memory: joins are
+merge joins, which pass nothing through the driver.
+"""
 
 from __future__ import annotations
 
@@ -29,7 +33,7 @@ def bucket_blocks(keys: DataFrame, block: int = BLOCK, before: DataFrame | None
     if before is not None:
         full = full.join(before, ["n", "who"], "left_anti")
     taken = saved(full.select("n", "who", F.col("b.bucket").alias("bucket"), F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("b.weight") / BLOCK_WEIGHT)).alias("blocks")))
-    rows = rows.drop("weight").join(taken.select("bucket", "blocks"), "bucket").withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), "blocks"))
+    rows = rows.drop("weight").join(taken.select("bucket", "blocks").hint("merge"), "bucket").withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     calls = rows.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "id", "tree", "probe", F.col("own").cast("int"), F.col("other").cast("int"))
     return calls, taken.select("n", "who")
@@ -65,7 +69,7 @@ def settle(classes: DataFrame, found: DataFrame) -> DataFrame:
     """
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    groups = roots.join(classes.select("id", "class_id"), "id").groupBy("root").agg(F.min("class_id").alias("group_id"))
-    groups = roots.join(groups, "root").select("id", "group_id")
-    out = classes.select("id", "class_id", "copies").join(links, "id", "left").join(groups, "id", "left")
+    groups = roots.join(classes.select("id", "class_id").hint("merge"), "id").groupBy("root").agg(F.min("class_id").alias("group_id"))
+    groups = roots.join(groups.hint("merge"), "root").select("id", "group_id")
+    out = classes.select("id", "class_id", "copies").join(links.hint("merge"), "id", "left").join(groups.hint("merge"), "id", "left")
     return saved(out.selectExpr("id", "copies - 1 + coalesce(links, 0) as n_links", "coalesce(group_id, class_id) as group_id"))

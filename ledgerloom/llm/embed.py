@@ -39,17 +39,20 @@ def _partners(x: np.ndarray, threshold: float, rng: np.random.Generator) -> np.n
 
 def thinned(x: np.ndarray, cosine: float = 0.8, block: int = 1_000) -> np.ndarray:
     """Rows that stand for all: of rows nearer to each other than ``cosine`` the first, so that copies don't outweigh others."""
-    kept = x[:0]
+    kept, n = np.empty_like(x), 0
     for a in range(0, len(x), block):
         part = x[a : a + block]
-        part = part[(part @ kept.T < cosine).all(axis=1)] if len(kept) else part
+        for b in range(0, n, block):  # a block with a block, so that the table of cosines stays small
+            part = part[(part @ kept[b : min(n, b + block)].T < cosine).all(axis=1)]
         near = np.triu(part @ part.T >= cosine, 1)
         own = np.ones(len(part), bool)
         for k in np.flatnonzero(near.any(axis=1)):
             if own[k]:
                 own[near[k]] = False
-        kept = np.concatenate([kept, part[own]])
-    return kept
+        part = part[own]
+        kept[n : n + len(part)] = part
+        n += len(part)
+    return kept[:n]
 
 
 def learn_rotations(x: np.ndarray, count: int, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +89,17 @@ def learn_rotations(x: np.ndarray, count: int, rounds: int = ROUNDS, threshold:
     return np.concatenate(turns, axis=1), np.concatenate(cuts)
 
 
+def _stacked(column: pa.ChunkedArray) -> dict[int, np.ndarray]:
+    """Vectors by their length, one below the other."""
+    out: dict[int, list] = {}
+    for chunk in column.chunks:
+        lengths = np.diff(chunk.offsets.to_numpy())
+        for d in np.unique(lengths).tolist():
+            part = chunk.take(pa.array(np.flatnonzero(lengths == d)))
+            out.setdefault(d, []).append(part.flatten().to_numpy().reshape(-1, d))
+    return {d: np.concatenate(parts) for d, parts in out.items()}
+
+
 def _chance(bits: int, flips: float, most: int) -> float:
     """The chance that at most ``most`` of so many bits differ."""
     return sum(math.comb(bits, k) * flips**k * (1 - flips) ** (bits - k) for k in range(most + 1))
@@ -140,16 +154,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     numbers = sum(d * n for d, n in large.items())
     share = min(1.0, 0.95 * SAMPLE / max(1, sum(large.values())), 0.95 * SAMPLE_NUMBERS / max(1, numbers))
     some = classes.filter(F.size("x").isin(*large) & (F.pmod(F.xxhash64("class_id"), F.lit(1 << 20)) < int((1 << 20) * share)))
-    by_length: dict[int, list] = {}
-    for x in some.select("x").limit(SAMPLE).toPandas()["x"] if large else ():
-        by_length.setdefault(len(x), []).append(x)
+    by_length = _stacked(some.select("x").limit(SAMPLE).toArrow()["x"]) if large else {}
 
     def plan(d: int) -> tuple[int, int, int]:
         """Bits and number of the stretches of vectors of length d, and stretches of one rotation."""
         width, tables = plan_tables(large[d], d, threshold)
         return width, tables, max(1, d // width)
 
-    learned = {d: learn_rotations(unit(np.stack(x)), math.ceil(plan(d)[1] / plan(d)[2]), threshold=threshold) for d, x in by_length.items()}
+    learned = {d: learn_rotations(unit(x), math.ceil(plan(d)[1] / plan(d)[2]), threshold=threshold) for d, x in by_length.items()}
     shared = spark.sparkContext.broadcast(learned)  # for each length of the sample d x d numbers a rotation
 
     def batch_of(batch: pa.RecordBatch, at: np.ndarray, d: int, own: np.ndarray, codes: list[bytes]) -> pa.RecordBatch:
@@ -229,11 +241,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return pd.DataFrame({"id": ids, "links": links, "root": stars(len(ids), i, j, ids)})[links > 0]
 
     named = "grp long, id long, tree int, probe int, own int, other int"
-    calls = saved(map_runs(calls.join(codes, "id"), "grp", "id", sift, named))
-    payload = classes.select("id", "copies", "x").join(codes, "id")
-    found = saved(map_runs(calls.join(payload, "id"), "grp", "id", verify, "id long, links long, root long"))
-    of_class = settle(classes, found).join(classes.select("id", "cls"), "id")
+    calls = saved(map_runs(calls.join(codes.hint("merge"), "id"), "grp", "id", sift, named))
+    payload = classes.select("id", "copies", "x").join(codes.hint("merge"), "id")
+    found = saved(map_runs(calls.join(payload.hint("merge"), "id"), "grp", "id", verify, "id long, links long, root long"))
+    of_class = settle(classes, found).join(classes.select("id", "cls").hint("merge"), "id")
     ids = rows.select("vec_id", "cls")
-    out = ids.filter("cls is not null").join(of_class, "cls").select("vec_id", "n_links", F.col("group_id").alias("component_id"))
+    out = ids.filter("cls is not null").join(of_class.hint("merge"), "cls").select("vec_id", "n_links", F.col("group_id").alias("component_id"))
     rest = ids.filter("cls is null").selectExpr("vec_id", "0L as n_links", "vec_id as component_id")
     return out.union(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -1,5 +1,7 @@
 """Links of vectors against all cosines, where near copies are the majority, few, or of a rare length."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -69,3 +71,27 @@ def test_cuts_never_part_a_row_from_its_partner():
         parted = ((x @ turn > cut) != (y @ turn > cut)).mean(axis=1)
         assert parted.mean() < 0.14 and parted.max() < 0.35
     assert len(embed.thinned(embed.unit(near(rng, rng.normal(size=64), 500, 0.99)))) == 1
+
+
+def test_memory_of_learning():
+    """The rows that rotations are learned from are compared block by block: no table of all with all."""
+    x = embed.unit(np.random.default_rng(3).normal(size=(12_000, 8)))
+    tracemalloc.start()
+    kept = embed.thinned(x, 0.999)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(kept) > 8_000 and peak < 40 << 20
+    small = x[:3_000]
+    slow = small[:0]
+    for row in small:
+        if not len(slow) or (slow @ row < 0.999).all():
+            slow = np.concatenate([slow, row[None]])
+    assert np.array_equal(embed.thinned(small, 0.999, 500), slow)
+
+
+def test_nothing_large_is_broadcast(spark):
+    """Joins of tables that grow with the input pass nothing through the driver, however small their files look."""
+    x = np.random.default_rng(4).normal(size=(60, 8))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.concatenate([x, x * 2, x + 1e-3]))], "vec_id long, embedding array<double>")
+    out = embed.near_vectors(rows)
+    assert out.filter("n_links > 0").count() == 180 and "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
