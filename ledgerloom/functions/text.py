@@ -18,7 +18,12 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def clean_inline(text: Column) -> Column:
     """White space, no-break blanks included, becomes one blank; blank text becomes null."""
-    return F.nullif(F.trim(F.regexp_replace(text, "[ \\t\\r\\n\\x0b\\f\\u00a0]+", " ")), F.lit(""))
+    return F.nullif(squeezed_inline(text), F.lit(""))
+
+
+def squeezed_inline(text: Column) -> Column:
+    """As ``clean_inline``, but blank text becomes the empty one."""
+    return F.trim(F.regexp_replace(text, "[ \\t\\r\\n\\x0b\\f\\u00a0]+", " "))
 
 
 def strip_markup(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.functions.numbers import soft_number
+from ledgerloom.operators.amounts import _computed
 from ledgerloom.operators.rows import running_numbers
 
 PLACE = ("document_id", "page_no", "row_no")
@@ -42,15 +43,16 @@ def percent(value: Column) -> Column:
 
 
 def _filled() -> Column:
-    return F.filter(F.transform("cells", text.clean_inline), lambda v: v.isNotNull())
+    return F.filter(F.transform("cells", text.squeezed_inline), lambda v: v != "")
 
 
 def index_row(least: int = 3) -> Column:
     """Whether the filled cells are consecutive whole numbers, as under a table's head."""
-    digits = F.transform(_filled(), lambda v: F.translate(v, "lI|", "111"))
-    n = F.transform(digits, lambda v: F.when(v.rlike("^[0-9]{1,9}$"), v.cast("int")))
-    steps = F.zip_with(n, F.slice(n, 2, F.greatest(F.size(n), F.lit(1))), lambda a, b: b - a)
-    return (F.size(digits) >= least) & F.forall(n, lambda v: v.isNotNull()) & F.forall(F.slice(steps, 1, F.greatest(F.size(n) - 1, F.lit(0))), lambda d: d == 1)
+    whole_ = lambda v: F.when(v.rlike("^[0-9]{1,9}$"), v.cast("int"))
+    steps = lambda n: F.zip_with(n, F.slice(n, 2, F.greatest(F.size(n), F.lit(1))), lambda a, b: b - a)
+    rising = lambda n: F.forall(n, lambda v: v.isNotNull()) & F.forall(F.slice(steps(n), 1, F.greatest(F.size(n) - 1, F.lit(0))), lambda d: d == 1)
+    # what is referred to more than once is bound: the cells are cleaned once a row
+    return text.once(F.transform(_filled(), lambda v: F.translate(v, "lI|", "111")), lambda digits: (F.size(digits) >= least) & text.once(F.transform(digits, whole_), rising))
 
 
 def _joined() -> Column:
@@ -66,7 +68,7 @@ def waybill_items(rows: DataFrame) -> DataFrame:
     item = (F.size("cells") >= 9) & ~_holds(("итого", *WAYBILL_HEADS)) & ~index_row() & cell(0).isNotNull() & ~cell(0).rlike("^[0-9]+$")
     unit = F.when(F.lower(cell(1)).isin("шт", "шт.", "шτ"), "шт").otherwise(cell(1))
     gross = F.translate(F.nullif(F.regexp_extract(cell(7), r"([0-9]+[.,][0-9]{2})", 1), F.lit("")), ",", ".").cast("double")
-    return rows.filter(item).select(
+    return _computed(rows).filter(item).select(
         *PLACE, cell(0).alias("name"), unit.alias("unit"), whole(2).alias("quantity"), number(3).alias("price"), number(4).alias("cost"),
         percent(cell(5)).alias("vat_rate"), number(6).alias("vat_amount"), gross.alias("cost_with_vat"), cell(8).alias("note"),
     )
@@ -82,11 +84,10 @@ def invoice_items(rows: DataFrame) -> DataFrame:
     A row counts if few of its cells are short whole numbers, an article or a description is there and at
     least three of cells 4 to 11 hold figures. Items without a readable number count on from the largest one before.
     """
-    filled = _filled()
-    few_short = F.size(F.filter(filled, _short)) < 0.7 * F.size(filled)
+    few_short = text.once(_filled(), lambda filled: F.size(F.filter(filled, _short)) < 0.7 * F.size(filled))
     named = F.coalesce(~_short(cell(1)), F.lit(False)) | F.coalesce(~_short(cell(2)), F.lit(False))
     figures = F.size(F.filter(F.slice("cells", 5, 8), lambda v: v.rlike("[0-9]")))
-    kept = rows.filter((F.size("cells") >= 10) & ~_holds(TOTAL_WORDS) & ~index_row() & few_short & named & (figures >= 3))
+    kept = _computed(rows).filter((F.size("cells") >= 10) & ~_holds(TOTAL_WORDS) & ~index_row() & few_short & named & (figures >= 3))
     parsed = F.regexp_extract(cell(0), "^([0-9]{1,4})[.)]?$", 1)
     out = kept.select(
         *PLACE, F.nullif(parsed, F.lit("")).cast("int").alias("parsed"), cell(1).alias("article"), cell(2).alias("description"), cell(3).alias("barcode"), whole(4).alias("quantity"), cell(5).alias("unit"),
@@ -98,7 +99,7 @@ def invoice_items(rows: DataFrame) -> DataFrame:
 
 def account_items(rows: DataFrame) -> DataFrame:
     """Items of rows of ten cells or more; a number of 8 to 14 digits before the description is the article."""
-    kept = rows.filter((F.size("cells") >= 10) & ~F.coalesce(F.lower(cell(0)).startswith("итого"), F.lit(False)) & ~index_row())
+    kept = _computed(rows).filter((F.size("cells") >= 10) & ~F.coalesce(F.lower(cell(0)).startswith("итого"), F.lit(False)) & ~index_row())
     sku = F.nullif(F.regexp_extract(cell(0), r"^([0-9]{8,14})\s+.*$", 1), F.lit(""))
     w = Window.partitionBy("document_id").orderBy("page_no", "row_no")
     return kept.select(

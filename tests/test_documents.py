@@ -186,3 +186,10 @@ def test_job_stream(spark, tmp_path):
     assert {(r.job, r.state, r.attempts) for r in jobs.latest_states(spark, out, "job").collect()} == {("j1", "failed", 1), ("j2", "uploaded", 0)}
     failed = spark.createDataFrame([("a", "failed", 0, 5), ("b", "failed", 2, None), ("c", "completed", 0, 3)], "job string, state string, attempts int, max_attempts int")
     assert {tuple(r)[:3] for r in jobs.next_attempts(failed).collect()} == {("a", "uploaded", 1), ("b", "failed", 3)}
+
+
+def test_index_row_cleans_cells_once(spark):
+    df = spark.createDataFrame([(["1", " 2", None, "l", "4"],), (["1", "", "2", "3"],), (["1", "2"],), (["1", "2", "4"],), (["а", "2", "3"],), ([],)], "cells array<string>")
+    got = df.select(documents.index_row().alias("x"))
+    assert [r.x for r in got.collect()] == [False, True, False, False, False, False]
+    assert got._jdf.queryExecution().analyzed().toString().count("regexp_replace(") <= 2
