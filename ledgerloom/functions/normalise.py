@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars
+from ledgerloom.functions.text import once
 
 # fixed values: the mark of a field in doubt, look-alike letters, quotation marks, labels of parties, units and what they are called
 MARKER = "проверить поле"
@@ -23,8 +24,7 @@ TOTAL_NAMES = ("итого", "итог", "итого:")
 
 def said(text: Column) -> Column:
     """Squeezed text; null where it says nothing."""
-    s = scalars.squeezed(text)
-    return F.when(~F.lower(s).isin("", "nan", "none", "null"), s)
+    return once(scalars.squeezed(text), lambda s: F.when(~F.lower(s).isin("", "nan", "none", "null"), s))
 
 
 def in_doubt(text: Column) -> Column:
@@ -41,7 +41,7 @@ def _digits(text: Column) -> Column:
 
 
 def _edges(text: Column, marks: str = " ,;:") -> Column:
-    return F.nullif(F.regexp_replace(scalars.squeezed(text), f"^[{marks}]+|[{marks}]+$", ""), F.lit(""))
+    return once(F.regexp_replace(scalars.squeezed(text), f"^[{marks}]+|[{marks}]+$", ""), lambda s: F.when(s != "", s))
 
 
 def _steps(text: Column, *steps: tuple[str, str]) -> Column:
@@ -75,11 +75,14 @@ def party_name(text: Column) -> Column:
 
 
 def unit(text: Column) -> Column:
-    s = F.regexp_replace(F.replace(F.lower(plain(text)), F.lit("."), F.lit("")), r"\s+", "")
-    out = F.when(s == "", F.lit(None).cast("string"))
-    for name, written in UNITS.items():
-        out = out.when(s.isin(*written), name)
-    return out.otherwise(s)
+
+    def named(s: Column) -> Column:
+        out = F.when(s == "", F.lit(None).cast("string"))
+        for name, written in UNITS.items():
+            out = out.when(s.isin(*written), name)
+        return out.otherwise(s)
+
+    return once(F.regexp_replace(F.replace(F.lower(plain(text)), F.lit("."), F.lit("")), r"\s+", ""), named)
 
 
 def product(text: Column) -> Column:
@@ -104,9 +107,9 @@ def whole(text: Column) -> Column:
 def percent(text: Column) -> Column:
     """'20%' or '12.5%'; text without a number as it is."""
     s = F.replace(F.replace(_digits(said(text)), F.lit("％"), F.lit("%")), F.lit(" "), F.lit(""))
-    n = scalars.two_places(F.regexp_extract(s, r"(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double"))
-    shown = F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("string"))
-    return F.coalesce(F.concat(shown, F.lit("%")), said(text))
+    shown = lambda n: F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("string"))
+    found = once(scalars.two_places(F.regexp_extract(s, r"(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")), shown)
+    return F.coalesce(F.concat(found, F.lit("%")), said(text))
 
 
 def account(text: Column) -> Column:

@@ -57,3 +57,11 @@ def test_pages_merge_at_every_depth(spark):
     assert tail.totals.cost_total == "5" and tail.number == "B"
     assert got["one"] == (None,) * 5 and got["none"] == (None,) * 5
     assert schema_walk.merge_pages(spark.createDataFrame([], DOC), "key", "page", "doc").count() == 0
+
+
+def test_values_are_read_once(spark):
+    """A lambda computes what it refers to as often as it is written."""
+    df = spark.createDataFrame([("Ш т.",), (" nan ",), ("",), (None,), (".",), ("Кг",)], "t string")
+    got = df.select(F.transform(F.array("t"), normalise.unit)[0].alias("u"))
+    assert [r.u for r in got.collect()] == ["шт", None, None, None, None, "кг"]
+    assert got._jdf.queryExecution().analyzed().toString().count("regexp_replace(") <= 12
