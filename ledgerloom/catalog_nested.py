@@ -15,6 +15,8 @@ _LINE = ", ".join(LINE)
 _GRID = f"SELECT l_orderkey AS page_id, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE}) AS rn FROM lineitem"
 _COLUMNS = ((100, 240), (250, 600), (600, 700))
 _CELLS = " UNION ALL ".join(f"SELECT page_id, rn, rn * 10 + {k} AS region_id, CAST({a} AS DOUBLE) AS x1, CAST(rn * 30 + l_partkey % 3 AS DOUBLE) AS y1, CAST({b} AS DOUBLE) AS x2, CAST(rn * 30 + 24 + l_suppkey % 3 AS DOUBLE) AS y2 FROM g" for k, (a, b) in enumerate(_COLUMNS))
+#: The same cells from one reading of the items.
+_CELL_ROWS = f"SELECT page_id, inline(array({', '.join(f'named_struct("region_id", rn * 10 + {k}, "x1", CAST({a} AS DOUBLE), "y1", CAST(rn * 30 + l_partkey % 3 AS DOUBLE), "x2", CAST({b} AS DOUBLE), "y2", CAST(rn * 30 + 24 + l_suppkey % 3 AS DOUBLE))' for k, (a, b) in enumerate(_COLUMNS))})) FROM g"
 _TEXTS = "CASE l_partkey % 3 WHEN 0 THEN '12,50 краска белая' WHEN 1 THEN 'слово' ELSE '7.25 х' END"
 _LINES = f"SELECT page_id, rn AS item_id, CAST(90 + l_partkey % 500 AS DOUBLE) AS x1, CAST(rn * 30 + l_partkey % 41 - 20 AS DOUBLE) AS y1, CAST(90 + l_partkey % 500 + 20 + l_suppkey % 200 AS DOUBLE) AS x2, CAST(rn * 30 + l_partkey % 41 - 10 + l_suppkey % 15 AS DOUBLE) AS y2, {_TEXTS} AS text FROM g"
 
@@ -28,14 +30,14 @@ _LINES = f"SELECT page_id, rn AS item_id, CAST(90 + l_partkey % 500 AS DOUBLE) A
 def table_cell_parts(spark, root):
     table(spark, root, "lineitem").createOrReplaceTempView("_grid_items")
     grid = f"WITH g AS ({_GRID.replace('FROM lineitem', 'FROM _grid_items')}) "
-    cells, lines = spark.sql(grid + _CELLS).drop("rn"), spark.sql(grid + _LINES)
+    cells, lines = spark.sql(grid + _CELL_ROWS), spark.sql(grid + _LINES)
     return table_owners.cell_parts(lines, cells)
 
 
 @query(f"""WITH g AS ({_GRID}), cell AS ({_CELLS}) SELECT page_id, rn - 1 AS row_no, region_id, min(y1) OVER (PARTITION BY page_id, rn) AS top, max(y2) OVER (PARTITION BY page_id, rn) AS bottom FROM cell""")
 def table_cell_rows(spark, root):
     table(spark, root, "lineitem").createOrReplaceTempView("_grid_items")
-    cells = spark.sql(f"WITH g AS ({_GRID.replace('FROM lineitem', 'FROM _grid_items')}) " + _CELLS).drop("rn")
+    cells = spark.sql(f"WITH g AS ({_GRID.replace('FROM lineitem', 'FROM _grid_items')}) " + _CELL_ROWS)
     return table_owners.table_rows(cells).select("page_id", "row_no", "region_id", "top", "bottom")
 
 

@@ -6,7 +6,11 @@ strips of a page, cells and lines by row, so nothing is compared over a whole pa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import clean_inline, strip_markup
@@ -15,54 +19,115 @@ from ledgerloom.operators.boxes import STRIP, overlap
 c = F.col
 # fixed values: how far cells of a row may differ, widths of a narrow cell beside a wide one, least width of a name cell
 SAME_EDGES, SAME_MIDDLE, SAME_HEIGHT, NARROW, WIDE, NAME_WIDTH = 4, 4, 6, 160, 250, 180
+#: A cell whose top lies this far below those of all cells before it fits no row of theirs, if no cell of the page is lower than 1:
+#: middle and height then place its top within 4 + 6 / 2 of the row's.
+APART = 8
 _CELL = "struct<y1:double,x1:double,id:bigint,y2:double,x2:double>"
-_ROW = f"array<struct<y1:double,y2:double,cy:double,h:double,left:double,n:int,cells:array<{_CELL}>>>"
 
 
 def _strips(df: DataFrame, top: str, bottom: str) -> DataFrame:
     return df.withColumn("_strip", F.explode(F.sequence(F.floor(c(top) / STRIP), F.floor(F.greatest(c(bottom), c(top)) / STRIP))))
 
 
+def _joined(tops: list[float], bottoms: list[float], lefts: list[float], ordered: bool) -> list[int]:
+    """Rows (from 0) of cells in order, each joining the row that it fits best. ``ordered``: rows left behind by ``APART`` are closed."""
+    out, found = [], 0
+    rows: list[list[float]] = []  # number, mean top, bottom, middle and height, left edge, cells
+    for y1, y2, x1 in zip(tops, bottoms, lefts):
+        if ordered:
+            rows = [r for r in rows if y1 - r[1] <= APART]
+        mid, tall, best = (y1 + y2) / 2, max(1.0, y2 - y1), None
+        for r in rows:
+            d1, d2, dm, dh = abs(y1 - r[1]), abs(y2 - r[2]), abs(mid - r[3]), abs(tall - r[4])
+            if d1 <= SAME_EDGES and d2 <= SAME_EDGES or dm <= SAME_MIDDLE and dh <= SAME_HEIGHT:
+                fit = (d1 + d2, dm, dh, abs(x1 - r[5]), r[0])
+                if best is None or fit < best[0]:
+                    best = fit, r
+        if best is None:
+            rows.append([found, y1, y2, mid, tall, x1, 1])
+            out.append(found)
+            found += 1
+        else:
+            r = best[1]
+            n = r[6]
+            r[1:5] = [(old * n + v) / (n + 1) for old, v in zip(r[1:5], (y1, y2, mid, tall))]
+            r[5], r[6] = min(r[5], x1), n + 1
+            out.append(r[0])
+    return out
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted cells of pages to their rows: page_id, row_no, top, bottom, cells.
+
+    A page falls apart where ``APART`` says so. A stretch whose edges all lie within reach of each other is one row; only
+    the cells of other stretches are placed one by one.
+    """
+    for batch in batches:
+        pages, lists = batch.columns
+        cells, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        if not len(cells):
+            continue
+        y1, y2, x1 = (cells.field(f).to_numpy(zero_copy_only=False) for f in ("y1", "y2", "x1"))  # what is missing is NaN
+        page = np.repeat(np.arange(len(pages)), sizes)
+        heads = np.flatnonzero(np.diff(page, prepend=-1))
+        ordered = np.logical_and.reduceat(y2 - y1 >= 1, heads).repeat(np.diff(heads, append=len(page)))
+        new = np.ones(len(page), bool)
+        new[1:] = (page[1:] != page[:-1]) | (y1[1:] - y1[:-1] > APART) & ordered[1:]
+        starts = np.flatnonzero(new)
+        spread = lambda y: np.maximum.reduceat(y, starts) - np.minimum.reduceat(y, starts)
+        alike = (spread(y1) < SAME_EDGES - 0.01) & (spread(y2) < SAME_EDGES - 0.01)  # means are rounded
+        counts, own = np.ones(len(starts), np.int64), np.zeros(len(page), np.int64)
+        ends = np.append(starts[1:], len(page))
+        for k in np.flatnonzero(~alike).tolist():
+            a, b = starts[k], ends[k]
+            own[a:b] = _joined(y1[a:b].tolist(), y2[a:b].tolist(), x1[a:b].tolist(), bool(ordered[a]))
+            counts[k] = own[a:b].max() + 1
+        row = own + np.repeat(np.cumsum(counts) - counts, ends - starts)
+        order = np.argsort(row, kind="stable")
+        firsts = np.flatnonzero(np.diff(row[order], prepend=-1))
+        at = page[order][firsts]
+        row_no = np.arange(len(firsts)) - np.searchsorted(at, at)
+        tops, bottoms = np.fmin.reduceat(y1[order], firsts), np.fmax.reduceat(y2[order], firsts)
+        if (order[1:] < order[:-1]).any():
+            cells = cells.take(pa.array(order))
+        held = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(page)), pa.int32()), cells)
+        edge = lambda y: pa.array(y, mask=np.isnan(y))
+        yield pa.RecordBatch.from_arrays([pages.take(pa.array(at)), pa.array(row_no, pa.int32()), edge(tops), edge(bottoms), held], ["page_id", "row_no", "top", "bottom", "cells"])
+
+
+def _banded(cells: DataFrame) -> DataFrame:
+    """page_id, row_no, top, bottom, cells (y1, x1, id, y2, x2): the rows of ``table_rows``, each with its cells."""
+    edge = lambda f: F.nanvl(c(f).cast("double"), F.lit(None).cast("double")).alias(f)
+    cell = F.struct(edge("y1"), edge("x1"), c("region_id").cast("long").alias("id"), edge("y2"), edge("x2"))
+    pages = cells.groupBy("page_id").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return pages.mapInArrow(_bands, f"page_id {cells.schema['page_id'].dataType.simpleString()}, row_no int, top double, bottom double, cells array<{_CELL}>")
+
+
 def table_rows(cells: DataFrame) -> DataFrame:
     """page_id, row_no (from 0, in order of discovery), region_id, x1, y1, x2, y2, top, bottom: cells in rows.
 
     Cells come from top to bottom, then from left to right. Each joins the row that it fits best: edges, else middle and
     height, near the running means of the row's cells; the least sum of edge distances wins, then middle, height, left
-    edge, then the row found first. A page's cells are one array: pages are small, whatever the table.
+    edge, then the row found first. A page's cells are one array: pages are small, whatever the table. Edges that are no
+    numbers count as missing; a cell without top or bottom is a row of its own.
     """
-    cell = F.struct(c("y1").cast("double").alias("y1"), c("x1").cast("double").alias("x1"), c("region_id").cast("long").alias("id"), c("y2").cast("double").alias("y2"), c("x2").cast("double").alias("x2"))
-    pages = cells.groupBy("page_id").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    tall = lambda s: F.greatest(F.lit(1.0), s["y2"] - s["y1"])
-    mid = lambda s: (s["y1"] + s["y2"]) / 2
-
-    def place(rows: Column, s: Column) -> Column:
-        apart = lambda r: (F.abs(s["y1"] - r["y1"]), F.abs(s["y2"] - r["y2"]), F.abs(mid(s) - r["cy"]), F.abs(tall(s) - r["h"]))
-
-        def fit(r: Column, i: Column) -> Column:
-            d1, d2, dm, dh = apart(r)
-            near = (d1 <= SAME_EDGES) & (d2 <= SAME_EDGES) | (dm <= SAME_MIDDLE) & (dh <= SAME_HEIGHT)
-            return F.when(near, F.struct((d1 + d2).alias("a"), dm.alias("b"), dh.alias("c"), F.abs(s["x1"] - r["left"]).alias("d"), i.alias("i")))
-
-        best = F.array_min(F.transform(rows, fit))["i"]
-        mean = lambda r, f, v: ((r[f] * r["n"] + v) / (r["n"] + 1)).alias(f)
-        grown = lambda r: F.struct(mean(r, "y1", s["y1"]), mean(r, "y2", s["y2"]), mean(r, "cy", mid(s)), mean(r, "h", tall(s)), F.least(r["left"], s["x1"]).alias("left"), (r["n"] + 1).alias("n"), F.array_append(r["cells"], s).alias("cells"))
-        new = F.array(F.struct(s["y1"].alias("y1"), s["y2"].alias("y2"), mid(s).alias("cy"), tall(s).alias("h"), s["x1"].alias("left"), F.lit(1).alias("n"), F.array(s).alias("cells")))
-        at = F.element_at(F.transform(F.array(best), lambda b: F.when(b.isNull(), F.concat(rows, new)).otherwise(F.transform(rows, lambda r, i: F.when(i == b, grown(r)).otherwise(r)))), 1)
-        return at.cast(_ROW)
-
-    rows = pages.select("page_id", F.posexplode(F.aggregate("cells", F.array().cast(_ROW), place)).alias("row_no", "r"))
-    rows = rows.select("page_id", "row_no", F.array_min(F.transform("r.cells", lambda s: s["y1"])).alias("top"), F.array_max(F.transform("r.cells", lambda s: s["y2"])).alias("bottom"), F.explode("r.cells").alias("s"))
+    rows = _banded(cells).select("page_id", "row_no", "top", "bottom", F.explode("cells").alias("s"))
     return rows.select("page_id", "row_no", c("s.id").alias("region_id"), "s.x1", "s.y1", "s.x2", "s.y2", "top", "bottom")
 
 
+def _in_best_row(lines: DataFrame, bands: DataFrame, kept: list[str]) -> DataFrame:
+    """page_id, item_id and the ``kept`` columns of a line and the row that it shares height with, see ``row_owner``."""
+    both = _strips(lines, "y1", "y2").join(_strips(bands, "top", "bottom"), ["page_id", "_strip"])
+    shared, mid = overlap("y1", "y2", "top", "bottom"), (c("y1") + c("y2")) / 2
+    score = F.struct(mid.between(c("top"), c("bottom")).cast("int"), shared, -F.abs((c("top") + c("bottom")) / 2 - mid), -c("row_no"))
+    return both.filter(shared > 0).groupBy("page_id", "item_id").agg(F.max_by(F.struct(*kept), score).alias("o")).select("page_id", "item_id", "o.*")
+
+
 def row_owner(lines: DataFrame, rows: DataFrame) -> DataFrame:
     """page_id, item_id, row_no: the row that a line shares height with: its middle inside first, then most height, then
     the nearest middle, then the row found first. Lines that meet no row have none."""
     bands = rows.select("page_id", "row_no", "top", "bottom").distinct()
-    both = _strips(lines.select("page_id", "item_id", "y1", "y2"), "y1", "y2").join(_strips(bands, "top", "bottom"), ["page_id", "_strip"])
-    shared, mid = overlap("y1", "y2", "top", "bottom"), (c("y1") + c("y2")) / 2
-    score = F.struct(mid.between(c("top"), c("bottom")).cast("int"), shared, -F.abs((c("top") + c("bottom")) / 2 - mid), -c("row_no"))
-    return both.filter(shared > 0).groupBy("page_id", "item_id").agg(F.max_by("row_no", score).alias("row_no"))
+    return _in_best_row(lines.select("page_id", "item_id", "y1", "y2"), bands, ["row_no"])
 
 
 def cell_parts(lines: DataFrame, cells: DataFrame) -> DataFrame:
@@ -70,21 +135,18 @@ def cell_parts(lines: DataFrame, cells: DataFrame) -> DataFrame:
 
     In its row a line goes to the only cell that it meets; of two, a narrow one beside a wide one, an amount at the
     start goes to the left and the rest to the right; else the cell with most of the width has it, the left one of equals.
+    Rows are found once and bring their cells along. ``item_id`` names one line of a page.
     """
-    rows = table_rows(cells)
-    text = clean_inline(c("text"))
-    owned = lines.filter(text.isNotNull()).join(row_owner(lines, rows), ["page_id", "item_id"])
-    held = rows.select("page_id", "row_no", "region_id", c("x1").alias("rx1"), c("x2").alias("rx2"))
-    shared = overlap("x1", "x2", "rx1", "rx2")
-    hits = owned.join(held, ["page_id", "row_no"]).filter(shared > 0)
-    hit = F.struct(c("rx1").alias("left"), c("region_id").alias("id"), F.greatest(F.lit(1.0), c("rx2") - c("rx1")).alias("width"), shared.cast("double").alias("shared"))
-    found = hits.groupBy("page_id", "item_id").agg(F.array_sort(F.collect_list(hit)).alias("h"), F.first(text).alias("text"))
+    owned = _in_best_row(lines.select("page_id", "item_id", "x1", "x2", "y1", "y2", "text"), _banded(cells), ["x1", "x2", "text", "cells"])
+    shared = lambda s: overlap(c("x1"), c("x2"), s["x1"], s["x2"]).cast("double")
+    met = F.transform("cells", lambda s: F.struct(s["x1"].alias("left"), s["id"].alias("id"), F.greatest(F.lit(1.0), s["x2"] - s["x1"]).alias("width"), shared(s).alias("shared")))
+    found = owned.select("page_id", "item_id", clean_inline(c("text")).alias("text"), F.array_sort(F.filter(met, lambda h: h["shared"] > 0)).alias("h"))
     part = lambda g: F.regexp_extract("text", r"^\s*([0-9]+[.,][0-9]{2})\s+(.+?)\s*$", g)
     first, second = F.try_element_at("h", F.lit(1)), F.try_element_at("h", F.lit(2))
-    two = (F.size("h") == 2) & (part(1) != "") & (first["width"] <= NARROW) & (second["width"] >= WIDE) & (second["left"] > first["left"])
+    two = (F.size("h") == 2) & (first["width"] <= NARROW) & (second["width"] >= WIDE) & (second["left"] > first["left"]) & (part(1) != "")
     most = F.array_max(F.transform("h", lambda x: F.struct(x["shared"].alias("shared"), (-x["left"]).alias("left"), (-x["id"]).alias("id"))))
     one = lambda id_, text_: F.struct(id_.alias("region_id"), text_.alias("part"))
-    parts = F.when(two, F.array(one(first["id"], part(1)), one(second["id"], part(2)))).otherwise(F.array(one(-most["id"], c("text"))))
+    parts = F.when(two, F.array(one(first["id"], part(1)), one(second["id"], part(2)))).when((F.size("h") > 0) & c("text").isNotNull(), F.array(one(-most["id"], c("text"))))
     return found.select("page_id", "item_id", F.inline(parts))
 
 

@@ -89,3 +89,23 @@ def test_name_column(spark):
     assert got == {20: ["Краска"], 30: ["белая для дома", "малая"]}
     lines = table_owners.visual_lines(spark.createDataFrame(items[:1], BOX.format("item_id") + ", text string")).collect()
     assert [(r.piece, r.y1, r.y2, r.text) for r in sorted(lines)] == [(0, 82.0, 82 + 74 / 3, "Краска"), (1, 82 + 74 / 3, 82 + 74 / 3 * 2, "белая для дома"), (2, 82 + 74 / 3 * 2, 156.0, "малая")]
+
+
+def test_rows_are_found_once_whatever_the_heights(spark):
+    rng = random.Random(11)
+    pages = {}
+    for p in range(60):
+        # dense and gapped pages; some hold thin or upside-down cells, which no gap parts from rows above
+        step, low = rng.choice([2, 5, 9, 30]), p % 3 == 0
+        pages[p] = [(k, float(rng.randrange(0, 300)), y := k // 3 * step + rng.random() * rng.choice([1, 5]), 400.0, y + (rng.choice([-9, 0, 0.5, 14]) if low else rng.choice([1, 12, 14, 15]))) for k in range(40)]
+    cells = spark.createDataFrame([(p, *s) for p, cs in pages.items() for s in cs], BOX.format("region_id")).repartition(3)
+    got = {}
+    for r in table_owners.table_rows(cells).collect():
+        got.setdefault((r.page_id, r.row_no), [set(), r.top, r.bottom])[0].add(r.region_id)
+    want = {(p, i): [{s[0] for s in cs}, min(s[2] for s in cs), max(s[4] for s in cs)] for p, own in pages.items() for i, cs in enumerate(rows_by_hand(own))}
+    assert got == want
+    missing = spark.createDataFrame([(1, 1, 0.0, None, 9.0, 9.0), (1, 2, 0.0, float("nan"), 9.0, 9.0), (1, 3, None, 1.0, 9.0, 9.0), (1, 4, 0.0, 1.0, 9.0, 9.0)], BOX.format("region_id"))
+    assert sorted((r.region_id, r.row_no, r.top, r.bottom) for r in table_owners.table_rows(missing).collect()) == [(1, 0, None, 9.0), (2, 1, None, 9.0), (3, 2, 1.0, 9.0), (4, 2, 1.0, 9.0)]
+    lines = cells.selectExpr("page_id", "region_id as item_id", "x1", "y1", "x2", "y2", "'a' as text")
+    plan = table_owners.cell_parts(lines, cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1
