@@ -6,7 +6,7 @@ Joins meet by page and by horizontal strips of the page, so a page with very man
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 #: Height of the strips by which boxes of a page meet.
@@ -33,6 +33,12 @@ def meet(items: DataFrame, regions: DataFrame) -> DataFrame:
     return both.filter(once & (overlap("y1", "y2", "ry1", "ry2") > 0) & (overlap("x1", "x2", "rx1", "rx2") > 0)).drop("_page", "_strip", "_other")
 
 
+def by_line(pairs: DataFrame) -> GroupedData:
+    """Pairs grouped by their line, dealt out by it before: the choice of one sorts its pairs, which the task that joined them
+    would do as well, beside the sorts of its join."""
+    return pairs.repartition("page_id", "item_id").groupBy("page_id", "item_id")
+
+
 def _share_words(parts: DataFrame, order: list[str], from_: str, to: str) -> DataFrame:
     """Deal the words of a line to its parts by their widths; the last part takes the rest, empty parts go."""
     w = Window.partitionBy("page_id", "item_id").orderBy(*order)
@@ -73,7 +79,7 @@ def best_region(items: DataFrame, regions: DataFrame) -> DataFrame:
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     inside = (cx >= F.col("rx1")) & (cx < F.col("rx2")) & (cy >= F.col("ry1")) & (cy < F.col("ry2"))
     score = F.struct(inside.cast("int"), overlap("y1", "y2", "ry1", "ry2"), -F.abs(cy - (F.col("ry1") + F.col("ry2")) / 2), overlap("x1", "x2", "rx1", "rx2"), -F.col("region_id"))
-    return meet(items, regions).groupBy("page_id", "item_id").agg(F.max_by("region_id", score).alias("region_id"))
+    return by_line(meet(items, regions).select("page_id", "item_id", "region_id", score.alias("_score"))).agg(F.max_by("region_id", "_score").alias("region_id"))
 
 
 def region_text(items: DataFrame, regions: DataFrame) -> DataFrame:
@@ -94,7 +100,8 @@ def right_neighbours(items: DataFrame, most: int, least_shared: float = 0.35) ->
     gap, shared = F.col("rx1") - F.col("x2"), overlap("y1", "y2", "ry1", "ry2")
     enough = shared >= least_shared * F.least(F.col("y2") - F.col("y1"), F.col("ry2") - F.col("ry1"))
     near = both.filter((gap >= 0) & (gap <= most) & (shared > 0) & enough)
-    return near.groupBy("page_id", "item_id").agg(F.min_by("region_id", F.struct(gap, F.abs(F.col("y1") - F.col("ry1")), F.col("region_id"))).alias("right_id"))
+    score = F.struct(gap, F.abs(F.col("y1") - F.col("ry1")), F.col("region_id"))
+    return by_line(near.select("page_id", "item_id", "region_id", score.alias("_score"))).agg(F.min_by("region_id", "_score").alias("right_id"))
 
 
 def below_neighbours(items: DataFrame, most: int, least_shared: float = 0.35) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import clean_inline, strip_markup
-from ledgerloom.operators.boxes import STRIP, overlap
+from ledgerloom.operators.boxes import STRIP, by_line, overlap
 
 c = F.col
 # fixed values: how far cells of a row may differ, widths of a narrow cell beside a wide one, least width of a name cell
@@ -120,7 +120,8 @@ def _in_best_row(lines: DataFrame, bands: DataFrame, kept: list[str]) -> DataFra
     both = _strips(lines, "y1", "y2").join(_strips(bands, "top", "bottom"), ["page_id", "_strip"])
     shared, mid = overlap("y1", "y2", "top", "bottom"), (c("y1") + c("y2")) / 2
     score = F.struct(mid.between(c("top"), c("bottom")).cast("int"), shared, -F.abs((c("top") + c("bottom")) / 2 - mid), -c("row_no"))
-    return both.filter(shared > 0).groupBy("page_id", "item_id").agg(F.max_by(F.struct(*kept), score).alias("o")).select("page_id", "item_id", "o.*")
+    pairs = both.filter(shared > 0).select("page_id", "item_id", F.struct(*kept).alias("o"), score.alias("_score"))
+    return by_line(pairs).agg(F.max_by("o", "_score").alias("o")).select("page_id", "item_id", "o.*")
 
 
 def row_owner(lines: DataFrame, rows: DataFrame) -> DataFrame:

@@ -115,3 +115,13 @@ def test_boxes_in_arrays_and_columns(spark):
     assert zone == "a b c"
     values = spark.createDataFrame([("k", v) for v in (1, 1, 3, 20, 22, 60)], "k string, v int")
     assert sorted(map(tuple, boxes.gap_centres(values, "k", "v", 5).select("centre", "n").collect())) == [(5 / 3, 3), (21.0, 2), (60.0, 1)]
+
+
+def test_pairs_are_dealt_by_line_before_one_is_chosen(spark):
+    lines = spark.createDataFrame([(p, i, i * 10, 0, i * 10 + 15, 20, "a") for p in range(3) for i in range(4)], "page_id long, item_id int, x1 int, y1 int, x2 int, y2 int, text string")
+    regions = spark.createDataFrame([(p, r, r * 20, 0, r * 20 + 20, 40) for p in range(3) for r in range(3)], "page_id long, region_id int, rx1 int, ry1 int, rx2 int, ry2 int")
+    owners = boxes.best_region(lines, regions)
+    assert sorted(map(tuple, owners.collect())) == sorted((p, i, r) for p in range(3) for i, r in enumerate((0, 0, 1, 1)))
+    for df in (owners, boxes.right_neighbours(lines, 50)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan.split("Join")[0]
