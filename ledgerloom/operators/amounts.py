@@ -159,27 +159,37 @@ def agree(df: DataFrame, name: str, supports: list[tuple[str, Column]], toleranc
     """Columns ``name``_value, ``name``_count and ``name``_source: as ``consensus``, for values that each have a label, by
     comparing them two by two in plain expressions. Null where no two agree."""
     values = [f"{name}_s{i}" for i in range(len(supports))]
-    sizes = [f"{name}_n{i}" for i in range(len(supports))]
-    near = lambda i, j: F.abs(F.col(values[i]) - F.col(values[j])) <= tolerance
     every = range(len(supports))
     df = df.withColumns({v: x for v, (_, x) in zip(values, supports)})
-    df = df.withColumns({sizes[i]: sum((F.when(near(i, j), 1).otherwise(0) for j in every), F.lit(0)) for i in every})
-    most = F.greatest(*sizes) if len(sizes) > 1 else F.col(sizes[0])
-    total = lambda i: sum((F.when(near(i, j), F.col(values[j])).otherwise(0.0) for j in every), F.lit(0.0))
-    source = lambda i: F.concat_ws(" & ", *(F.when(near(i, j), label) for j, (label, _) in enumerate(supports)))
-    first = lambda what: F.coalesce(*(F.when((most >= 2) & (F.col(sizes[i]) == most), what(i)) for i in every))
-    df = df.withColumns({f"{name}_value": first(lambda i: _round2(total(i) / F.col(sizes[i]))), f"{name}_count": F.when(most >= 2, most), f"{name}_source": first(source)})
-    return df.drop(*values, *sizes)
+    pairs = {(i, j): f"{name}_p{i}_{j}" for i in every for j in every if i < j}
+    df = df.withColumns({p: F.coalesce(F.abs(F.col(values[i]) - F.col(values[j])) <= tolerance, F.lit(False)) for (i, j), p in pairs.items()})
+    near = lambda i, j: F.lit(True) if i == j else F.col(pairs[min(i, j), max(i, j)])
+    if len(supports) == 2:  # one pair says it all
+        both_agree, (a, b) = near(0, 1), (label for label, _ in supports)
+        out = {f"{name}_value": F.when(both_agree, _round2((F.col(values[0]) + F.col(values[1])) / 2)), f"{name}_count": F.when(both_agree, 2), f"{name}_source": F.when(both_agree, f"{a} & {b}")}
+        return df.withColumns(out).drop(*values, *pairs.values())
+    most, first, members = f"{name}_most", f"{name}_first", [f"{name}_g{j}" for j in every]
+    sizes = [f"{name}_n{i}" for i in every]
+    df = df.withColumns({sizes[i]: sum((near(i, j).cast("int") for j in every if j != i), F.lit(1)) for i in every})
+    df = df.withColumn(most, F.greatest(*sizes) if len(sizes) > 1 else F.col(sizes[0]))
+    df = df.withColumn(first, F.coalesce(*(F.when((F.col(most) >= 2) & (F.col(sizes[i]) == F.col(most)), i) for i in every)))
+    df = _computed(df.drop(*sizes))
+    df = df.withColumns({members[j]: F.coalesce(*(F.when(F.col(first) == i, near(i, j)) for i in every), F.lit(False)) for j in every})
+    total = sum((F.when(F.col(members[j]), F.col(values[j])).otherwise(0.0) for j in every), F.lit(0.0))
+    known = F.col(first).isNotNull()
+    source = F.concat_ws(" & ", *(F.when(F.col(members[j]), label) for j, (label, _) in enumerate(supports)))
+    df = df.withColumns({f"{name}_value": F.when(known, _round2(total / F.col(most))), f"{name}_count": F.when(known, F.col(most)), f"{name}_source": F.when(known, source)})
+    return df.drop(*values, *pairs.values(), *members, most, first)
 
 
 def recover(items: DataFrame, doc_type: str) -> DataFrame:
     """Items of a type with corrected and filled amounts and ``changes``, a record of each in the order they were made.
 
-    Every rule is a plain expression over columns of the row; after a few of them the row is computed, so that what Spark
-    generates from them stays small enough to be compiled.
+    Every rule is a plain expression over columns of the row; after a few of them the row is computed, so that each method
+    Spark generates from them stays below 8,000 bytes: the JVM interprets longer ones for good.
     """
     changes: list[str] = []
-    out, touched = items, {}
+    out, touched = _computed(items), {}
     for n, stage in enumerate(CORRECTIONS[doc_type]):
         for field, supports in stage.items():
             out = _computed(agree(out, f"_c{n}_{field}", [(label, F.expr(s)) for label, s in supports]))
@@ -191,7 +201,7 @@ def recover(items: DataFrame, doc_type: str) -> DataFrame:
             new |= {name: F.when(moved, _change(field, value, _round2(old), "corrected", F.col(f"_c{n}_{field}_source"), F.col(f"_c{n}_{field}_count"))), field: F.when(moved, value).otherwise(old)}
             changes.append(name)
             touched.setdefault(field, []).append(name)
-        out = out.withColumns(new).drop(*(f"_c{n}_{f}_{x}" for f in stage for x in ("value", "count", "source")))
+        out = _computed(out.withColumns(new).drop(*(f"_c{n}_{f}_{x}" for f in stage for x in ("value", "count", "source"))))
     for n, (field, label, sql) in enumerate(FILLS[doc_type]):
         name, filled = f"_f{n}_{field}", F.expr(sql)
         out = out.withColumns({name: F.when(F.col(field).isNull() & filled.isNotNull(), _change(field, _round2(filled), F.lit(None).cast("double"), "derived", F.lit(label), F.lit(None))), field: F.coalesce(F.col(field), filled)})
@@ -222,6 +232,8 @@ def recover_totals(documents: DataFrame, sums: DataFrame, doc_type: str, key: st
         out = out.withColumns({f"_s{n}": F.when(total.isNull() & (derived >= 0), _change(field, derived, F.lit(None).cast("double"), "derived", label, F.lit(None))), f"_w{n}": F.when(apart(total, derived), warn(field, total, derived, label)), field: F.coalesce(total, F.when(derived >= 0, derived))})
         changes.append(f"_s{n}")
         warnings.append(f"_w{n}")
+        if n % 3 == 2:
+            out = _computed(out)
     for n, (stated, field) in enumerate(WORDS[doc_type].items()):
         if field in words:
             total, amount, label = F.col(field), words[field], F.lit(f"parsed({stated})")
@@ -233,7 +245,7 @@ def recover_totals(documents: DataFrame, sums: DataFrame, doc_type: str, key: st
         supports = [(f"sum(items.{item})", F.col(f"sum_{field}")), *((f"parsed({s})", words[field]) for s, f in WORDS[doc_type].items() if f == field and field in words), *((x, F.expr(s)) for x, s in more)]
         if len(supports) < 2:
             continue
-        out = agree(out, f"_a{n}", supports)
+        out = agree(_computed(out), f"_a{n}", supports)
         total, value, source = F.col(field), F.col(f"_a{n}_value"), F.col(f"_a{n}_source")
         moved = point_moved(total, value)
         out = out.withColumns({f"_k{n}": F.when(moved, _change(field, value, _round2(total), "corrected", source, F.col(f"_a{n}_count"))), f"_x{n}": F.when(apart(total, value) & ~moved, warn(field, total, value, source)), field: F.when(moved, value).otherwise(total)})

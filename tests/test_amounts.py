@@ -52,3 +52,29 @@ def test_consensus(spark):
     df = spark.createDataFrame([(1.0, 5.0, 5.01, 1.01), (1.0, 2.0, 3.0, None), (None, 7.0, None, 7.0)], "a double, b double, c double, d double")
     got = [r.x and (r.x.value, r.x.support_count) for r in df.select(amounts.consensus([F.col(k) for k in "abcd"]).alias("x")).collect()]
     assert got in ([(1.01, 2), None, (7.0, 2)], [(1.0, 2), None, (7.0, 2)])
+
+
+def test_agree_groups_as_consensus_does(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    rows = [tuple(rng.choice([None, float("nan"), 1.0, 1.01, 1.02, 1.04, 5.0]) for _ in range(4)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    for names in ("a", "ab", "abc", "abcd"):
+        supports = [(k, F.col(k)) for k in names]
+        got = amounts.agree(df.select("*", amounts.consensus([v for _, v in supports]).alias("x")), "y", supports).collect()
+        for r in got:
+            want = (r.x.value, r.x.support_count, " & ".join(names[i] for i in r.x.members)) if r.x else (None, None, None)
+            assert (r.y_value, r.y_count, r.y_source) == want, r
+
+
+def test_generated_methods_are_small_enough_to_be_compiled(spark):
+    from ledgerloom.catalog_documents import ITEMS
+
+    every = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenStringSeq
+    for kind, fields in ITEMS.items():
+        items = spark.range(5).selectExpr("id", *(f"cast(id as double) as {f}" for f in fields))
+        codes = every(amounts.recover(items, kind)._jdf.queryExecution().executedPlan())
+        assert all(codes.apply(k)._3().maxMethodCodeSize() < 8000 for k in range(codes.size())), kind
