@@ -27,17 +27,19 @@ from itertools import pairwise
 import numpy as np
 
 BLOCK = 2048
-MAGIC, VERSION = b"LLTI", 3
+MAGIC, VERSION = b"LLTI", 4
 _WORD, _LEAST_BITS = 30, 30
 _LEAST, _WHOLE = 1 << _LEAST_BITS, 1 << _LEAST_BITS + _WORD
 #: The number line is cut into 2**_UNITS units, and each of them so finely that an id of 16 bits fits into one.
 _UNITS, _FINE = 10, 16
 _LINE = _UNITS + _FINE
-_SLOT_BITS, _CHECK_BITS = 11, 14
+_SLOT_BITS, _CHECK_BITS = 10, 14
 _CHECK = (1 << _CHECK_BITS) - 1
 _ORDER2, _ORDER1, _ORDER0, _NEW = range(4)
 #: Units that orders 0 and new ids, and an order with a prediction, have at least.
 _FLOOR = 4
+#: Lanes whose past is sorted together: few enough to stay in the processor's cache.
+_GROUP = 64
 
 
 class _Coder:
@@ -167,14 +169,24 @@ class _Past:
         """For decoding: every place of the stretches tells the id (``ids``: lanes x those past), their first place
         and their number."""
         lanes, self.n = ids.shape
-        value = np.sort(ids, axis=1)
-        at, length = _runs(value)
-        packed = value.reshape(-1)[at].astype(np.int64) << 32 | (at % self.n) << 16 | length
-        self.table, self.base = np.repeat(packed, length), np.arange(lanes) * self.n
+        self.table, self.base = np.empty(ids.size, np.int64), np.arange(lanes) * self.n
+        for a in range(0, lanes, _GROUP):
+            value = np.sort(ids[a : a + _GROUP], axis=1)
+            at, length = _runs(value)
+            packed = value.reshape(-1)[at].astype(np.int64) << 32 | (at % self.n) << 16 | length
+            self.table[a * self.n : a * self.n + value.size] = np.repeat(packed, length)
 
     @staticmethod
     def ahead(ids: np.ndarray, known: int) -> np.ndarray:
         """For encoding: first place << 16 | number, of each id (steps x lanes) after the first ``known`` ones; 0 if new."""
+        lanes, n = ids.shape
+        out = np.empty((n - known, lanes), np.int32)
+        for a in range(0, lanes, _GROUP):
+            out[:, a : a + _GROUP] = _Past._ahead(ids[a : a + _GROUP], known).T
+        return out
+
+    @staticmethod
+    def _ahead(ids: np.ndarray, known: int) -> np.ndarray:
         lanes, n = ids.shape
         kind = np.uint32 if ids.max(initial=0) < 65536 else np.uint64
         packed = ids.astype(kind)
@@ -193,7 +205,7 @@ class _Past:
         spot += np.arange(0, lanes * n, n)[:, None]
         out = np.empty((lanes, n), np.int32)
         out.reshape(-1)[spot.reshape(-1)] = np.repeat(found, length)
-        return np.ascontiguousarray(out[:, known:].T)
+        return out[:, known:]
 
 
 def _run(coder: _Coder, width: int, ids: np.ndarray) -> None:
@@ -267,7 +279,7 @@ def _run(coder: _Coder, width: int, ids: np.ndarray) -> None:
             context[1] = context[0] * np.uint32(65599) + x
             context[0] = x
             states[a + t] = state
-            came[a + t] = np.where(hit, np.where(hit2, _ORDER2, _ORDER1), np.where(new, _NEW, _ORDER0))
+            came[a + t] = (new.view(np.uint8) + np.uint8(_ORDER0)) * ~hit | (hit > hit2)  # _ORDER2, _ORDER1 where hit, else _ORDER0, _NEW
             if decodes:
                 rows[t] = x
         if decodes:

@@ -12,14 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._codec import decode_frame, encode_frame
-from ledgerloom.llm._tokens import byte_encoder
+from ledgerloom.llm._tokens import ByteTable
 
 END_ID = 2
 #: Ids of a frame: whole documents until it is full. A frame holds some two thousand blocks.
 FRAME = 4_000_000
+#: Documents cut into ids in one go; the next ones follow when these are in a frame.
+ROWS = 1000
+_TABLES: dict[tuple[str, int], ByteTable] = {}
 _FILE = "chunk int, first long, doc_ids binary, known binary, lengths binary, frame binary"
 
 
+def _table(vocabulary: str, end_id: int) -> ByteTable:
+    """A Python worker keeps its table from task to task."""
+    if (vocabulary, end_id) not in _TABLES:
+        _TABLES[vocabulary, end_id] = ByteTable(vocabulary, end_id)
+    return _TABLES[vocabulary, end_id]
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, frame_ids: int = FRAME) -> None:
     """Encode documents (doc_id, text), append ``end_id`` to each and write them to ``path``.
 
@@ -32,29 +42,38 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = byte_encoder(vocabulary), np.array([end_id], "<u4").tobytes()
-        chunk, first = TaskContext.get().partitionId(), 0
-        ids: list[int | None] = []
-        parts: list[bytes] = []
+        table, chunk, first = _table(vocabulary, end_id), TaskContext.get().partitionId(), 0
+        docs: list[int | None] = []
+        sizes: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
         held = 0
 
         def frame() -> pa.RecordBatch:
-            lengths = np.array([len(p) // 4 for p in parts], "<i8")
-            row = (chunk, first, np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is not None for i in ids], np.uint8).tobytes(), lengths.tobytes(), encode_frame(np.frombuffer(b"".join(parts), "<u4")))
+            row = (chunk, first, np.array([i or 0 for i in docs], "<i8").tobytes(), np.array([i is not None for i in docs], np.uint8).tobytes(), np.concatenate(sizes).astype("<i8").tobytes(), encode_frame(np.concatenate(parts)))
             types = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["chunk", "first", "doc_ids", "known", "lengths", "frame"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(doc)
-                parts.append(encode(text or "") + end)
-                held += len(parts[-1]) // 4
-                if held >= frame_ids:
-                    yield frame()
-                    first, held = first + held, 0
-                    ids.clear()
-                    parts.clear()
-        if ids:
+            for a in range(0, batch.num_rows, ROWS):
+                own, texts = (c.slice(a, ROWS).to_pylist() for c in batch.columns[:2])
+                ids, n = table.encode([x or "" for x in texts])
+                ends = np.cumsum(n)
+                while len(own):
+                    # documents up to the one that fills the frame
+                    k = min(int(np.searchsorted(ends, frame_ids - held)) + 1, len(own))
+                    size = int(ends[k - 1])
+                    docs += own[:k]
+                    sizes.append(n[:k])
+                    parts.append(ids[:size])
+                    held += size
+                    own, n, ids, ends = own[k:], n[k:], ids[size:], ends[k:] - size
+                    if held >= frame_ids:
+                        yield frame()
+                        first, held = first + held, 0
+                        docs.clear()
+                        sizes.clear()
+                        parts.clear()
+        if docs:
             yield frame()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from ledgerloom.llm import _tokens
 from ledgerloom.llm._codec import decode_frame, encode_frame
 from ledgerloom.llm.token_files import read_tokens, with_checksums, write_tokens
 
@@ -49,3 +50,30 @@ def test_round_trip(spark, tmp_path):
     assert sorted(((r.doc_id, r.start) for r in read_tokens(spark, str(tmp_path / "n")).collect()), key=lambda x: x[1]) == [(None, 0), (None, 2), (1, 4), (1, 6)]
     write_tokens(df.limit(0), str(tmp_path / "e"), path)
     assert read_tokens(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_a_table_gives_the_ids_of_the_library(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, latin = Tokenizer.from_file(path), "".join(map(chr, range(256)))
+    texts = ["".join(random.Random(k).choices(latin + " '.  \n" * 20 + "sdtremvlabcXYZ019" * 6, k=k)) for k in range(0, 1500, 7)]
+    texts += [latin, "", " ", "  ", " \n", "\0", "a\0", "a", "'", "'r", "'s't're've'm'll'd 's ''s's a'sb'x", "\n'd 'd 1'dd'", "a" * 3000, "word " * 900, "日本 語 x", "A<|endoftext|> b", "é <|"]
+    want = [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+    for chars, pieces in ((1 << 20, 1_000_000), (100, 50), (1, 0)):  # long texts are cut, a full table starts anew
+        monkeypatch.setattr(_tokens, "TABLE_CHARS", chars)
+        monkeypatch.setattr(_tokens, "TABLE_PIECES", pieces)
+        table = _tokens.ByteTable(path, 2)
+        for _ in range(2):
+            ids, n = table.encode(texts)
+            got = np.split(ids, np.cumsum(n)[:-1])
+            assert [x.tolist() for x in got] == want
+    ids, n = table.encode([])
+    assert len(ids) == len(n) == 0
+
+
+def test_a_table_asks_once_for_each_piece(monkeypatch):
+    table, asked = _tokens.ByteTable(public_tokenizers.path("byte_bpe_50k.json"), 2), []
+    ask = table._ask
+    monkeypatch.setattr(table, "_ask", lambda pieces: asked.extend(pieces) or ask(pieces))
+    for _ in range(3):
+        table.encode(["one two three, three", " a piece-longer_than_fifteen0000 abcdefghijklmnopqrstuvwxyz abcdefghijklmnopqrstuvwxyz two"])
+    assert len(asked) == len(set(asked)) and b" two" in asked and b" abcdefghijklmnopqrstuvwxyz" in asked
