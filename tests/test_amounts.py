@@ -78,3 +78,17 @@ def test_generated_methods_are_small_enough_to_be_compiled(spark):
         items = spark.range(5).selectExpr("id", *(f"cast(id as double) as {f}" for f in fields))
         codes = every(amounts.recover(items, kind)._jdf.queryExecution().executedPlan())
         assert all(codes.apply(k)._3().maxMethodCodeSize() < 8000 for k in range(codes.size())), kind
+
+
+def test_queries_of_changes_and_totals_are_compiled(spark):
+    from ledgerloom import catalog
+    from ledgerloom.catalog_documents import TYPES
+
+    every = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenStringSeq
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in (f"recover_{kind}_{what}" for kind in TYPES for what in ("changes", "totals")):
+            codes = every(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan())
+            assert codes.size() and all(codes.apply(k)._3().maxMethodCodeSize() < 8000 for k in range(codes.size())), name
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
