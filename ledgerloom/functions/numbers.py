@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import once
+
 #: Rates that a doubtful percentage snaps to, and how near it must be.
 RATES, RATE_TOLERANCE = (0, 10, 20, 25), 0.75
 
@@ -17,10 +19,11 @@ def close(actual: Column, expected: Column, absolute: float = 0.05, relative: fl
 def soft_number(text: Column) -> Column:
     """A double from text with capital O for 0 and blanks inside; of several commas, or several points, the last one is the
     decimal mark. Null where it isn't one number, as in 1,234.50, which could be read in two ways."""
-    digits = F.regexp_replace(F.translate(F.regexp_replace(text, "<[^>]*>", ""), "OО", "00"), "[^0-9,.-]", "")
-    alone = lambda mark, other: ~digits.contains(other) & (F.length(digits) - F.length(F.translate(digits, mark, "")) > 1)
-    last = lambda mark: F.regexp_replace(digits, rf"[{mark}](?=.*[{mark}])", "")
-    return F.translate(F.when(alone(",", "."), last(",")).when(alone(".", ","), last(".")).otherwise(digits), ",", ".").try_cast("double")
+    # most texts are one number as they stand; what is done to the others is bound, so that nothing is computed twice
+    alone = lambda x, mark, other: ~x.contains(other) & (F.length(x) - F.length(F.translate(x, mark, "")) > 1)
+    last = lambda x, mark: F.regexp_replace(x, rf"[{mark}](?=.*[{mark}])", "")
+    mended = once(F.regexp_replace(F.translate(F.regexp_replace(text, "<[^>]*>", ""), "OО", "00"), "[^0-9,.-]", ""), lambda x: F.when(alone(x, ",", "."), last(x, ",")).when(alone(x, ".", ","), last(x, ".")).otherwise(x))
+    return F.translate(F.when(text.rlike(r"^-?[0-9]+(?:[.,][0-9]+)?$"), text).otherwise(mended), ",", ".").try_cast("double")
 
 
 def first_number(text: Column) -> Column:

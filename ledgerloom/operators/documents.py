@@ -38,8 +38,8 @@ def whole(i: int) -> Column:
 def percent(value: Column) -> Column:
     """'20%' from '20 %', '20,0' or '20'; null without a number."""
     plain = F.regexp_extract(F.translate(F.regexp_replace(value, r"\s", ""), ",", "."), r"([0-9]+(?:\.[0-9]+)?)", 1)
-    shown = F.regexp_replace(plain, r"^0*([0-9]+?)(?:\.0+|(\.[0-9]*[1-9])0*)?$", "$1$2")
-    return F.when(plain != "", F.concat(shown, F.lit("%")))
+    shown = lambda x: F.when(x.rlike("^(?:0|[1-9][0-9]*)$"), x).otherwise(F.regexp_replace(x, r"^0*([0-9]+?)(?:\.0+|(\.[0-9]*[1-9])0*)?$", "$1$2"))
+    return text.once(plain, lambda x: F.when(x != "", F.concat(shown(x), F.lit("%"))))
 
 
 def _filled() -> Column:
@@ -52,7 +52,9 @@ def index_row(least: int = 3) -> Column:
     steps = lambda n: F.zip_with(n, F.slice(n, 2, F.greatest(F.size(n), F.lit(1))), lambda a, b: b - a)
     rising = lambda n: F.forall(n, lambda v: v.isNotNull()) & F.forall(F.slice(steps(n), 1, F.greatest(F.size(n) - 1, F.lit(0))), lambda d: d == 1)
     # what is referred to more than once is bound: the cells are cleaned once a row
-    return text.once(F.transform(_filled(), lambda v: F.translate(v, "lI|", "111")), lambda digits: (F.size(digits) >= least) & text.once(F.transform(digits, whole_), rising))
+    index = text.once(F.transform(_filled(), lambda v: F.translate(v, "lI|", "111")), lambda digits: (F.size(digits) >= least) & text.once(F.transform(digits, whole_), rising))
+    # most rows hold other signs than such numbers do: that is seen without looking at their cells
+    return F.when(F.array_join("cells", " ").rlike("[^0-9lI| \\t\\r\\n\\x0b\\f\\u00a0]"), False).otherwise(index)
 
 
 def _joined() -> Column:
@@ -65,12 +67,14 @@ def _holds(words: tuple[str, ...]) -> Column:
 
 def waybill_items(rows: DataFrame) -> DataFrame:
     """Items of rows of nine cells or more; totals, heads, index rows and rows without a name go."""
-    item = (F.size("cells") >= 9) & ~_holds(("итого", *WAYBILL_HEADS)) & ~index_row() & cell(0).isNotNull() & ~cell(0).rlike("^[0-9]+$")
-    unit = F.when(F.lower(cell(1)).isin("шт", "шт.", "шτ"), "шт").otherwise(cell(1))
-    gross = F.translate(F.nullif(F.regexp_extract(cell(7), r"([0-9]+[.,][0-9]{2})", 1), F.lit("")), ",", ".").cast("double")
-    return _computed(rows).filter(item).select(
-        *PLACE, cell(0).alias("name"), unit.alias("unit"), whole(2).alias("quantity"), number(3).alias("price"), number(4).alias("cost"),
-        percent(cell(5)).alias("vat_rate"), number(6).alias("vat_amount"), gross.alias("cost_with_vat"), cell(8).alias("note"),
+    item = (F.size("cells") >= 9) & ~_holds(("итого", *WAYBILL_HEADS)) & ~index_row()
+    # cells are cleaned once and computed before they are read: the JVM interprets generated methods above 8,000 bytes for good
+    kept = _computed(_computed(rows).filter(item).select(*PLACE, *(cell(i).alias(f"_{i}") for i in range(9)))).filter("_0 is not null").filter(~F.col("_0").rlike("^[0-9]+$"))
+    unit = F.when(F.lower("_1").isin("шт", "шт.", "шτ"), "шт").otherwise(F.col("_1"))
+    gross = F.translate(F.nullif(F.regexp_extract("_7", r"([0-9]+[.,][0-9]{2})", 1), F.lit("")), ",", ".").cast("double")
+    return kept.select(
+        *PLACE, F.col("_0").alias("name"), unit.alias("unit"), F.bround(soft_number(F.col("_2"))).cast("long").alias("quantity"), soft_number(F.col("_3")).alias("price"), soft_number(F.col("_4")).alias("cost"),
+        percent(F.col("_5")).alias("vat_rate"), soft_number(F.col("_6")).alias("vat_amount"), gross.alias("cost_with_vat"), F.col("_8").alias("note"),
     )
 
 

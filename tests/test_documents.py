@@ -193,3 +193,17 @@ def test_index_row_cleans_cells_once(spark):
     got = df.select(documents.index_row().alias("x"))
     assert [r.x for r in got.collect()] == [False, True, False, False, False, False]
     assert got._jdf.queryExecution().analyzed().toString().count("regexp_replace(") <= 2
+
+
+def test_waybill_items_are_compiled(spark):
+    """A soft number computes its digits once: the method of the items was longer than the JVM takes."""
+    from ledgerloom import catalog
+    from ledgerloom.functions.numbers import soft_number
+
+    texts = {"12": 12, "-3,50": -3.5, "1 2O5": 1205, "1.234.50": 1234.5, "1,2,3": 12.3, "1,234.50": None, "<b>7</b> руб": 7, "": None, "-": None, "5\n": 5}
+    df = spark.createDataFrame([(t, None if w is None else float(w)) for t, w in texts.items()], "t string, w double").withColumn("x", soft_number(F.col("t")))
+    assert {r.t: r.x for r in df.collect()} == {r.t: r.w for r in df.collect()}
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace(") <= 5
+    every = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenStringSeq
+    codes = every(catalog.QUERIES["waybill_item_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan())
+    assert codes.size() and all(0 < codes.apply(k)._3().maxMethodCodeSize() < 8000 for k in range(codes.size()))
